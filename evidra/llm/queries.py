@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidra.llm import quality_rules
+from evidra.llm import bpe, quality_rules, token_records
+from evidra.session import shared_path
+
+#: Vocabulary of the records, and the id that ends a document there.
+RECORD_TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+#: Vocabulary of the matrices.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +25,27 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "records")
+    docs = _table(spark, sf_dir, "documents")
+    manifest = token_records.write_records(docs, path, public_tokenizers.path(RECORD_TOKENIZER), END_ID)
+    return token_records.read_records(spark, path, manifest).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
+    "op4_token_records": op4_token_records,
     "op5_quality_rules": op5_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 
 ORACLE_SQL = {
