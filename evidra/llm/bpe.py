@@ -20,7 +20,7 @@ Defined results
 from __future__ import annotations
 
 import base64
-import zlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from evidra.llm.chunks import ChunkEncoder, spread
+from evidra.llm.chunks import ChunkEncoder, slices, spread
 
 NONE = np.int32(2**31 - 1)
 #: Multiplier of the pair table's hash: 2**64 divided by the golden ratio, made odd.
@@ -90,12 +90,6 @@ class Codec:
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.single < 0).any():
             raise ValueError("the ranks lack single bytes")
-        tokens = dict(sorted((rank, token) for token, rank in self.ranks.items()))
-        size = max(tokens) + 1
-        self.token_lengths = np.zeros(size, np.int64)
-        self.token_lengths[list(tokens)] = [len(t) for t in tokens.values()]
-        self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
-        self.token_bytes = np.frombuffer(b"".join(tokens.values()), np.uint8)
         self.chunks = ChunkEncoder(self._encode_chunks)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,21 +159,31 @@ class Codec:
         """All ids of ``texts``, and where each text's ids begin, with their end at last."""
         return self.chunks(texts)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of ``ids``, and where each id's bytes end."""
-        return spread(self.token_bytes, self.token_starts[ids], self.token_lengths[ids])
 
+class Decoder:
+    """From ids to bytes by a rank file."""
+
+    def __init__(self, data: bytes):
+        tokens = dict(sorted((rank, token) for token, rank in read_ranks(data).items()))
+        self.lengths = np.zeros(max(tokens) + 1, np.int64)
+        self.lengths[list(tokens)] = [len(t) for t in tokens.values()]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens.values()), np.uint8)
 
-_CODECS: dict[tuple, Codec] = {}
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ``ids``, and where each id's bytes end."""
+        return spread(self.bytes, self.starts[ids], self.lengths[ids])
 
 
+@functools.lru_cache(1)
 def _codec(data: bytes, pattern: str) -> Codec:
     """One codec for all tasks of a Python worker."""
-    key = (len(data), zlib.crc32(data), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data, pattern)
-    return _CODECS[key]
+    return Codec(data, pattern)
+
+
+@functools.lru_cache(1)
+def _decoder(data: bytes) -> Decoder:
+    return Decoder(data)
 
 
 def _broadcast(df: DataFrame, path: str):
@@ -187,33 +191,43 @@ def _broadcast(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit) and n_tokens of each row of ``docs``."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit) and n_tokens of each row of ``docs``.
+
+    With ``decoded`` also the bytes that the ids decode to, in the same pass and so by the same workers.
+    """
     data = _broadcast(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
-        for batch in batches:
+        codec, decoder = _codec(data.value, pattern), _decoder(data.value)
+        for batch in (part for batch in batches for part in slices(batch, "text")):
             ids, at = codec.encode(batch.column("text").to_pylist())
-            packed = memoryview(ids.astype("<u4").tobytes())
-            cells = [packed[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, pa.binary()), pa.array(np.diff(at))], ["doc_id", "ids", "n_tokens"])
+            columns = {"doc_id": batch.column("doc_id"), "ids": cells(ids.astype("<u4"), at), "n_tokens": pa.array(np.diff(at))}
+            if decoded:
+                flat, ends = decoder.decode(ids)
+                columns["decoded"] = cells(flat, np.concatenate([[0], ends])[at])
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long" + ", decoded binary" * decoded)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long")
+def cells(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Slices of ``flat`` as binary cells without a copy; ``at`` has where each begins, with the last one's end."""
+    offsets = pa.py_buffer((at * flat.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with its bytes decoded again as ``decoded`` (binary)."""
     data = _broadcast(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
-        for batch in batches:
-            cells = [np.frombuffer(x or b"", "<u4") for x in batch.column("ids").to_pylist()]
-            flat, ends = codec.decode(np.concatenate([np.empty(0, np.uint32), *cells]))
-            ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int64)]
-            view = memoryview(flat.tobytes())
-            out = pa.array([view[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        decoder = _decoder(data.value)
+        for batch in (part for batch in batches for part in slices(batch, "ids")):
+            ids = [np.frombuffer(x or b"", "<u4") for x in batch.column("ids").to_pylist()]
+            flat, ends = decoder.decode(np.concatenate([np.empty(0, np.uint32), *ids]))
+            out = cells(flat, np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])])
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "decoded")

@@ -8,15 +8,17 @@ the pieces, and so the ids, as they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space beside other white space: such texts are cut by the slower pattern.
 ODD = re.compile(r" \s|\s ")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Chunks that a task remembers; beyond them it forgets those seen once. Bounds memory only, never the result.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class _Numbers(dict):
@@ -84,6 +86,16 @@ class ChunkEncoder:
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows that hold about ``most`` bytes of one column, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def joinable(chunk: str) -> bool:
     """Whether a chunk may stand between others without a change of its pieces."""
     return len(chunk) > 1 and chunk[0] == " " and not chunk[1].isspace() and not chunk[-1].isspace()

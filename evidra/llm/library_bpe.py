@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import functools
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -51,13 +51,7 @@ class LibraryEncoder:
         return self.chunks(texts)
 
 
-_ENCODERS: dict[tuple, LibraryEncoder] = {}
-
-
+@functools.lru_cache(1)
 def library_encoder(data: bytes) -> LibraryEncoder:
     """One encoder for all tasks of a Python worker."""
-    key = (len(data), zlib.crc32(data))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = LibraryEncoder(data)
-    return _ENCODERS[key]
+    return LibraryEncoder(data)

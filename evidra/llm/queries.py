@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import bpe, mixing, quality_rules, simhash, token_records
+from evidra.llm import bpe, line_dedup, mixing, quality_rules, simhash, token_records
 from evidra.session import shared_path
 
 #: Vocabulary of the records, and the id that ends a document there.
@@ -36,8 +36,8 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, path).select(
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -47,6 +47,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_counts(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -57,9 +62,11 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
     "op5_quality_rules": quality_rules.counts_sql(),
+    "op9_line_dedup": line_dedup.counts_sql(),
 }

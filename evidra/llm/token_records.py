@@ -34,11 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidra.llm.chunks import slices
 from evidra.llm.library_bpe import library_encoder
 from evidra.session import materialise
 
 #: Fixed value: the constant that the record format adds to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
+#: Records read before they are handed on.
+TOGETHER = 500
 INDEX = np.dtype([("offset", "<i8"), ("n", "<i8"), ("doc_id", "<i8"), ("present", "u1")])
 
 
@@ -88,7 +91,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
         name, attempt = f"{root}/part-{shard:05d}", f"{root}/_attempt-{context.taskAttemptId()}"
         records = ids = offset = 0
         rec = idx = None
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, "text")):
             if rec is None:
                 fs.create_dir(root)
                 rec, idx = fs.open_output_stream(attempt + ".rec"), fs.open_output_stream(attempt + ".idx")
@@ -133,13 +136,13 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
                     raise ValueError(f"{name}.idx doesn't match the manifest")
                 starts = row["start"] + np.cumsum(index["n"]) - index["n"]
                 with fs.open_input_stream(name + ".rec", buffer_size=1 << 20) as f:
-                    for i in range(0, len(index), 2000):
-                        part = index[i : i + 2000]
+                    for i in range(0, len(index), TOGETHER):
+                        part = index[i : i + TOGETHER]
                         cells = [np.frombuffer(read_frame(f.read), f"<u{row['width']}").astype("<u4").tobytes() for _ in part]
                         if [len(c) // 4 for c in cells] != part["n"].tolist():
                             raise ValueError(f"{name}.rec doesn't match its index")
                         doc_id = pa.array(part["doc_id"].copy(), mask=part["present"] == 0)
-                        yield pa.RecordBatch.from_arrays([doc_id, pa.array(starts[i : i + 2000]), pa.array(cells, pa.binary())], ["doc_id", "start", "ids"])
+                        yield pa.RecordBatch.from_arrays([doc_id, pa.array(starts[i : i + TOGETHER]), pa.array(cells, pa.binary())], ["doc_id", "start", "ids"])
 
     # One row a shard, dealt out one to a task.
     return manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(run, "doc_id long, start long, ids binary")
