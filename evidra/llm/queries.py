@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import bpe, line_dedup, mixing, quality_rules, simhash, token_records
+from evidra.llm import block_neighbours, bpe, line_dedup, mixing, quality_rules, simhash, token_records
 from evidra.session import shared_path
 
+#: Vectors whose id this divides are the queries, and how many neighbours each gets.
+QUERY_EVERY, NEAREST = 50, 5
 #: Vocabulary of the records, and the id that ends a document there.
 RECORD_TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Vocabulary of the matrices.
@@ -25,6 +27,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return block_neighbours.nearest(vectors, F.col("vec_id") % QUERY_EVERY == 0, NEAREST)
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "records")
     docs = _table(spark, sf_dir, "documents")
@@ -58,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_nearest": op3_nearest,
     "op4_token_records": op4_token_records,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
@@ -67,6 +75,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_nearest": block_neighbours.nearest_sql(NEAREST, QUERY_EVERY),
     "op5_quality_rules": quality_rules.counts_sql(),
     "op9_line_dedup": line_dedup.counts_sql(),
 }
