@@ -185,9 +185,8 @@ def main_text(html: str | None) -> str:
             if page.tags[e] == "article":
                 break
         e = page.parents[e]
-    if marked >= 0:
-        region, first, last = marked, 0, len(lines)
-    else:
+    region, first, last = region if marked < 0 else marked, 0, len(lines)
+    if page.tags[region] in ("", "html", "body"):
         at = np.flatnonzero(content)
         first, last = at[0], at[-1] + 1
     inside = [False] * len(page.tags)
