@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import block_neighbours, bpe, line_dedup, main_text, mixing, quality_rules, simhash, token_records
+from evidra.llm import block_neighbours, bpe, line_dedup, main_text, mixing, quality_crf, quality_rules, simhash, token_records
 from evidra.session import shared_path
 
 #: Vectors whose id this divides are the queries, and how many neighbours each gets.
@@ -31,6 +31,11 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_crf.score(docs, quality_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return block_neighbours.nearest(vectors, F.col("vec_id") % QUERY_EVERY == 0, NEAREST)
@@ -70,6 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_quality_crf": op2_quality_crf,
     "op3_nearest": op3_nearest,
     "op4_token_records": op4_token_records,
     "op5_quality_rules": op5_quality_rules,
