@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -37,18 +36,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that no data frame refers to any more; else they stay until the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's switch to delete a query's shuffle files as it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()``: a lost executor costs a reread, never a recomputation, and unlike
-    ``checkpoint()`` the plan above runs once and stays columnar.
+    ``checkpoint()`` the plan above runs once and stays columnar. The write's shuffle files go as it ends.
     """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, was = shared_path(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
