@@ -35,14 +35,6 @@ from evidra.session import materialise
 MIN_WORDS, NEAR_WORDS = 5, 10
 
 
-def _halves(w: Column) -> Column:
-    """Keys of the first and last half of the words, for neighbours of as many words, one more or one fewer."""
-    n = F.size(w)
-    sizes = F.array_distinct(F.array(F.floor(n / 2), F.floor((n - 1) / 2)))
-    one = lambda h: F.array(F.xxhash64(F.lit(0), h, F.slice(w, 1, h.cast("int"))), F.xxhash64(F.lit(1), h, F.slice(w, (n - h + 1).cast("int"), h.cast("int"))))
-    return F.when(n >= NEAR_WORDS, F.flatten(F.transform(sizes, one))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
     """absent, doc_id, h, pos and w (words) of the lines of ``rows`` that are judged."""
     numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(i.alias("pos"), words(line).alias("w")))
@@ -54,51 +46,71 @@ def _at(df: DataFrame) -> Column:
     return F.struct(*(df[c] for c in ("absent", "doc_id", "h", "pos")))
 
 
-def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """absent, doc_id, h and pos of the distinct lines of ``firsts`` that an earlier one is one word edit away from."""
-    halves = firsts.filter(F.size("halves") > 0).select("a", "b", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("a", "b").distinct()
-    wanted = firsts.join(candidates, ["a", "b"], "left_semi").groupBy("at.doc_id", "at.h").agg(F.collect_list("at.pos").alias("wanted"))
+def _shared(df: DataFrame, keys: str, *line: str) -> DataFrame:
+    """The columns ``line`` of the rows of ``df`` that have a key in common with another row."""
+    each = df.select(*line, F.explode(keys).alias("shared"))
+    common = each.groupBy("shared").agg(F.count("*").alias("n")).filter("n > 1").select("shared")
+    return each.join(common, "shared", "left_semi").select(*line).distinct()
+
+
+def _halves(w: Column) -> Column:
+    """Keys of the first and the last half of the words, for neighbours of as many words, one more or one fewer."""
+    n = F.size(w)
+    sizes = (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))
+    sides = (lambda h: F.slice(w, 1, h), lambda h: F.slice(w, n - h + 1, h))
+    return F.array_distinct(F.array(*(F.xxhash64(F.lit(k), h, side(h)) for k, side in enumerate(sides) for h in sizes)))
+
+
+def _candidates(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """line (a number for it), at and w of the distinct lines that share a half with another line."""
+    halves = _shared(firsts.filter(F.size("halves") > 0), "halves", "a", "b")
+    wanted = firsts.join(halves, ["a", "b"], "left_semi").groupBy("at.doc_id", "at.h").agg(F.collect_list("at.pos").alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "wanted")
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).dropDuplicates(["d", "g"])
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
     split = found.select(F.col("doc_id").isNull().alias("absent"), "doc_id", "h", "wanted", F.split("text", "\n").alias("lines"))
     some = F.transform("wanted", lambda p: F.struct(p.alias("pos"), words(F.get("lines", p)).alias("w")))
     lines = split.select("absent", "doc_id", "h", F.inline(some))
-    lines = materialise(lines.select(_at(lines).alias("at"), "w", F.xxhash64("absent", "doc_id", "h", "pos").alias("line")), "lines")
+    # Rows equal in every column give the same line; one of them stands for all.
+    return lines.select(F.xxhash64("absent", "doc_id", "h", "pos").alias("line"), _at(lines).alias("at"), "w").dropDuplicates(["line"])
 
-    each = lines.select("line", "at", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
+
+def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """absent, doc_id, h and pos of the distinct lines of ``firsts`` that an earlier one is one word edit away from."""
+    lines = materialise(_candidates(rows, firsts), "lines")
+    each = lines.select("line", F.size("w").alias("n"), F.posexplode("w").alias("j", "word"))
     line = Window.partitionBy("line").orderBy("j")
     up_to = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left, right = F.xxhash64("word", "j"), F.xxhash64("word", F.col("n") - F.col("j"))
     # Hashes of the words before and after each place: exclusive ors of the words' hashes with their places.
     each = each.select(
-        "line", "at", "n", "j", left.alias("x"), right.alias("y"),
+        "line", "n", "j", left.alias("x"), right.alias("y"),
         F.bit_xor(left).over(up_to).alias("through"), F.bit_xor(right).over(up_to).alias("gone"), F.bit_xor(right).over(whole).alias("all"),
     )
     before, after, here = F.col("through").bitwiseXOR(F.col("x")), F.col("all").bitwiseXOR(F.col("gone")), F.col("y")
     key = lambda p, s, j: F.struct(F.xxhash64(p, s, j).alias("key"), j.alias("j"))
     keys = F.array(key(before, after, F.col("j")), key(before, after.bitwiseXOR(here), F.col("j")))
     keys = F.when(F.col("j") == F.col("n") - 1, F.concat(keys, F.array(key(F.col("through"), after, F.col("j") + 1)))).otherwise(keys)
-    variants = each.select("line", "at", F.inline(keys))
-    earliest = variants.groupBy("key").agg(F.min(F.struct("at", "line")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    pairs = variants.join(earliest, "key").filter(F.col("first.at") < F.col("at"))
-    pairs = pairs.select("line", "j", F.col("first.line").alias("other"))
+    variants = materialise(each.select("line", F.inline(keys)), "variants")
+    common = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    variants = variants.join(common, "key", "left_semi").join(lines.select("line", "at"), "line")
+    earliest = variants.groupBy("key").agg(F.min(F.struct("at", "line")).alias("first"))
+    pairs = variants.join(earliest, "key").filter(F.col("first.at") < F.col("at")).select("line", "j", F.col("first.line").alias("other"))
     # The edit at place j, verified on the words themselves.
     pairs = pairs.join(lines.select("line", "at", "w"), "line").join(lines.select(F.col("line").alias("other"), F.col("w").alias("v")), "other")
     rest = lambda c, k: F.slice(c, F.col("j") + 1 + k, F.greatest(F.size(c) - F.col("j") - k, F.lit(0)))
     head = F.slice("w", 1, F.col("j")) == F.slice("v", 1, F.col("j"))
     d = F.size("w") - F.size("v")
     tail = F.when(d == 0, rest("w", 1) == rest("v", 1)).when(d == 1, rest("w", 1) == rest("v", 0)).when(d == -1, rest("w", 0) == rest("v", 1))
-    return pairs.filter(head & tail).select("at.absent", "at.doc_id", "at.h", "at.pos").distinct()
+    return materialise(pairs.filter(head & tail).select("at.absent", "at.doc_id", "at.h", "at.pos").distinct(), "near")
 
 
 def _removed(rows: DataFrame) -> DataFrame:
     """d, g (a row's doc_id and hash) and removed (the numbers of its lines that go)."""
     lines = _lines(rows, MIN_WORDS)
     text = F.array_join("w", " ")
-    lines = materialise(lines.select("absent", "doc_id", "h", "pos", F.xxhash64(text).alias("a"), F.hash(text).alias("b"), _halves(F.col("w")).alias("halves")), "keys")
+    halves = F.when(F.size("w") >= NEAR_WORDS, _halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
+    lines = materialise(lines.select("absent", "doc_id", "h", "pos", F.xxhash64(text).alias("a"), F.hash(text).alias("b"), halves.alias("halves")), "keys")
     firsts = lines.groupBy("a", "b").agg(F.min(_at(lines)).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     firsts = materialise(firsts, "firsts")
     again = lines.join(firsts.filter("n > 1").select("a", "b", "at"), ["a", "b"]).filter(_at(lines) != F.col("at")).select("absent", "doc_id", "h", "pos")
@@ -107,8 +119,9 @@ def _removed(rows: DataFrame) -> DataFrame:
 
 
 def _deduped(docs: DataFrame) -> DataFrame:
-    """row (all columns of ``docs``), text without the removed lines, n_lines and n_removed."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("h"))
+    """row (all columns of ``docs`` but the text), text without the removed lines, n_lines and n_removed."""
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    rows = docs.select(others.alias("row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("h"))
     out = rows.join(_removed(rows.drop("row")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     out = out.select("row", "text", F.split("text", "\n").alias("lines"), "removed")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
