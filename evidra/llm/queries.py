@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import block_neighbours, bpe, line_dedup, main_text, mixing, quality_crf, quality_rules, simhash, token_records
+from evidra.llm import block_neighbours, bpe, line_dedup, main_text, mixing, prefix_free_dedup, quality_crf, quality_rules, simhash, token_records
 from evidra.session import shared_path
 
 #: Vectors whose id this divides are the queries, and how many neighbours each gets.
@@ -58,6 +58,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_free_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_repeats": op7_repeats,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
