@@ -44,6 +44,8 @@ from evidra.llm.chunks import slices
 from evidra.session import materialise
 
 LENGTH, GRAM, WINDOW = 100, 12, 44
+#: Buckets of phrases or strings for each shuffle partition.
+BUCKETS = 4
 #: Bytes of text parsed together.
 TOGETHER = 4 << 20
 LAST = 2**63 - 1
@@ -71,7 +73,7 @@ class Hashes:
     """Hashes of any slices of ``data``, equal for equal bytes."""
 
     def __init__(self, data: np.ndarray, factor: int = FACTORS[0]):
-        powers, self.back, values = _powers(factor, 1 << max(len(data), TOGETHER).bit_length())
+        powers, self.back, values = _powers(factor, 1 << (max(len(data), TOGETHER) - 1).bit_length())
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * powers[: len(data)], out=self.sums[1:])
 
@@ -255,7 +257,8 @@ def _lists(found: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` as doc_id, text and spans, a list of (lo, n): the starts of strings that start earlier."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several buckets for each partition, so that hashing them to partitions evens out and each stays small.
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.hash("text").alias("th"), "text")
     texts = rows.select("doc", "th", "text")
     dealt = texts.mapInArrow(lambda batches: _parse(batches, buckets), DEALT)
