@@ -91,3 +91,72 @@ def image_statistics(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["frame", "luma", "sharpness", "contrast", "blockiness"])
 
     return images.select("frame", "width", "pixels").mapInPandas(run, "frame long, luma double, sharpness double, contrast double, blockiness double")
+
+
+def phase_correlation(left: np.ndarray, right: np.ndarray, frame: int = 2048, hop: int = 1024) -> float | None:
+    """Mean over frames of the normalised product of two channels; silent frames don't count."""
+    a, b = frames(left, frame, hop), frames(right, frame, hop)
+    power = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    loud = power > 1e-9
+    return float(((a * b).sum(axis=1)[loud] / power[loud]).mean()) if loud.any() else None
+
+
+def channel_metrics(clips: DataFrame) -> DataFrame:
+    """clip, share of clipped samples, spread of the channels' levels in dB, and phase correlation, of stereo ``clips(clip, left, right)``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                x = [np.asarray(c, np.float64) for c in (r.left, r.right)]
+                level = [20 * np.log10(max(np.sqrt((c * c).mean()), 1e-6)) for c in x]
+                rows.append((r.clip, float(np.mean([(np.abs(c) >= 0.999).mean() for c in x])), abs(level[0] - level[1]), phase_correlation(*x)))
+            yield pd.DataFrame(rows, columns=["clip", "clipped", "spread_db", "phase"])
+
+    return clips.select("clip", "left", "right").mapInPandas(run, "clip long, clipped double, spread_db double, phase double")
+
+
+def segments(kinds: DataFrame, least_ms: int = 700, window_ms: int = 1_000) -> DataFrame:
+    """Windows (clip, n, kind) as segments: a lone dissenter between two that agree is smoothed, left to right; short ones go."""
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        k = rows.sort_values("n")["kind"].tolist()
+        for i in range(1, len(k) - 1):
+            if k[i - 1] == k[i + 1] != k[i]:
+                k[i] = k[i - 1]
+        out: list[list] = []
+        for i, kind in enumerate(k):
+            if out and out[-1][0] == kind:
+                out[-1][2] = (i + 1) * window_ms
+            else:
+                out.append([kind, i * window_ms, (i + 1) * window_ms])
+        out = [s for s in out if s[2] - s[1] >= least_ms] or out[:1]
+        frame = pd.DataFrame(out, columns=["kind", "start_ms", "end_ms"])
+        frame["clip"] = rows["clip"].iloc[0]
+        return frame[["clip", "kind", "start_ms", "end_ms"]]
+
+    return kinds.select("clip", "n", "kind").groupBy("clip").applyInPandas(scan, "clip long, kind string, start_ms long, end_ms long")
+
+
+def ducking(levels: DataFrame, least: int = 10) -> DataFrame:
+    """clip and how many dB the music lies lower under speech, from ``levels(clip, rms, kind)``; null below ``least`` frames of either."""
+    from pyspark.sql import functions as F
+
+    of = lambda kind, p: F.percentile(F.when(F.col("kind") == kind, F.col("rms")), p)
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    out = levels.groupBy("clip").agg(of("speech", 0.2).alias("under"), of("music", 0.5).alias("alone"), n("speech").alias("s"), n("music").alias("m"))
+    db = 20 * F.log10(F.greatest("alone", F.lit(1e-9)) / F.greatest("under", F.lit(1e-9)))
+    return out.select("clip", F.when((F.col("s") >= least) & (F.col("m") >= least), db).alias("db")).withColumn("deliberate", F.col("db") > 3)
+
+
+def motion(differences: DataFrame) -> DataFrame:
+    """clip, sample and whether it is a hard CUT or GRADUAL, from frame differences (clip, n, diff): spikes over four medians and eight."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.partitionBy("clip").orderBy("n")
+    typical = differences.groupBy("clip").agg(F.percentile("diff", 0.5).alias("median"))
+    spike = (F.col("diff") > 4 * F.col("median")) & (F.col("diff") > 8)
+    d = differences.join(typical, "clip").withColumn("spike", spike)
+    beside = F.coalesce(F.lag("spike").over(w), F.lit(False)) | F.coalesce(F.lead("spike").over(w), F.lit(False))
+    return d.withColumn("kind", F.when(beside, "GRADUAL").otherwise("CUT")).filter("spike").select("clip", "n", "kind")
