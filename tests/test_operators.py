@@ -161,3 +161,81 @@ def test_optional_parts():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if entry.HAS_LLM:
         assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} >= set(range(1, 11))
+
+
+def test_pattern_words(spark):
+    from evidra.operators import context
+
+    text = "see the red fox of old and the big of it".split()
+    tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate(text)], "entity long, pos int, w string")
+    out = sorted((r.hit, r.first, r.last) for r in context.pattern_words(tokens, ["entity"], r"\bthe \w+ (?:fox )?of\b").collect())
+    assert out == [("the big of", 7, 9), ("the red fox of", 1, 4)]
+
+
+def test_windows_take_what_they_touch(spark):
+    from evidra.operators import context
+
+    w = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 100, 200)], "entity long, id long, s long, e long")
+    frames = spark.createDataFrame([(1, 0, 7), (1, 100, 8), (1, 199, 9)], "entity long, ts long, frame long")
+    items = spark.createDataFrame([(1, 50, 100, "a"), (1, 200, 300, "b")], "entity long, rs long, re long, text string")
+    out = {r.id: (r.frames, r.texts) for r in context.window_evidence(w, frames, items, ["entity"]).collect()}
+    assert out == {0: ([7], ["a"]), 1: ([8, 9], ["a"])}
+
+
+def test_clauses_in_order(spark):
+    from evidra.operators import context
+
+    hits = [(0, 0, r, f"c{r}") for r in range(3)] + [(0, 1, 0, "c0"), (0, 1, 1, "d1"), (0, 2, 0, "d2"), (0, 2, 1, "d3"), (0, 3, 0, "d4")]
+    out = context.clauses_in_order(spark.createDataFrame(hits, "window int, source int, rank int, clause string"))
+    assert sorted(r.clause for r in out.collect()) == ["c0", "c1", "c2", "d1", "d2", "d3"]
+
+
+def test_segments_motion_and_ducking(spark):
+    kinds = spark.createDataFrame([(1, i, k) for i, k in enumerate("aabaccca")], "clip long, n long, kind string")
+    assert [(r.kind, r.start_ms, r.end_ms) for r in signal.segments(kinds).orderBy("start_ms").collect()] == [("a", 0, 4000), ("c", 4000, 7000), ("a", 7000, 8000)]
+    d = spark.createDataFrame([(1, i, v) for i, v in enumerate((1.0, 1.0, 30.0, 1.0, 20.0, 25.0, 1.0, 1.0))], "clip long, n long, diff double")
+    assert sorted((r.n, r.kind) for r in signal.motion(d).collect()) == [(2, "CUT"), (4, "GRADUAL"), (5, "GRADUAL")]
+    levels = [(1, 0.1, "speech")] * 12 + [(1, 0.4, "music")] * 12 + [(2, 0.1, "speech")]
+    out = {r.clip: r for r in signal.ducking(spark.createDataFrame(levels, "clip long, rms double, kind string")).collect()}
+    assert out[1].db == pytest.approx(12.04, abs=0.01) and out[1].deliberate and out[2].db is None
+
+
+def test_channel_metrics(spark):
+    x = np.random.default_rng(2).normal(0, 0.3, 8192)
+    clips = spark.createDataFrame([(1, x.tolist(), x.tolist()), (2, x.tolist(), (-x / 10).tolist())], "clip long, left array<double>, right array<double>")
+    out = {r.clip: r for r in signal.channel_metrics(clips).collect()}
+    assert out[1].phase == pytest.approx(1) and out[2].phase == pytest.approx(-1) and out[2].spread_db == pytest.approx(20)
+
+
+def test_simulation_prefers_what_helps(spark):
+    from evidra.operators import detectors
+
+    f = spark.createDataFrame([(1, 0, 40_000, 50_000, "AF-01", "Language", "HIGH", 0.9, {"speech": 0.9}), (1, 1, 60_000, 61_000, "COPY-01", "Violence", "CRITICAL", 0.9, {"vision": 0.9})], "entity long, ord long, start_ms long, end_ms long, clause string, category string, severity string, confidence double, modalities map<string,double>")
+    out = {r.scenario: r for r in detectors.simulate(f, detectors.scenarios(f)).collect()}
+    assert out["all fixes"].overall == 100 and out["fix 1"].delta > 0 and out["all muted"].delta <= out["all fixes"].delta
+    assert detectors.best_within(detectors.simulate(f, detectors.scenarios(f)), 1.0).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    from evidra.sources import sinks
+
+    df = spark.createDataFrame([("a", "x"), ("b", "key=sk-1")], "id string, body string")
+    with pytest.raises(ValueError):
+        sinks.publish(df, "body", f"{tmp_path}/out", ["sk-1"])
+    sinks.publish(df, "body", f"{tmp_path}/out", ["other"])
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    for v in ("1", "2", "1"):
+        sinks.write_snapshot(df, f"{tmp_path}/snap", v)
+    assert sinks.read_snapshot(spark, f"{tmp_path}/snap", "1").count() == 2
+    out = sinks.upsert(df, spark.createDataFrame([("b", "new"), ("c", "new")], "id string, body string"), "id")
+    assert sorted((r.id, r.body) for r in out.collect()) == [("a", "x"), ("b", "new"), ("c", "new")]
+
+
+def test_lines_and_boxes(spark):
+    from evidra.operators import context
+
+    w = spark.createDataFrame([(0, 1, 1, "lo", 0.5, 0.1, 0.2, 0.1, 0.9), (0, 1, 0, "hel", 0.1, 0.1, 0.3, 0.2, 0.7)], "frame long, line long, n long, text string, x double, y double, w double, h double, conf double")
+    r = context.group_lines(w).first()
+    assert (r.text, r.x, r.y, round(r.w, 6), round(r.h, 6), r.conf) == ("hel lo", 0.1, 0.1, 0.6, 0.2, 0.7)
+    box = lambda *v: F.struct(*(F.lit(float(x)).alias(n) for x, n in zip(v, "xywh")))
+    assert spark.range(1).select(context.box_iou(box(0, 0, 2, 2), box(1, 0, 2, 2)).alias("x")).first().x == pytest.approx(1 / 3)
