@@ -117,6 +117,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: floa
     classes = materialise(classes.withColumn("parts", F.col("n") / RANKED + 1).withColumn("parts", F.col("parts").cast("long")), "copies")
     # A class's copies beyond the even share go to its first parts whole, and by rank in the part where they end.
     keyed = sized.join(places, same).join(classes.join(tilt, "k"), ["k", "size"]).withColumn("part", F.pmod(F.xxhash64("h"), "parts"))
+    # Dealt out anew by part: a class of a third of all rows is joined in splits and ranked in its parts.
+    keyed = keyed.repartition("k", "size", "part")
     counts = keyed.groupBy("k", "size", "part").agg(F.count("*").alias("in_part"))
     before = Window.partitionBy("k", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("in_part").over(before), F.lit(0)))
