@@ -97,7 +97,8 @@ def _counted(df: DataFrame) -> DataFrame:
     good = ~F.col("base_failed")
     for name, *_ in RULES:
         good &= F.col("rules")[name]
-    return df.withColumn("kept", good)
+    # A generator after the counts keeps Catalyst from repeating them in each filter on its columns.
+    return df.select("row", F.inline(F.array(F.struct(*counts[1:], "n_repeat_words", "base_failed", "rules", good.alias("kept")))))
 
 
 def quality_counts(docs: DataFrame) -> DataFrame:
@@ -109,9 +110,7 @@ def quality_counts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
     out = _counted(docs.select(F.struct(*docs.columns).alias("row"), "text"))
-    # A generator between the counts and the filter keeps Catalyst from repeating the counts in the filter.
-    kept = out.select("row", F.explode(F.array("kept")).alias("kept"))
-    return kept.filter("kept").select("row.*")
+    return out.filter("kept").select("row.*")
 
 
 def counts_sql(table: str = "documents") -> str:
