@@ -3,7 +3,8 @@
 A line is its words; white space within and around it doesn't count. Lines are ordered by (doc_id, nulls last; row
 hash; number of the line). A line of ``MIN_WORDS`` words or more is removed if an earlier one has the same words, and
 one of ``NEAR_WORDS`` or more also if an earlier one of as many is one word edit away (a word replaced, left out or put
-in). Both are judged on the input, not on what is left. Shorter lines say too little and stay.
+in). Both are judged on the input, not on what is left. Shorter lines stay; the bounds are arguments, and with 1 as the
+first every line that has a word is judged.
 
 Only DataFrame functions run. Lines are first reduced to distinct ones, of which the earliest counts. The deletion
 neighbourhood then works on hashes: a line emits, for each place in it, the key of what is left without the word there
@@ -105,11 +106,11 @@ def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return materialise(pairs.filter(head & tail).select("at.absent", "at.doc_id", "at.h", "at.pos").distinct(), "near")
 
 
-def _removed(rows: DataFrame) -> DataFrame:
+def _removed(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """d, g (a row's doc_id and hash) and removed (the numbers of its lines that go)."""
-    lines = _lines(rows, MIN_WORDS)
+    lines = _lines(rows, min_words)
     text = F.array_join("w", " ")
-    halves = F.when(F.size("w") >= NEAR_WORDS, _halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
+    halves = F.when(F.size("w") >= near_words, _halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
     lines = materialise(lines.select("absent", "doc_id", "h", "pos", F.xxhash64(text).alias("a"), F.hash(text).alias("b"), halves.alias("halves")), "keys")
     firsts = lines.groupBy("a", "b").agg(F.min(_at(lines)).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     firsts = materialise(firsts, "firsts")
@@ -118,11 +119,11 @@ def _removed(rows: DataFrame) -> DataFrame:
     return gone.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("pos").alias("removed"))
 
 
-def _deduped(docs: DataFrame) -> DataFrame:
+def _deduped(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """row (all columns of ``docs`` but the text), text without the removed lines, n_lines and n_removed."""
     others = F.struct(*(c for c in docs.columns if c != "text"))
     rows = docs.select(others.alias("row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("h"))
-    out = rows.join(_removed(rows.drop("row")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    out = rows.join(_removed(rows.drop("row"), min_words, near_words), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     out = out.select("row", "text", F.split("text", "\n").alias("lines"), "removed")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
@@ -130,14 +131,14 @@ def _deduped(docs: DataFrame) -> DataFrame:
     return out.select("row", text.alias("text"), F.greatest(count("lines"), F.lit(0).cast("long")).alias("n_lines"), F.greatest(count("removed"), F.lit(0).cast("long")).alias("n_removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """``docs`` with its texts without the removed lines; every other column as it was."""
-    return _deduped(docs).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return _deduped(docs, min_words, near_words).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
+def line_counts(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, text without the removed lines, n_lines and n_removed of every row of ``docs``."""
-    return _deduped(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
+    return _deduped(docs.select("doc_id", "text"), min_words, near_words).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
 def counts_sql(table: str = "documents") -> str:

@@ -35,3 +35,14 @@ def test_stages_take_effect_on_whole_tables(spark):
 def test_run_on_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_short_lines_are_judged(spark):
+    lines = [
+        ("All rights reserved.", True), ("a b c d e", True), (" ", True), ("All  rights reserved.", False), ("one", True), ("one", False), ("", True),
+        ("a b c d X", False), ("a b c d e f", False), ("a b c d", True), ("a b c Y", True), ("a b c d", False), ("p q r s t u v w x", True), ("p q r s t u v w", False), ("", True),
+    ]
+    rows = [(1, "\n".join(x for x, _ in lines[:6])), (2, "\n".join(x for x, _ in lines[6:])), (3, "one\nAll rights reserved."), (4, None)]
+    out = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    kept = lambda part: "\n".join(x for x, stays in part if stays)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: kept(lines[:6]), 2: kept(lines[6:]), 3: "", 4: None}
