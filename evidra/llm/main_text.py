@@ -4,9 +4,10 @@ The standard library's streaming parser gives events; they are folded into the p
 text, with the tags and the linked characters in it. Elements that are by their tag, role, class or id a menu, header,
 footer, sidebar, notice, advert, form, script, style or reader comments give no lines. Each line's text-to-tag ratio is
 smoothed over its neighbours by a Gaussian and compared with a threshold; the lines above it are the content clusters.
-The element that holds nearly all of their text is the content region, widened to the article or main element around
-it, and all its lines are the main text: short paragraphs of an article stay. Where a page marks up no region, lines
-before the first and after the last cluster go.
+The article or main element that holds nearly all of their text is the content region, and all its lines are the main
+text: short paragraphs of an article stay. Where a page marks up no region, it is the smallest element that holds all
+clusters, with the headings right before it; if that is the page, lines before the first and after the last cluster go,
+but for headings right before it and paragraphs beside it.
 
 Pages are rows of their own: one pass, no shuffle.
 
@@ -47,6 +48,8 @@ NAMES = frozenset(
 )
 NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p blockquote pre".split())
 
 #: Lines on each side that a line's ratio is smoothed with, and the share of content that a region must hold.
 SIGMA, REACH, HELD = 1.0, 3, 0.8
@@ -177,7 +180,8 @@ def main_text(html: str | None) -> str:
         while element >= 0:
             held[element] += n
             element = page.parents[element]
-    region = max(e for e in range(len(held)) if held[e] >= HELD * held[0] and (page.tags[e] not in CLOSES_P or page.tags[e] in ("div", "section", "article", "main", "table")))
+    blocks = [t not in CLOSES_P or t in ("div", "section", "article", "main", "table") for t in page.tags]
+    region = max(e for e in range(len(held)) if held[e] >= HELD * held[0] and blocks[e])
     marked, e = -1, region
     while e >= 0:
         if page.tags[e] in REGIONS:
@@ -185,14 +189,25 @@ def main_text(html: str | None) -> str:
             if page.tags[e] == "article":
                 break
         e = page.parents[e]
-    region, first, last = region if marked < 0 else marked, 0, len(lines)
-    if page.tags[region] in ("", "html", "body"):
-        at = np.flatnonzero(content)
-        first, last = at[0], at[-1] + 1
+    region = max(e for e in range(len(held)) if held[e] == held[0] and blocks[e]) if marked < 0 else marked
     inside = [False] * len(page.tags)
     inside[region] = True
     for e in range(region + 1, len(inside)):  # an element comes after the one around it
         inside[e] = inside[page.parents[e]]
+    kept = [k for k, x in enumerate(lines) if inside[x[3]]]
+    first, last = kept[0], kept[-1] + 1
+    if marked < 0:
+        if page.tags[region] in ("", "html", "body"):
+            at = np.flatnonzero(content)
+            first, last = at[0], at[-1] + 1
+            beside = lambda k, edge: page.tags[lines[k][3]] in PARAGRAPHS and page.parents[lines[k][3]] == page.parents[lines[edge][3]]
+            while first and beside(first - 1, first):
+                first -= 1
+            while last < len(lines) and beside(last, last - 1):
+                last += 1
+        while first and page.tags[lines[first - 1][3]] in HEADINGS:
+            first -= 1
+            inside[lines[first][3]] = True
     return "\n\n".join(x[0] for x in lines[first:last] if inside[x[3]])
 
 

@@ -47,3 +47,13 @@ def test_clusters_follow_the_ratio():
     lengths = np.array([5, 6, 4, 5, 6, 5, 300, 280, 20, 310, 290, 5, 4, 6, 5, 5])
     found = content_clusters(lengths, np.full(16, 2))
     assert found[6:11].all() and not found[:5].any() and not found[12:].any()
+
+
+def test_unmarked_pages_are_whole():
+    short, tail = "Words of the second part of the article, which is shorter.", "And its end."
+    parts = f"<h1>Head</h1><div><p>{LONG}</p><p>{LONG}</p></div><div><p>{short * 3}</p><p>{tail}</p></div>"
+    wanted = f"Head\n\n{LONG}\n\n{LONG}\n\n{short * 3}\n\n{tail}"
+    assert main_text(PAGE % parts) == wanted
+    assert main_text(PAGE % f"<div>{parts}</div>") == wanted
+    assert main_text(PAGE % f"<h1>Head</h1><div><p>{LONG}</p><p>{tail}</p></div>") == f"Head\n\n{LONG}\n\n{tail}"
+    assert main_text(PAGE % f"<h1>Head</h1><p>Lead.</p><p>{LONG}</p><p>{tail}</p>") == f"Head\n\nLead.\n\n{LONG}\n\n{tail}"
