@@ -46,6 +46,7 @@ NAMES = frozenset(
     "disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination "
     "popup promo promotion related share sharing sidebar sidebars signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
 )
+COMMENTS = frozenset("comment comments commentlist".split())
 NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -54,14 +55,28 @@ PARAGRAPHS = HEADINGS | frozenset("p blockquote pre".split())
 #: Lines on each side that a line's ratio is smoothed with, and the share of content that a region must hold.
 SIGMA, REACH, HELD = 1.0, 3, 0.8
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: First and last parts of names that say how a page is laid out, not what an element is.
+STATES, STATES_LAST = frozenset("no not non has have with without is".split()), frozenset("open opened closed active enabled disabled visible collapsed expanded".split())
+#: How surely an element's names say what it is: not at all, by a part of a name, by a whole name, as comments.
+UNNAMED, PARTLY, WHOLLY, THREAD = 0, 1, 2, 3
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> bool:
+def _named(attrs: list[tuple[str, str | None]], names: frozenset[str] = NAMES) -> int:
+    found = UNNAMED
     for name, value in attrs:
         if name in ("class", "id"):
-            if value and not NAMES.isdisjoint(x.lower() for x in PART.findall(value)):
-                return True
-        elif name == "role":
+            for token in (value or "").split():
+                parts = [x.lower() for x in PART.findall(token)]
+                if len(parts) > 1 and (parts[0] in STATES or parts[-1] in STATES_LAST):
+                    continue
+                if not names.isdisjoint(parts):
+                    found = max(found, WHOLLY if len(parts) == 1 else PARTLY)
+    return found
+
+
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if name == "role":
             if value and value.strip().lower() in ROLES:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -74,13 +89,14 @@ def _named(attrs: list[tuple[str, str | None]]) -> bool:
 class Lines(HTMLParser):
     """Folds events into ``lines``: text, tags, linked characters, and the number of the innermost open element.
 
-    ``parents[e]`` is the element around element ``e`` and ``tags[e]`` its tag.
+    ``parents[e]`` is the element around element ``e``, ``tags[e]`` its tag and ``named[e]`` how surely it is left out by its
+    class or id; whether it is can only be said at the page's end.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.parents, self.tags = [-1], [""]
+        self.parents, self.tags, self.named = [-1], [""], [UNNAMED]
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, whether its text is skipped
         self.parts: list[str] = []
         self.n_tags = self.linked = self.links = 0
@@ -121,14 +137,20 @@ class Lines(HTMLParser):
                 self.close_open(CLOSES_ITEM[tag], LISTS)
         if tag in VOID:
             return
-        skipped = self.stack[-1][2] or tag in SKIPPED or bool(attrs) and tag not in NEVER and _named(attrs)
-        if tag == "article" and attrs and not skipped:  # a comment may be an article of its own
-            skipped = any(k in ("class", "id") and v and "comment" in v.lower() for k, v in attrs)
+        skipped = self.stack[-1][2] or tag in SKIPPED or bool(attrs) and tag not in NEVER and _hidden(attrs)
+        named = UNNAMED
+        if attrs and not skipped and tag not in NEVER:
+            named = _named(attrs) and (THREAD if _named(attrs, COMMENTS) else _named(attrs))
+        elif attrs and not skipped and tag == "article":  # a comment may be an article of its own
+            named = THREAD if _named(attrs, COMMENTS) else UNNAMED
+        if tag in INLINE:
+            skipped = skipped or named > UNNAMED
         element = self.stack[-1][1]
         if tag not in INLINE:
             self.parents.append(element)
             element = len(self.tags)
             self.tags.append(tag)
+            self.named.append(named)
         self.stack.append((tag, element, skipped))
         self.links += tag == "a"
 
@@ -162,6 +184,32 @@ def content_clusters(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return smooth >= min(smooth.std(), smooth.mean() / 2) if smooth.std() else np.ones(len(smooth), bool)
 
 
+def left_out(page: Lines) -> list[bool]:
+    """Which elements are left out by their class or id, or that of an element around them.
+
+    Where an article or main is outside of all these, each is. Else, comments excepted, one that holds an article or main
+    stays, and so does one named by only a part of a name that holds most of the page's text.
+    """
+    out = [n > UNNAMED for n in page.named]
+    if not any(out):
+        return out
+    size, holds = [0] * len(out), [t in REGIONS and not out[e] for e, t in enumerate(page.tags)]
+    for text, _, _, e in page.lines:
+        size[e] += len(text)
+    for e in range(len(out) - 1, 0, -1):  # an element comes after the one around it
+        size[page.parents[e]] += size[e]
+        # A comment's text is no article of the element around it.
+        holds[page.parents[e]] |= holds[e] and size[e] > 0 and not (page.tags[e] == "article" and out[e])
+    within = list(out)
+    for e in range(1, len(out)):
+        within[e] |= within[page.parents[e]]
+    if not any(t in REGIONS and size[e] and not within[e] for e, t in enumerate(page.tags)):
+        out = [x and (page.named[e] == THREAD or not holds[e] and not (page.named[e] == PARTLY and 2 * size[e] > size[0])) for e, x in enumerate(out)]
+    for e in range(1, len(out)):
+        out[e] |= out[page.parents[e]]
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -169,8 +217,9 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
+    out = left_out(page)
     # An item that is nothing but a link is an entry of a menu.
-    lines = [x for x in page.lines if not (x[2] and x[2] >= len(x[0]) and page.tags[x[3]] in ("li", "dd", "dt"))]
+    lines = [x for x in page.lines if not out[x[3]] and not (x[2] and x[2] >= len(x[0]) and page.tags[x[3]] in ("li", "dd", "dt"))]
     if not lines:
         return ""
     lengths, tags = np.array([len(x[0]) for x in lines]), np.array([x[1] - 1 for x in lines])

@@ -57,3 +57,18 @@ def test_unmarked_pages_are_whole():
     assert main_text(PAGE % f"<div>{parts}</div>") == wanted
     assert main_text(PAGE % f"<h1>Head</h1><div><p>{LONG}</p><p>{tail}</p></div>") == f"Head\n\n{LONG}\n\n{tail}"
     assert main_text(PAGE % f"<h1>Head</h1><p>Lead.</p><p>{LONG}</p><p>{tail}</p>") == f"Head\n\nLead.\n\n{LONG}\n\n{tail}"
+
+
+@pytest.mark.parametrize("names", ["class='content has-sidebar'", "class=no-sidebar", "class='site menu-open'", "id=page-with-banner", "class=sidebar", "class=layout-sidebar"])
+def test_wrappers_stay(names):
+    inner = f"<h1>Head</h1><p>{LONG}</p><div class=ad>buy</div>"
+    assert main_text(PAGE % f"<div {names}><article>{inner}</article></div><div class=sidebar>side</div>") == f"Head\n\n{LONG}"
+    if names != "class=sidebar":
+        assert main_text(PAGE % f"<div {names}>{inner}</div><div class=sidebar>side</div>") == f"Head\n\n{LONG}"
+
+
+@pytest.mark.parametrize("names", ["commentary", "comments-open", "no-comments"])
+def test_articles_that_are_no_comments(names):
+    assert main_text(PAGE % f"<article class='{names}'><p>{LONG}</p></article><article class=comment-body><p>me too</p></article>") == LONG
+    assert main_text(PAGE % f"<article><p>{LONG}</p></article><section id=comments><article><p>{LONG}</p></article></section>") == LONG
+    assert main_text(PAGE % f"<div><p>{LONG}</p></div><section id=comments><article><p>{LONG}</p></article></section>") == LONG
