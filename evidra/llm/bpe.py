@@ -155,7 +155,7 @@ class Codec:
             at, b = each[inside], best[inside]
             ranks[at, b - 1] = self.pairs(ids[at, b - 1], ids[at, b])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, and where each text's ids begin, with their end at last."""
         return self.chunks(texts)
 
@@ -201,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, decoder = _codec(data.value, pattern), _decoder(data.value)
         for batch in (part for batch in batches for part in slices(batch, "text")):
-            ids, at = codec.encode(batch.column("text").to_pylist())
+            ids, at = codec.encode(batch.column("text"))
             columns = {"doc_id": batch.column("doc_id"), "ids": cells(ids.astype("<u4"), at), "n_tokens": pa.array(np.diff(at))}
             if decoded:
                 flat, ends = decoder.decode(ids)

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import os
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from evidra.llm.chunks import ChunkEncoder, joinable
 
-#: Chunks encoded by one call, as one string.
-TOGETHER = 2000
+#: Chunks encoded as one string, and strings encoded by one call: the library holds these with more than their ids.
+JOINED, TOGETHER = 2000, 100
 
 
 class LibraryEncoder:
     """A byte-level tokenizer file's ids, without special tokens; their strings in a text are ordinary text."""
 
     def __init__(self, data: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
@@ -26,28 +32,28 @@ class LibraryEncoder:
         self.token_bytes[list(vocab.values())] = [len(t) for t in vocab]
         self.chunks = ChunkEncoder(self._encode)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of each text's ids."""
+        ids: list[np.ndarray] = [np.empty(0, np.uint32)]
+        for i in range(0, len(texts), TOGETHER):
+            ids += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids[1:]), np.int64, len(ids) - 1)
+
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        together = [k for k, c in enumerate(chunks) if joinable(c)]
-        alone = [k for k, c in enumerate(chunks) if not joinable(c)]
-        texts = ["".join(chunks[k] for k in together[i : i + TOGETHER]) for i in range(0, len(together), TOGETHER)]
-        found = self.tokenizer.encode_batch_fast(texts + [chunks[k] for k in alone], add_special_tokens=False)
-        ids = [np.array(x.ids, np.uint32) for x in found]
-        joined = np.concatenate([np.empty(0, np.uint32), *ids[: len(texts)]])
-        # The bytes of the ids tell which ids are of which chunk.
-        bounds = np.cumsum([0, *(len(chunks[k].encode()) for k in together)])
-        at = np.searchsorted(np.cumsum(self.token_bytes[joined]), bounds[1:], side="left") + 1 if together else np.empty(0, np.int64)
+        whole = np.fromiter(map(joinable, chunks), bool, len(chunks))
         sizes = np.zeros(len(chunks), np.int64)
-        sizes[together] = np.diff(np.concatenate([[0], at]))
-        sizes[alone] = [len(x) for x in ids[len(texts) :]]
-        flat = np.empty(int(sizes.sum()), np.uint32)
-        whole = np.zeros(len(chunks), bool)
-        whole[together] = True
-        mask = np.repeat(whole, sizes)
-        flat[mask] = joined
-        flat[~mask] = np.concatenate([np.empty(0, np.uint32), *ids[len(texts) :]])
+        together = list(itertools.compress(chunks, whole))
+        joined, _ = self._ids(["".join(together[i : i + JOINED]) for i in range(0, len(together), JOINED)])
+        # The bytes of the ids tell which ids are of which chunk.
+        bounds = np.cumsum(pc.binary_length(pa.array(together, pa.large_string())).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.searchsorted(np.cumsum(self.token_bytes[joined]), bounds, side="left") + 1
+        sizes[whole] = np.diff(ends, prepend=0)
+        alone, sizes[~whole] = self._ids(list(itertools.compress(chunks, ~whole)))
+        flat, of_whole = np.empty(int(sizes.sum()), np.uint32), np.repeat(whole, sizes)
+        flat[of_whole], flat[~of_whole] = joined, alone
         return flat, sizes
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return self.chunks(texts)
 
 

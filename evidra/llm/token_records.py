@@ -95,7 +95,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
             if rec is None:
                 fs.create_dir(root)
                 rec, idx = fs.open_output_stream(attempt + ".rec"), fs.open_output_stream(attempt + ".idx")
-            flat, at = encoder.encode(batch.column("text").to_pylist())
+            flat, at = encoder.encode(batch.column("text"))
             entries = np.zeros(len(at) - 1, INDEX)
             frames = []
             for k in range(len(at) - 1):
