@@ -17,8 +17,13 @@ The dictionary of distinct phrases and the parse are combined in three steps, ea
 
 Equal entries are first combined within the rows that a task reads together, so a phrase or string found everywhere
 arrives once from each of them. Hashes take the place of the lexicographic order of suffixes: only which strings are
-equal is asked for, and the order of all suffixes is many times the size of the corpus. Contexts are compared by 96
-bits, strings by 96.
+equal is asked for, and the order of all suffixes is many times the size of the corpus. Phrases meet by 48 bits, which
+decides only where work is done; contexts of one phrase are the same by 64 bits more, strings by 96.
+
+A phrase that has ``HOT`` contexts in one slice of texts has more than one for sure. Its rows are then dealt out by
+their contexts instead of meeting in one place, and one mark for each task tells the phrase's other rows; contexts that
+so miss each other are compared string by string. A bucket thus gets at most ``HOT`` rows of a phrase from a slice, and
+there are more buckets the more text there is.
 
 Defined results
 ---------------
@@ -44,14 +49,21 @@ from evidra.llm.chunks import slices
 from evidra.session import materialise
 
 LENGTH, GRAM, WINDOW = 100, 12, 44
-#: Buckets of phrases or strings for each shuffle partition.
-BUCKETS = 4
+#: Buckets of phrases or strings for each shuffle partition, and the most bytes of text for each bucket.
+BUCKETS, BUCKET_BYTES = 4, 32 << 20
+#: Contexts of one phrase in a slice from which on they are dealt out singly.
+HOT = 16
 #: Bytes of text parsed together.
-TOGETHER = 4 << 20
+TOGETHER = 3 << 20
 LAST = 2**63 - 1
+#: Bits of a phrase's hash that it meets by.
+PHRASE_BITS = np.uint64((1 << 48) - 1)
+#: What is known of a row: nothing, that it starts later than an equal one, that its phrase has other contexts; and a
+#: mark that says so of a phrase's other rows.
+UNKNOWN, LATER, OPEN, MARK = range(4)
 #: Odd multipliers of the two hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-PLACE = np.dtype([("key", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("th", "<i4"), ("lo", "<i4"), ("n", "<i4"), ("known", "u1")])
+PLACE = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("known", "u1")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,7 +135,7 @@ def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     a, b, text, lo, hi = a[some], b[some], text[some], lo[some], hi[some]
     hashes = Hashes(data)
     context = mix(hashes(lo, hi - 1 + LENGTH) ^ ((a - lo).astype(np.uint64) << np.uint64(8)) ^ (hi - lo).astype(np.uint64))
-    return hashes(a, b + GRAM), (context >> np.uint64(32)).astype(np.uint32), text, lo, hi
+    return hashes(a, b + GRAM) & PHRASE_BITS, context, text, lo, hi
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,11 +158,28 @@ def _later(rows: np.ndarray) -> np.ndarray:
     return (rows["doc"] > rows["doc"][first]) | (rows["lo"] > rows["lo"][first])
 
 
-def _dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket, packed: those known to start earlier by their document, the others by their key."""
+def _dealt(rows: np.ndarray, buckets: int, hot: set[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket, packed: those known to start later by their document, the others by their key.
+
+    ``hot`` collects the keys that had many contexts in a slice of the task; their rows go by key and context.
+    """
     rows = _ordered(rows)
     rows["known"] = _later(rows)
-    route = np.where(rows["known"] == 1, mix(rows["doc"].astype(np.uint64)), rows["key"]) % np.uint64(buckets)
+    by = rows["key"].copy()
+    if hot is not None:
+        first = rows[rows["known"] == UNKNOWN]["key"]
+        new = np.flatnonzero(np.diff(first, prepend=first[:1] ^ np.uint64(1)))
+        many = first[new[np.diff(new, append=len(first)) >= HOT]]
+        marks = np.array([k for k in many.tolist() if k not in hot], np.uint64)
+        hot.update(marks.tolist())
+        of_hot = (rows["known"] == UNKNOWN) & np.isin(rows["key"], np.fromiter(hot, np.uint64, len(hot)))
+        rows["known"][of_hot] = OPEN
+        by[of_hot] = mix(by[of_hot] ^ rows["more"][of_hot])
+        told = np.zeros(len(marks), PLACE)
+        told["key"], told["known"] = marks, MARK
+        rows, by = np.concatenate([rows, told]), np.concatenate([by, marks])
+    away = mix(rows["doc"].astype(np.uint64) ^ (rows["th"].astype(np.uint64) << np.uint64(32)))
+    route = np.where(rows["known"] == LATER, away, by) % np.uint64(buckets)
     rows = rows[np.argsort(route, kind="stable")]
     counts = np.bincount(route.astype(np.int64), minlength=buckets)
     ends = np.cumsum(counts)
@@ -163,7 +192,7 @@ def _dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 DEALT = "bucket long, n long, cell binary"
-FOUND = "doc long, th int, lo int, n int, open boolean"
+FOUND = "doc long, th long, lo int, n int, open boolean"
 
 
 def _unpacked(table: pa.Table) -> np.ndarray:
@@ -186,12 +215,13 @@ def _found(rows: np.ndarray, open_: np.ndarray) -> pa.Table:
 def _meet(table: pa.Table) -> pa.Table:
     """Starts that are known to be repeats, and (open) those of the first places of contexts whose phrase has others."""
     rows = _unpacked(table)
-    known, rows = rows[rows["known"] == 1], rows[rows["known"] == 0]
+    known, marks = rows[rows["known"] == LATER], np.unique(rows["key"][rows["known"] >= OPEN])
+    rows = rows[(rows["known"] == UNKNOWN) | (rows["known"] == OPEN)]
     key = np.sort(rows["key"])
-    rows = _ordered(rows[np.isin(rows["key"], key[1:][key[1:] == key[:-1]])])
+    rows = _ordered(rows[np.isin(rows["key"], np.concatenate([marks, key[1:][key[1:] == key[:-1]]]))])
     later = _later(rows)
     firsts = rows[~later]
-    other = np.zeros(len(firsts), bool)
+    other = np.isin(firsts["key"], marks)
     change = (firsts["key"][1:] == firsts["key"][:-1]) & (firsts["more"][1:] != firsts["more"][:-1])
     other[1:] |= change
     other[:-1] |= change
@@ -203,7 +233,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def _same(table: pa.Table) -> pa.Table:
     """Starts of strings that are not the first of their hash."""
     rows = _unpacked(table)
-    known, rows = rows[rows["known"] == 1], _ordered(rows[rows["known"] == 0])
+    known, rows = rows[rows["known"] == LATER], _ordered(rows[rows["known"] == UNKNOWN])
     out = np.concatenate([known, rows[_later(rows)]])
     return _found(out, np.zeros(len(out), bool))
 
@@ -224,13 +254,14 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    hot: set[int] = set()
     for batch in (part for batch in batches for part in slices(batch, "text", TOGETHER)):
         data, starts, ends = _texts(batch)
         key, more, text, lo, hi = phrases(data, starts, ends)
         rows = np.empty(len(key), PLACE)
         rows["key"], rows["more"], rows["lo"], rows["n"] = key, more, lo - starts[text], hi - lo
         rows["doc"], rows["th"] = batch.column("doc").to_numpy()[text], batch.column("th").to_numpy()[text]
-        yield from _dealt(rows, buckets)
+        yield from _dealt(rows, buckets, hot)
 
 
 def _strings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -258,14 +289,19 @@ def _lists(found: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` as doc_id, text and spans, a list of (lo, n): the starts of strings that start earlier."""
     # Several buckets for each partition, so that hashing them to partitions evens out and each stays small.
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.hash("text").alias("th"), "text")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS * partitions, size // BUCKET_BYTES)
+    tasks = max(partitions, buckets // BUCKETS)
+    # Rows are told apart by (doc, th). Few share a doc_id, so 32 bits do there; rows without one have the whole hash.
+    th = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.hash("text").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), th.alias("th"), "text")
     texts = rows.select("doc", "th", "text")
     dealt = texts.mapInArrow(lambda batches: _parse(batches, buckets), DEALT)
-    places = materialise(dealt.groupBy("bucket").applyInArrow(_meet, FOUND), "places")
+    places = materialise(dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_meet, FOUND), "places")
     opened = texts.join(_lists(places.filter("open").distinct()), ["doc", "th"])
     dealt = opened.mapInArrow(lambda batches: _strings(batches, buckets), DEALT)
-    strings = materialise(dealt.groupBy("bucket").applyInArrow(_same, FOUND), "strings")
+    strings = materialise(dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_same, FOUND), "strings")
     spans = _lists(places.filter("not open").union(strings))
     return rows.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
 

@@ -77,3 +77,34 @@ def test_every_string_has_a_phrase_of_its_own():
 def test_merged_spans():
     lo, hi = merged(np.array([5, 0, 8, 30]), np.array([9, 5, 12, 31]))
     assert lo.tolist() == [0, 30] and hi.tolist() == [12, 31]
+
+
+def test_equal_to_brute_force_where_phrases_are_hot(spark, monkeypatch):
+    """A passage in every document has as many contexts at its ends; they are dealt out singly."""
+    monkeypatch.setattr(prefix_free_dedup, "TOGETHER", 3000)
+    monkeypatch.setattr(prefix_free_dedup, "HOT", 2)
+    monkeypatch.setattr(prefix_free_dedup, "BUCKET_BYTES", 2000)
+    pick = random.Random(5)
+    some = lambda n: "".join(pick.choice("abcdefgh") for _ in range(n))
+    passage, long = some(130), some(20_000)
+    rows = [(k, some(pick.randint(0, 200)) + passage + some(pick.randint(0, 200))) for k in range(120)]
+    rows += [(200, long), (201, "x" + long[:15_000]), (None, passage + long[100:300]), (None, passage + long[100:300])]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == plain(rows)
+
+
+def test_contexts_of_one_phrase_are_told_apart():
+    """100,000 different contexts of each phrase of a passage; with 32 bits about one pair a phrase would be the same."""
+    pick = np.random.default_rng(9)
+    n, around, passage = 100_000, 60, pick.integers(0, 256, 110).astype(np.uint8)
+    found: dict[int, list] = {}
+    for _ in range(0, n, 10_000):
+        rows = pick.integers(0, 256, (10_000, 110 + 2 * around)).astype(np.uint8)
+        rows[:, around : around + 110] = passage
+        ends = np.arange(1, 10_001) * rows.shape[1]
+        key, more, *_ = phrases(rows.ravel(), ends - rows.shape[1], ends)
+        kinds, counts = np.unique(key, return_counts=True)
+        for k in kinds[counts > 5000].tolist():
+            found.setdefault(k, []).append(more[key == k])
+    sizes = [(len(m), len(np.unique(m))) for m in map(np.concatenate, found.values()) if len(np.unique(m)) > n // 2]
+    assert len(sizes) >= 2 and all(a == b for a, b in sizes)
