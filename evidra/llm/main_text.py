@@ -3,8 +3,9 @@
 The standard library's streaming parser gives events; they are folded into the page's lines, one for each block of
 text, with the tags and the linked characters in it. Elements that are by their tag, role, class or id a menu, header,
 footer, sidebar, notice, advert, form, script, style or reader comments give no lines. Each line's text-to-tag ratio is
-smoothed over its neighbours by a Gaussian and compared with a threshold; the lines above it are the content clusters.
-The article or main element that holds nearly all of their text is the content region, and all its lines are the main
+smoothed over its neighbours by a Gaussian and compared with a threshold; the runs of lines above it, without lines at
+their ends that are below it by themselves, are the content clusters. List items that are nothing but a link are no
+content, but stay where they stand in the region. The article or main element that holds nearly all of their text is the content region, and all its lines are the main
 text: short paragraphs of an article stay. Where a page marks up no region, it is the smallest element that holds all
 clusters, with the headings right before it; if that is the page, lines before the first and after the last cluster go,
 but for headings right before it and paragraphs beside it.
@@ -16,7 +17,8 @@ Defined results
 * null or empty html, or a page without content: empty text, n_chars 0;
 * null page_id or url: kept as they are;
 * repeated rows and ties: each row is extracted by itself;
-* unclosed, misnested and stray tags: closed where HTML closes them, else ignored;
+* unclosed, misnested and stray tags: closed where HTML closes them, else ignored; marked sections (``<![...``) are
+  comments up to the next ``>``, as in HTML;
 * very long pages: whole; empty table: empty result;
 * extra columns, whatever their names, are left out.
 """
@@ -24,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,6 +42,7 @@ SKIPPED = frozenset("head script style noscript template nav header footer aside
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 CLOSES_ITEM = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+P, PAST_P = frozenset(["p"]), CLOSES_P - {"p"}
 LISTS = frozenset("ul ol dl menu table body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
@@ -99,23 +103,29 @@ class Lines(HTMLParser):
         self.parents, self.tags, self.named = [-1], [""], [UNNAMED]
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, whether its text is skipped
         self.parts: list[str] = []
-        self.n_tags = self.linked = self.links = 0
+        self.n_tags = self.linked = 0
+        self.open: Counter[str] = Counter()
+
+    def parse_html_declaration(self, i: int) -> int:
+        # The library takes "<![" for SGML and fails where it isn't.
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             # A line belongs to the innermost element that isn't part of a line.
-            element = next(e for t, e, _ in reversed(self.stack) if t not in INLINE)
-            self.lines.append((text, self.n_tags, self.linked, element))
+            self.lines.append((text, self.n_tags, self.linked, self.stack[-1][1]))
         self.parts.clear()
         self.n_tags = self.linked = 0
 
     def pop_to(self, k: int) -> None:
         for tag, _, _ in self.stack[k:]:
-            self.links -= tag == "a"
+            self.open[tag] -= 1
         del self.stack[k:]
 
     def close_open(self, tags: frozenset[str], until: frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[k][0]
             if tag in tags:
@@ -132,7 +142,7 @@ class Lines(HTMLParser):
         else:
             self.flush()
             if tag in CLOSES_P:
-                self.close_open(frozenset(["p"]), CLOSES_P - {"p"})
+                self.close_open(P, PAST_P)
             if tag in CLOSES_ITEM:
                 self.close_open(CLOSES_ITEM[tag], LISTS)
         if tag in VOID:
@@ -152,7 +162,7 @@ class Lines(HTMLParser):
             self.tags.append(tag)
             self.named.append(named)
         self.stack.append((tag, element, skipped))
-        self.links += tag == "a"
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # "/>" closes nothing but void elements in HTML
@@ -161,6 +171,8 @@ class Lines(HTMLParser):
         self.n_tags += 1
         if tag not in INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 self.pop_to(k)
@@ -171,17 +183,31 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][2]:
             self.parts.append(data)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len(data.strip())
 
 
 def content_clusters(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Which lines' text-to-tag ratios, smoothed by a Gaussian, are at or above half the mean or one deviation."""
+    """Which lines' text-to-tag ratios, smoothed by a Gaussian, are at or above half the mean or one deviation.
+
+    Smoothing lifts the lines around a cluster too: those at its ends stay only if they reach the threshold unsmoothed.
+    """
     ratios = lengths / np.maximum(tags, 1)
     kernel = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / (2 * SIGMA**2))
     padded = np.pad(ratios, REACH, mode="edge")
     smooth = np.convolve(padded, kernel / kernel.sum(), mode="valid")
-    return smooth >= min(smooth.std(), smooth.mean() / 2) if smooth.std() else np.ones(len(smooth), bool)
+    if not smooth[lengths > 0].std():
+        return np.ones(len(smooth), bool)
+    worded = smooth[lengths > 0]  # entries of menus tell nothing of the content's ratios
+    threshold = min(worded.std(), worded.mean() / 2)
+    high, own = smooth >= threshold, ratios >= threshold
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]])))
+    found = np.zeros(len(high), bool)
+    for a, b in edges.reshape(-1, 2):
+        inner = np.flatnonzero(own[a:b])
+        if len(inner):
+            found[a + inner[0] : a + inner[-1] + 1] = True
+    return found if found.any() else high
 
 
 def left_out(page: Lines) -> list[bool]:
@@ -218,17 +244,21 @@ def main_text(html: str | None) -> str:
     page.close()
     page.flush()
     out = left_out(page)
-    # An item that is nothing but a link is an entry of a menu.
-    lines = [x for x in page.lines if not out[x[3]] and not (x[2] and x[2] >= len(x[0]) and page.tags[x[3]] in ("li", "dd", "dt"))]
-    if not lines:
+    lines = [x for x in page.lines if not out[x[3]]]
+    # An item that is nothing but a link is an entry of a menu, or of a list in the content: which, its place tells.
+    entry = [bool(x[2]) and x[2] >= len(x[0]) and page.tags[x[3]] in ("li", "dd", "dt") for x in lines]
+    if all(entry):
         return ""
-    lengths, tags = np.array([len(x[0]) for x in lines]), np.array([x[1] - 1 for x in lines])
+    lengths, tags = np.array([0 if e else len(x[0]) for x, e in zip(lines, entry, strict=True)]), np.array([x[1] - 1 for x in lines])
     content = content_clusters(lengths, tags)
-    held = np.zeros(len(page.tags), np.int64)
-    for (_, _, _, element), n in zip(lines, np.where(content, lengths, 0), strict=True):
-        while element >= 0:
-            held[element] += n
-            element = page.parents[element]
+    held = [0] * len(page.tags)
+    for x, n in zip(lines, np.where(content, lengths, 0).tolist(), strict=True):
+        held[x[3]] += n
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+    menu = [False] * len(page.tags)
+    for x, e in zip(lines, entry, strict=True):
+        menu[x[3]] |= e
     blocks = [t not in CLOSES_P or t in ("div", "section", "article", "main", "table") for t in page.tags]
     region = max(e for e in range(len(held)) if held[e] >= HELD * held[0] and blocks[e])
     marked, e = -1, region
@@ -250,6 +280,7 @@ def main_text(html: str | None) -> str:
             at = np.flatnonzero(content)
             first, last = at[0], at[-1] + 1
             beside = lambda k, edge: page.tags[lines[k][3]] in PARAGRAPHS and page.parents[lines[k][3]] == page.parents[lines[edge][3]]
+            inside = [x and not menu[e] for e, x in enumerate(inside)]
             while first and beside(first - 1, first):
                 first -= 1
             while last < len(lines) and beside(last, last - 1):

@@ -11,7 +11,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{x:y}</style><scrip
 SKIPPED = [
     "<aside>side</aside>", "<div class='sidebar-left'>side</div>", "<div id=cookieNotice>we use cookies</div>", "<form><label>Mail</label><input></form>",
     "<div class=ad>buy</div>", "<section id='comments'><p>Reader says hi to all of you out there</p></section>", "<article class='comment'><p>me too</p></article>",
-    "<ul><li><a href=a>one</a><li><a href=b>two</a></ul>", "<noscript>turn it on</noscript>", "<!-- gone -->", "<div hidden>h</div>", "<div role=navigation>n</div>",
+    "<noscript>turn it on</noscript>", "<!-- gone -->", "<div hidden>h</div>", "<div role=navigation>n</div>",
 ]
 LONG = " ".join(["words of an article that goes on"] * 12)
 
@@ -72,3 +72,41 @@ def test_articles_that_are_no_comments(names):
     assert main_text(PAGE % f"<article class='{names}'><p>{LONG}</p></article><article class=comment-body><p>me too</p></article>") == LONG
     assert main_text(PAGE % f"<article><p>{LONG}</p></article><section id=comments><article><p>{LONG}</p></article></section>") == LONG
     assert main_text(PAGE % f"<div><p>{LONG}</p></div><section id=comments><article><p>{LONG}</p></article></section>") == LONG
+
+
+@pytest.mark.parametrize("region", ["article", "main", "div class='post-content'"])
+def test_lists_of_links(region):
+    """In the content they are content, beside it a menu."""
+    links = "<ul><li><a href=a>one</a><li><a href=b>two</a></ul>"
+    body = f"{links}<{region}><h1>Head</h1><p>{LONG}</p>{links}<p>{LONG}</p></{region.split()[0]}>{links}"
+    assert main_text(PAGE % body) == f"Head\n\n{LONG}\n\none\n\ntwo\n\n{LONG}"
+    assert main_text(PAGE % f"{links}<h1>Head</h1><p>{LONG}</p>{links}") == f"Head\n\n{LONG}"
+    assert main_text(PAGE % links) == ""
+
+
+@pytest.mark.parametrize("section", ["<![foo[bar]]>", "<![CDATA[x]]>", "<![if !IE]>", "<![endif]-->", "<!x>", "<![>"])
+def test_marked_sections_are_comments(section):
+    assert main_text(PAGE % f"<article><p>one {section}two</p></article>").replace("-->", "") == "one two"
+    assert main_text(f"<p>one</p><![foo[").startswith("one")
+
+
+def test_deep_and_odd_markup():
+    import random
+    import time
+
+    began = time.process_time()
+    assert main_text("<div>x" * 50_000).count("x") == 50_000
+    assert main_text("<b>" * 50_000 + "<div>x</div>" * 50_000).count("x") == 50_000
+    assert main_text("<p>y" + "</i>" * 100_000) == "y"
+    assert time.process_time() - began < 60
+    pick = random.Random(3)
+    bits = ["<p>", "</p>", "<div", ">", "<", "</", "<!", "<![", "]]>", "<!--", "-->", "&#x", "&amp", "a b", "<a href='", "'", '"', "<li>", "<script>", "</script>", "<article>", "<?", "\n", "\0", "é"]
+    for _ in range(3000):
+        main_text("".join(pick.choice(bits) for _ in range(pick.randint(0, 40))))
+
+
+@pytest.mark.parametrize("tag", ["div", "", "section"])
+def test_clusters_find_articles_without_their_tags(spark, tag):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    same = sum(main_text(x) == main_text(re.sub(r"<(/?)article>", rf"<\1{tag}>" if tag else "", x)) for x in pages)
+    assert same >= 0.95 * len(pages)
