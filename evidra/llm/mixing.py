@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.llm.rows import packed, row_hash
 from evidra.llm.text import words
 from evidra.session import materialise
 
@@ -131,7 +132,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: floa
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns as they were."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.xxhash64(*docs.columns).alias("h"))
+    rows = docs.select(packed(docs).alias("row"), "doc_id", "source", "text", row_hash(docs).alias("h"))
     plan = plan_mix(rows.drop("row"), weights, epochs).groupBy("doc_id", "h").agg(F.sum("copies").alias("copies"))
     plan = plan.filter("copies > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "copies")
     out = rows.select("row", "doc_id", "h").join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm.rows import packed
 from evidra.llm.text import has_word, words
 
 WINDOW = 5
@@ -109,7 +110,7 @@ def quality_counts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    out = _counted(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    out = _counted(docs.select(packed(docs).alias("row"), "text"))
     return out.filter("kept").select("row.*")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +13,13 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def words(text: Column) -> Column:
-    """Maximal runs of characters other than ``SPACE``; null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+    """Maximal runs of characters other than ``SPACE``; null text has none.
+
+    Splitting at one character needs no pattern, so other white space is made plain first where there is any.
+    """
+    text = F.coalesce(text, F.lit(""))
+    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\n\x0b\x0c\r"))
+    return F.array_remove(F.split(F.when(odd, F.regexp_replace(text, SPACE, " ")).otherwise(text), " "), "")
 
 
 def has_word(text: Column) -> Column:
