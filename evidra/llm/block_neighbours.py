@@ -1,10 +1,14 @@
 """Operator 3: nearest neighbours by a block matrix join, exact in its result.
 
-Vectors are dealt by hash into blocks of bounded size, queries and candidates alike; each pair of blocks meets in one
+Vectors are dealt by hash into blocks of bounded bytes, queries and candidates alike; each pair of blocks meets in one
 task. There both are quantised to int8 and multiplied as tiles. The product, with the length of what quantisation cut
 off each vector, bounds every cosine from both sides; pairs whose upper bound is below the k-th best lower bound of
-their query are discarded, the survivors are recomputed in double precision, and a heap keeps each query's best of the
-tile. The bests of all tiles are ranked by a window. Nothing near is lost: recall is 1.
+their query, or below the k-th best score of the tiles before, are discarded, the survivors are recomputed in double
+precision, and a heap for each query merges the bests of the task's tiles. The bests of all tasks are ranked by a
+window. Nothing near is lost: recall is 1.
+
+A candidate is sent once for each block of queries and a query once for each block of candidates, so blocks are as
+large as a task can hold; there are as many of candidates as the session has shuffle partitions, if tiles fill them.
 
 Defined results
 ---------------
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from evidra.session import materialise
 
-CANDIDATES, QUERIES = 4096, 1024
+#: Vectors multiplied at once, and the most bytes of doubles that a block has on either side.
+CANDIDATES, QUERIES, BLOCK_BYTES = 4096, 1024, 32 << 20
 #: Survivors recomputed together.
 TOGETHER = 1 << 18
 #: Room for rounding in the bounds, which are otherwise exact.
@@ -69,26 +74,37 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(number of the query, vec_id, cosine) of each query's k nearest rows of the tile."""
-    (qa, qs, qe), (ca, cs, ce) = quantise(queries), quantise(rows)
+def best_of_tiles(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+    """(minus cosine, vec_id) of the k nearest of ``rows`` to each query, nearest first."""
+    bests: list[list[tuple[float, int]]] = [[] for _ in query_ids]
+    lengths = [np.sqrt(dots(m, m)) for m in (queries, rows)]
+    for c in range(0, len(rows), CANDIDATES):
+        there = slice(c, c + CANDIDATES)
+        candidates = quantise(rows[there])
+        for b in range(0, len(queries), QUERIES):
+            here = slice(b, b + QUERIES)
+            floor = np.array([-x[-1][0] if len(x) == k else -np.inf for x in bests[here]])
+            q, at = survivors(quantise(queries[here]), candidates, query_ids[here][:, None] == ids[there], floor, k)
+            scores = np.empty(len(q))
+            for i in range(0, len(q), TOGETHER):
+                left, right = q[i : i + TOGETHER] + b, at[i : i + TOGETHER] + c
+                scores[i : i + TOGETHER] = dots(queries[left], rows[right]) / (lengths[0][left] * lengths[1][right])
+            bounds = np.searchsorted(q, np.arange(len(floor) + 1))
+            found = list(zip((-scores).tolist(), ids[at + c].tolist(), strict=True))
+            for n in np.flatnonzero(np.diff(bounds)).tolist():
+                bests[b + n] = heapq.nsmallest(k, bests[b + n] + found[bounds[n] : bounds[n + 1]])
+    return bests
+
+
+def survivors(queries: tuple, candidates: tuple, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of a tile that may be among their query's k best: those not below ``floor`` and k others."""
+    (qa, qs, qe), (ca, cs, ce) = queries, candidates
     near = products(qa, ca) * qs[:, None] * cs
     room = qe[:, None] + (1 + qe[:, None]) * ce + SLACK
-    own = query_ids[:, None] == ids
     low = np.where(own, -np.inf, near - room)
-    least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
-    q, c = np.nonzero(~own & (near + room >= least[:, None]))
-    lengths = [np.sqrt(dots(m, m)) for m in (queries, rows)]
-    scores = np.empty(len(q))
-    for i in range(0, len(q), TOGETHER):
-        a, b = q[i : i + TOGETHER], c[i : i + TOGETHER]
-        scores[i : i + TOGETHER] = dots(queries[a], rows[b]) / (lengths[0][a] * lengths[1][b])
-    bounds = np.searchsorted(q, np.arange(len(queries) + 1))
-    out = []
-    for n, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        best = heapq.nsmallest(k, zip((-scores[i:j]).tolist(), ids[c[i:j]].tolist(), strict=True))
-        out += [(n, vec_id, -score) for score, vec_id in best]
-    return out
+    if low.shape[1] >= k:
+        floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
+    return np.nonzero(~own & (near + room >= floor[:, None]))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
@@ -96,22 +112,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q"))
     every = every.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
     every = materialise(every.withColumn("h", F.xxhash64("vec_id", "embedding")).withColumn("dim", F.size("embedding")), "vectors")
-    n, n_queries = every.agg(F.count("*"), F.count_if("q")).first()
-    blocks, query_blocks = n // CANDIDATES + 1, n_queries // QUERIES + 1
+    n, n_queries, dim = every.agg(F.count("*"), F.count_if("q"), F.max("dim")).first()
+    most = max(1, BLOCK_BYTES // (8 * (dim or 1)))
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, query_blocks = max(n // most, min(partitions, n // CANDIDATES)) + 1, n_queries // most + 1
     both = lambda df, own, c, other, m: df.withColumn(own, F.pmod("h", F.lit(c))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     left = both(every.filter("q").select("vec_id", "embedding", "h", "dim"), "qb", query_blocks, "cb", blocks)
     right = both(every.select("vec_id", "embedding", "h", "dim"), "cb", blocks, "qb", query_blocks)
 
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found = []
-        h = queries.column("h").to_numpy() if len(queries) else []
+        found = [[]] * len(queries)
         if len(queries) and len(rows):
-            ids = queries.column("vec_id").to_numpy()
-            found = tile(ids, _matrix(queries.column("embedding")), rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding")), k)
-        n = np.array([x[0] for x in found], np.int64)
+            ids = [t.column("vec_id").to_numpy() for t in (queries, rows)]
+            found = best_of_tiles(ids[0], _matrix(queries.column("embedding")), ids[1], _matrix(rows.column("embedding")), k)
+        of = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))), pa.int64())
+        flat = [x for best in found for x in best]
         return pa.table({
-            "query_id": pa.array(ids[n] if found else [], pa.int64()), "h": pa.array(h[n] if found else [], pa.int64()),
-            "vec_id": pa.array([x[1] for x in found], pa.int64()), "score": pa.array([x[2] for x in found], pa.float64()),
+            "query_id": queries.column("vec_id").take(of), "h": queries.column("h").take(of),
+            "vec_id": pa.array([x[1] for x in flat], pa.int64()), "score": pa.array([-x[0] for x in flat], pa.float64()),
         })
 
     cell = ("dim", "qb", "cb")

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidra.llm import block_neighbours
@@ -32,9 +33,11 @@ def plain(rows, k):
     return sorted(out)
 
 
-def test_equal_to_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [2000, 1 << 20])
+def test_equal_to_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(block_neighbours, "CANDIDATES", 64)
     monkeypatch.setattr(block_neighbours, "QUERIES", 10)
+    monkeypatch.setattr(block_neighbours, "BLOCK_BYTES", block_bytes)
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("h", F.lit(1)).repartition(3)
     out = block_neighbours.nearest(df, F.col("vec_id") % 10 == 0, 5)
     assert sorted((r.query_id, r.rank, r.vec_id) for r in out.collect()) == plain(vectors(), 5)
