@@ -5,8 +5,10 @@ inequality two fingerprints within ``max_bits`` differ by no more than that in e
 discarded by its largest coordinate difference before the two are compared bit by bit. Pivot distances alone give no
 key to join on, and scanning all pairs is not to be done; pairs are therefore formed within blocks. The 64 bits are
 cut into ``max_bits + 3`` bands: fingerprints that differ in at most ``max_bits`` bits agree on at least three whole
-bands, and every choice of three bands is one block key. Blocks hold distinct fingerprints only, copies of a text
-being one, and give a spanning forest of their links, not the pairs.
+bands, and every choice of three bands is one block key. A block of more than ``BLOCK`` fingerprints is cut once more in
+the same way by the bits that its key leaves open; what then shares a key has at most 16 open bits left, so no block
+holds more than 65,536. Blocks hold distinct fingerprints only, copies of a text being one, are ordered by the first
+pivot's distances, so that pairs further apart there are never formed, and give a spanning forest of their links.
 
 Defined results
 ---------------
@@ -22,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -32,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.components import components
+from evidra.llm.rows import packed, row_hash
 from evidra.session import materialise
 
 SEED, SHINGLE, MAX_BITS, PIVOTS = 42, 3, 3, 16
 #: Rows of sorted block keys that a task compares together.
 TOGETHER = 100_000
+#: Fingerprints of a block from which on it is cut once more.
+BLOCK = 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -70,11 +76,11 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, fp long")
 
 
-def block_masks(max_bits: int) -> list[int]:
-    """One mask for each choice of three of ``max_bits + 3`` bands."""
-    n = max_bits + 3
-    edges = [64 * k // n for k in range(n + 1)]
-    bands = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+def block_masks(max_bits: int, within: int = (1 << 64) - 1) -> list[int]:
+    """One mask for each choice of three of ``max_bits + 3`` bands of the bits of ``within``."""
+    n, bits = max_bits + 3, [k for k in range(64) if within >> k & 1]
+    edges = [len(bits) * k // n for k in range(n + 1)]
+    bands = [sum(1 << k for k in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(chosen) for chosen in combinations(bands, 3)]
 
 
@@ -84,17 +90,26 @@ def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ reference).astype(np.int8)
 
 
-def block_forest(block: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarray:
-    """For rows in order of ``block``: the number of the first row that each is connected to within its block."""
-    root = np.arange(len(fps))
+def block_forest(block: np.ndarray, fps: np.ndarray, max_bits: int, seen: Counter | None = None) -> np.ndarray:
+    """For rows in order of ``block``: the number of a row that each is connected to within its block, its own at last.
+
+    ``seen`` counts the pairs that are formed, and of them those that all pivots let through to be verified.
+    """
     table = pivot_table(fps)
-    ends = np.flatnonzero(np.diff(block, append=block[-1:] - 1)) if len(block) else np.empty(0, np.int64)
-    last = np.repeat(ends, np.diff(ends, prepend=-1))  # the last row of each row's block
+    order = np.lexsort((table[:, 0], block))
+    table, fps = table[order], fps[order]
+    root = np.arange(len(fps))
+    # The last row of the same block that is no further from the first pivot than a link can be.
+    place = block[order].astype(np.int64) * 256 + table[:, 0]
+    last = np.searchsorted(place, place + max_bits, side="right") - 1
     at, lag = np.arange(len(fps)), 1
     while len(at := at[at + lag <= last[at]]):
         a = at[root[at] != root[at + lag]]
-        for p in range(table.shape[1]):  # the largest coordinate difference, pivot by pivot
+        formed = len(a)
+        for p in range(1, table.shape[1]):  # the largest coordinate difference, pivot by pivot
             a = a[np.abs(table[a, p] - table[a + lag, p]) <= max_bits]
+        if seen is not None:
+            seen.update(formed=formed, verified=len(a))
         a = a[np.bitwise_count(fps[a] ^ fps[a + lag]) <= max_bits]
         b = a + lag
         while len(a):
@@ -105,15 +120,24 @@ def block_forest(block: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarra
             apart = root[a] != root[b]
             a, b = a[apart], b[apart]
         lag += 1
-    return root
+    found = np.empty_like(order)
+    found[order] = order[root]
+    return found
 
 
 def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (u, v) that connect whatever fingerprints of ``distinct(fp)`` differ in at most ``max_bits`` bits."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(block_masks(max_bits))]
+    masks = block_masks(max_bits)
+    each = lambda c, m: F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = distinct.select("fp", F.inline(F.array(*keys))).repartition(n, "c", "key").sortWithinPartitions("c", "key")
+    blocks = distinct.select("fp", F.inline(F.array(*(each(k, m) for k, m in enumerate(masks)))))
+    large = materialise(blocks.groupBy("c", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("c", "key"), "blocks")
+    if large.head(1):
+        finer = {k: F.array(*(each(len(masks) * (k + 1) + i, m | x) for i, x in enumerate(block_masks(max_bits, ~m & (1 << 64) - 1)))) for k, m in enumerate(masks)}
+        cut = blocks.join(large, ["c", "key"], "left_semi").select("fp", F.inline(F.element_at(F.create_map(*(x for k, a in finer.items() for x in (F.lit(k), a))), F.col("c"))))
+        blocks = blocks.join(large, ["c", "key"], "left_anti").select("fp", "c", "key").union(cut)
+    blocks = blocks.repartition(n, "c", "key").sortWithinPartitions("c", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -157,7 +181,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` for each component, all columns as they were."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("h"))
+    rows = docs.select(packed(docs).alias("row"), "doc_id", "text", row_hash(docs).alias("h"))
     fps = materialise(fingerprints(rows.select("doc_id", "h", "text")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "h"))
     least = _with_component(fps.groupBy("fp").agg(first.alias("first")), max_bits)
