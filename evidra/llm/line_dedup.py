@@ -3,8 +3,8 @@
 A line is its words; white space within and around it doesn't count. Lines are ordered by (doc_id, nulls last; row
 hash; number of the line). A line of ``MIN_WORDS`` words or more is removed if an earlier one has the same words, and
 one of ``NEAR_WORDS`` or more also if an earlier one of as many is one word edit away (a word replaced, left out or put
-in). Both are judged on the input, not on what is left. Shorter lines stay; the bounds are arguments, and with 1 as the
-first every line that has a word is judged.
+in). Both are judged on the input, not on what is left. By default every line that has a word is judged; the bounds are
+arguments.
 
 Only DataFrame functions run. Lines are first reduced to distinct ones, of which the earliest counts. The deletion
 neighbourhood then works on hashes: a line emits, for each place in it, the key of what is left without the word there
@@ -30,10 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.llm.rows import packed, row_hash
 from evidra.llm.text import words
 from evidra.session import materialise
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+#: From how many words on lines are judged as repeats, and as near repeats: of five words one edit leaves four fifths.
+MIN_WORDS, NEAR_WORDS = 1, 5
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
@@ -109,9 +111,8 @@ def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 def _removed(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """d, g (a row's doc_id and hash) and removed (the numbers of its lines that go)."""
     lines = _lines(rows, min_words)
-    text = F.array_join("w", " ")
     halves = F.when(F.size("w") >= near_words, _halves(F.col("w"))).otherwise(F.array().cast("array<bigint>"))
-    lines = materialise(lines.select("absent", "doc_id", "h", "pos", F.xxhash64(text).alias("a"), F.hash(text).alias("b"), halves.alias("halves")), "keys")
+    lines = materialise(lines.select("absent", "doc_id", "h", "pos", F.xxhash64("w").alias("a"), F.hash("w").alias("b"), halves.alias("halves")), "keys")
     firsts = lines.groupBy("a", "b").agg(F.min(_at(lines)).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     firsts = materialise(firsts, "firsts")
     again = lines.join(firsts.filter("n > 1").select("a", "b", "at"), ["a", "b"]).filter(_at(lines) != F.col("at")).select("absent", "doc_id", "h", "pos")
@@ -121,8 +122,7 @@ def _removed(rows: DataFrame, min_words: int, near_words: int) -> DataFrame:
 
 def _deduped(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """row (all columns of ``docs`` but the text), text without the removed lines, n_lines and n_removed."""
-    others = F.struct(*(c for c in docs.columns if c != "text"))
-    rows = docs.select(others.alias("row"), "doc_id", "text", F.xxhash64(*docs.columns).alias("h"))
+    rows = docs.select(packed(docs, but="text").alias("row"), "doc_id", "text", row_hash(docs).alias("h"))
     out = rows.join(_removed(rows.drop("row"), min_words, near_words), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     out = out.select("row", "text", F.split("text", "\n").alias("lines"), "removed")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")

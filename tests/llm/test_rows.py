@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidra.llm import line_dedup, mixing, quality_rules, simhash
 from evidra.llm.components import components
+from evidra.llm.rows import row_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that the operators use inside or return.
@@ -79,10 +80,11 @@ def test_line_dedup(spark):
         left = []
         for line in (text or "").split("\n"):
             w = WORD.findall(line)
-            same = len(w) >= 5 and any(w == e or (min(len(w), len(e)) >= 10 and one_edit(w, e)) for e in earlier)
+            near = lambda e, w=w: min(len(w), len(e)) >= line_dedup.NEAR_WORDS and one_edit(w, e)
+            same = len(w) >= line_dedup.MIN_WORDS and any(w == e or near(e) for e in earlier)
             if not same:
                 left.append(line)
-            if len(w) >= 5:
+            if len(w) >= line_dedup.MIN_WORDS:
                 earlier.append(w)
         wanted[doc_id] = None if text is None else "\n".join(left)
     out = line_dedup.dedup_lines(df)
@@ -95,7 +97,7 @@ def test_line_dedup_on_repeated_rows_and_nothing(spark):
     out = line_dedup.dedup_lines(docs(spark))
     assert out.count() == docs(spark).count() and out.columns == docs(spark).columns
     tie = [r.text for r in out.filter("doc_id = 5 and source is null").collect()]
-    assert tie == ["tie", "tie"]
+    assert tie == ["tie", "tie"]  # equal rows do not remove each other's lines
     assert line_dedup.dedup_lines(docs(spark).limit(0)).count() == 0
 
 
@@ -211,3 +213,45 @@ def test_tilt_meets_the_balance_conditions(spark):
         mean = sum(r.size * r.n for r in rows) / sum(r.n for r in rows)
         words = sum(r.n * r.size * 2 / (1 + math.exp(-t.tilt * r.size / mean)) for r in rows)
         assert abs(words - t.target) < 1e-6 * t.target
+
+
+def rows_of_any_kind(spark):
+    """Null in either of two columns, a map, nested nulls, and names that need quotes."""
+    rows = [
+        (1, "a b c d e f g h i j k l", "s", None, "x", {"k": 1}, (None, "y")),
+        (1, "a b c d e f g h i j k l", "s", "x", None, {"k": 1}, (None, "y")),
+        (1, "a b c d e f g h i j k l", "s", "x", None, {"k": 1}, ("y", None)),
+        (1, "a b c d e f g h i j k l", "s", "x", None, {"k": None}, ("y", None)),
+        (None, None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string, `c``d e` string, row map<string,int>, struct struct<l:string,r:string>")
+
+
+def plain_rows(df):
+    return Counter(str(r.asDict(recursive=True)) for r in df.collect())
+
+
+def test_rows_are_told_apart_by_every_column(spark):
+    df = rows_of_any_kind(spark)
+    assert df.select(row_hash(df).alias("h")).distinct().count() == 5
+    twice = mixing.mix(df, epochs=2.0)
+    assert twice.columns == df.columns and plain_rows(twice) == Counter({r: n * (1 if "'text': None" in r else 2) for r, n in plain_rows(df).items()})
+    kept = line_dedup.dedup_lines(df)
+    assert kept.columns == df.columns and sorted(r.text or "" for r in kept.collect()) == ["", "", "", "", "a b c d e f g h i j k l"]
+    assert simhash.keep_one(df).count() == 2 and simhash.keep_one(df).columns == df.columns
+    assert quality_rules.keep_good(df).columns == df.columns
+
+
+@pytest.mark.parametrize("limit", [1, 5])
+def test_large_blocks_are_split(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BLOCK", limit)
+    test_links_of_near_fingerprints(spark, 1)
+
+
+def test_pivots_discard_pairs_before_they_are_formed():
+    import numpy as np
+
+    fps = np.random.default_rng(2).integers(0, 1 << 20, 3000, np.uint64)
+    seen = Counter()
+    simhash.block_forest(np.zeros(len(fps), np.int64), fps, 3, seen)
+    assert 0 < seen["verified"] < seen["formed"] < len(fps) * (len(fps) - 1) // 2
