@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.intervals import nearest, overlap_join
+from evidra.operators.scans import scan_groups
 
 
 def window_evidence(windows: DataFrame, frames: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,17 +104,21 @@ def quotations(words: DataFrame, keys: list[str], cues: list[str], most_words: i
 def dedupe_events(events: DataFrame) -> DataFrame:
     """In order of start, longest first: of overlapping events of one kind the surer stays in the place of the other."""
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in rows.assign(_n=rows["start_ms"] - rows["end_ms"]).sort_values(["start_ms", "_n", "ord"], kind="stable").drop(columns="_n").to_dict("records"):
-            at = next((i for i, k in enumerate(kept) if k["kind"] == r["kind"] and r["start_ms"] < k["end_ms"] and k["start_ms"] < r["end_ms"]), None)
+    def scan(rows: pd.DataFrame) -> list[tuple]:
+        kept: list[tuple] = []
+        active: list[int] = []  # those of kept that end after the present start, in order
+        for r in rows.drop(columns="_n").itertuples(index=False):
+            active = [i for i in active if r.start_ms < kept[i].end_ms]
+            at = next((i for i in active if kept[i].start_ms < r.end_ms), None)
             if at is None:
+                active.append(len(kept))
                 kept.append(r)
-            elif r["confidence"] > kept[at]["confidence"]:
+            elif r.confidence > kept[at].confidence:
                 kept[at] = r
-        return pd.DataFrame(kept)[["entity", "ord", "kind", "start_ms", "end_ms", "confidence"]]
+        return kept
 
-    return events.select("entity", "ord", "kind", "start_ms", "end_ms", "confidence").groupBy("entity").applyInPandas(scan, "entity long, ord long, kind string, start_ms long, end_ms long, confidence double")
+    rows = events.selectExpr("entity", "ord", "kind", "start_ms", "end_ms", "confidence", "start_ms - end_ms as _n")
+    return scan_groups(rows, scan, "entity long, ord long, kind string, start_ms long, end_ms long, confidence double", ["entity", "kind"], ["start_ms", "_n", "ord"])
 
 
 def clauses_in_order(hits: DataFrame, most: int = 5) -> DataFrame:

@@ -75,16 +75,22 @@ def scenarios(findings: DataFrame) -> DataFrame:
 
 def simulate(findings: DataFrame, edits: DataFrame) -> DataFrame:
     """scenario, entity, overall after the edits, delta against none, impact and value of each scenario."""
-    risk = lambda sure: ev.finding_risk(F.col("severity"), F.col("confidence"), F.col("start_ms"), F.col("end_ms"), sure)
-    ready = lambda: ev.readiness({d: F.col(d) for d in ev.DIMENSION_WEIGHT})["overall"]
-    base = sub_scores(findings.withColumn("risk", risk(F.lit(None).cast("double"))), "entity").select("entity", ready().alias("baseline"))
-    names = edits.select("scenario", "entity").distinct()
-    touched = remediation.apply_edits(findings, edits).select("scenario", "entity", "ord", "survives", "fused")
-    every = names.join(findings, "entity").join(touched, ["scenario", "entity", "ord"], "left").filter("survives is null or survives")
-    after = sub_scores(every.withColumn("risk", risk(F.col("fused"))), "scenario", "entity").select("scenario", "entity", ready().alias("overall"))
+    # A dimension's score is a product over findings, so a scenario changes it by the quotients of the findings it touches:
+    # the work grows with those, not with scenarios times findings.
+    kept = lambda sure: F.log1p(-ev.finding_risk(F.col("severity"), F.col("confidence"), F.col("start_ms"), F.col("end_ms"), sure))
+    per_dimension = lambda value: [F.sum(F.when(ev.dimension_of(F.col("clause")) == d, value)).alias(d) for d in ev.DIMENSION_WEIGHT]
+    base = findings.groupBy("entity").agg(*per_dimension(kept(F.lit(None).cast("double"))))
+    touched = remediation.apply_edits(findings, edits).select("scenario", "entity", "ord", "survives", "fused").join(findings, ["entity", "ord"])
+    change = F.when(F.col("survives"), kept(F.col("fused"))).otherwise(0.0) - kept(F.lit(None).cast("double"))
+    changed = touched.groupBy("scenario", "entity").agg(*per_dimension(change))
+    zero = lambda df, d: F.coalesce(df[d], F.lit(0.0))
+    score = lambda logs: {d: F.least(100 * F.exp(x), F.lit(100.0)) for d, x in logs.items()}
+    every = edits.select("scenario", "entity").distinct().join(changed, ["scenario", "entity"], "left").join(base.alias("base"), "entity")
+    before, after = {d: zero(base, d) for d in ev.DIMENSION_WEIGHT}, {d: zero(base, d) + zero(changed, d) for d in ev.DIMENSION_WEIGHT}
+    after = every.select("scenario", "entity", ev.readiness(score(before))["overall"].alias("baseline"), ev.readiness(score(after))["overall"].alias("overall"))
     cost = ev.lookup({k: v[0] for k, v in remediation.COST.items()}, F.col("op"), 0.05)
     impact = edits.groupBy("scenario", "entity").agg(F.sum(cost).alias("impact"))
-    out = impact.join(after, ["scenario", "entity"], "left").join(base, "entity").withColumn("overall", F.coalesce("overall", F.lit(100)))
+    out = impact.join(after, ["scenario", "entity"])
     delta = F.col("overall") - F.col("baseline")
     return out.select("scenario", "entity", "overall", delta.alias("delta"), "impact", (delta / F.greatest("impact", F.lit(0.01))).alias("value"))
 

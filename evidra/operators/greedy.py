@@ -1,16 +1,23 @@
 """Scans whose state depends on what came before: one entity's rows in order, in one grouped pandas call.
 
-None of these can be combined in parts, so an entity's rows must fit a task; entities are dealt out by Spark. Inputs
-carry an ``ord`` column, which makes their order total. What can be a join, a window or an aggregate is one elsewhere.
+None of these can be combined in parts, so the rows that can meet must fit a task: an entity's, or those of them that
+agree in a clause or kind as well. Spark deals them out. Inputs carry an ``ord`` column, which makes their order total. What can be a
+join, a window or an aggregate is one elsewhere.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evidra.functions.evidence import SEVERITIES
+from evidra.functions.text import plain_text
 from evidra.operators.remediation import CEILING, COST
+from evidra.operators.scans import scan_groups
 
 # Categories that may be one incident with each category, and the bounds of an incident's confidence.
 COMPATIBLE = {
@@ -27,11 +34,9 @@ COMPATIBLE = {
 NEAR_MS, RECENT, STEP, MOST = 2_500, 4, 0.05, 0.97
 
 
-def _per_entity(df: DataFrame, f, schema: str, order: list[str], entity: str = "entity") -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return f(rows.sort_values(order, kind="stable"))
-
-    return df.groupBy(entity).applyInPandas(run, schema)
+def _per_entity(df: DataFrame, f, schema: str, order: list[str], *also: str) -> DataFrame:
+    """``f`` of each entity's rows in order; of the rows that also agree in other columns, where only such rows meet."""
+    return scan_groups(df, f, schema, ["entity", *also], order)
 
 
 def incidents(findings: DataFrame, duration_ms: int, share: float = 0.9) -> DataFrame:
@@ -67,8 +72,6 @@ def incidents(findings: DataFrame, duration_ms: int, share: float = 0.9) -> Data
 
 def incident_summary(numbered: DataFrame) -> DataFrame:
     """entity, incident, its span, gravest severity, confidence, clauses and findings, from findings with their incident."""
-    from pyspark.sql import functions as F
-
     from evidra.functions.evidence import active, rank_of
 
     agents = F.array_sort(F.array_distinct(F.flatten(F.collect_set(active(F.col("modalities"))))))
@@ -83,21 +86,20 @@ def incident_summary(numbered: DataFrame) -> DataFrame:
 def dedupe_by_iou(candidates: DataFrame, floor: float = 0.5) -> DataFrame:
     """The surest first: one of the same clause that covers most of a kept one is absorbed, and the kept one's span grows."""
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in rows.to_dict("records"):
+    def scan(rows: pd.DataFrame) -> list[list]:
+        kept: list[list] = []
+        for r in rows.itertuples():
             for k in kept:
-                both = min(k["end_ms"], r["end_ms"]) - max(k["start_ms"], r["start_ms"])
-                union = k["end_ms"] - k["start_ms"] + r["end_ms"] - r["start_ms"] - max(both, 0)
-                if k["clause"] == r["clause"] and both > 0 and both / union > floor:
-                    k["start_ms"], k["end_ms"] = min(k["start_ms"], r["start_ms"]), max(k["end_ms"], r["end_ms"])
+                both = min(k[3], r.end_ms) - max(k[2], r.start_ms)
+                if both > 0 and both / (k[3] - k[2] + r.end_ms - r.start_ms - both) > floor:
+                    k[2], k[3] = min(k[2], r.start_ms), max(k[3], r.end_ms)
                     break
             else:
-                kept.append(r)
-        return pd.DataFrame(kept)[["entity", "ord", "start_ms", "end_ms", "clause"]]
+                kept.append([r.entity, r.ord, r.start_ms, r.end_ms, r.clause])
+        return kept
 
     ranked = candidates.selectExpr("entity", "ord", "start_ms", "end_ms", "clause", "-confidence as _c")
-    return _per_entity(ranked, scan, "entity long, ord long, start_ms long, end_ms long, clause string", ["_c", "start_ms", "ord"])
+    return _per_entity(ranked, scan, "entity long, ord long, start_ms long, end_ms long, clause string", ["_c", "start_ms", "ord"], "clause")
 
 
 def match_runs(before: DataFrame, after: DataFrame, floor: float = 0.3, tolerance_ms: int = 1_500) -> DataFrame:
@@ -105,26 +107,25 @@ def match_runs(before: DataFrame, after: DataFrame, floor: float = 0.3, toleranc
 
     Same clause, and spans that overlap enough or both ends near. Leftovers of the second run are NEW.
     """
-    from pyspark.sql import functions as F
-
     both = before.withColumn("run", F.lit(0)).unionByName(after.withColumn("run", F.lit(1)))
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        old, new, out = rows[rows["run"] == 0], list(rows[rows["run"] == 1].itertuples()), []
-        entity = rows["entity"].iloc[0]
-        for a in old.itertuples():
+    def scan(rows: pd.DataFrame) -> list[tuple]:
+        every = list(rows.itertuples())
+        old, new, out = [r for r in every if r.run == 0], [r for r in every if r.run == 1], []
+        entity = every[0].entity
+        for a in old:
             hit = None
             for i, b in enumerate(new):
                 cut = max(0, min(a.end_ms, b.end_ms) - max(a.start_ms, b.start_ms))
                 union = a.end_ms - a.start_ms + b.end_ms - b.start_ms - cut
-                if a.clause == b.clause and ((union > 0 and cut / union >= floor) or (abs(a.start_ms - b.start_ms) <= tolerance_ms and abs(a.end_ms - b.end_ms) <= tolerance_ms)):
+                near = abs(a.start_ms - b.start_ms) <= tolerance_ms and abs(a.end_ms - b.end_ms) <= tolerance_ms
+                if near or (union > 0 and cut / union >= floor):
                     hit = new.pop(i)
                     break
             out.append((entity, a.ord, None if hit is None else hit.ord, "RESOLVED" if hit is None else "PERSISTS"))
-        out += [(entity, None, b.ord, "NEW") for b in new]
-        return pd.DataFrame(out, columns=["entity", "before", "after", "status"]).astype({"before": "Int64", "after": "Int64"})
+        return out + [(entity, None, b.ord, "NEW") for b in new]
 
-    return _per_entity(both.select("entity", "ord", "start_ms", "end_ms", "clause", "run"), scan, "entity long, before long, after long, status string", ["run", "ord"])
+    return _per_entity(both.select("entity", "ord", "start_ms", "end_ms", "clause", "run"), scan, "entity long, before long, after long, status string", ["run", "ord"], "clause")
 
 
 def choose_fixes(findings: DataFrame, strategy: str = "balanced") -> DataFrame:
@@ -167,33 +168,65 @@ def caption_cues(words: DataFrame, gap_ms: int = 700, most_ms: int = 6_000, most
     return words.select("entity", "turn", "pos", "w", "start_ms", "end_ms").groupBy("entity", "turn").applyInPandas(run, "entity long, turn long, n long, start_ms long, end_ms long, text string")
 
 
-def cluster_sightings(sightings: DataFrame, floor: float = 0.85, gap_ms: int = 5_000) -> DataFrame:
-    """Sightings of one text over time: each joins the latest cluster whose text is like enough and was seen lately."""
+def _overlap(a: tuple, b: tuple) -> float:
+    """Intersection over union of two boxes (x, y, w, h); 0 where either has no area."""
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(w, 0.0) * max(h, 0.0)
+    union = a[2] * a[3] + b[2] * b[3] - both
+    return both / union if union > 0 else 0.0
+
 
-    def alike(a: str, b: str) -> bool:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        longest = max(len(a), len(b))
-        return longest == 0 or 1 - row[-1] / longest >= floor or (min(len(a), len(b)) >= 8 and row[-1] <= 2)
+def _around(a: tuple, b: tuple) -> tuple:
+    x, y = min(a[0], b[0]), min(a[1], b[1])
+    return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
+
+
+@functools.lru_cache(1 << 16)
+def _alike(a: str, b: str, floor: float) -> bool:
+    """Similar by share of the longer, or within two edits if both have eight characters or more."""
+    longest, shortest = max(len(a), len(b)), min(len(a), len(b))
+    most = max(int((1 - floor) * longest + 1e-9), 2 if shortest >= 8 else 0)
+    if longest - shortest > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
+def cluster_sightings(sightings: DataFrame, floor: float = 0.85, overlap: float = 0.6, gap_ms: int = 5_000) -> DataFrame:
+    """entity, ord and cluster of sightings (entity, ord, ts_ms, text, confidence, x, y, w, h) of texts on screen.
+
+    In order of time and text each joins the first cluster, in order of creation, that was seen within ``gap_ms``, whose
+    text is alike in normal form, and whose box overlaps its own. A cluster's box is around all its members', its text
+    that of its surest one. Clusters out of reach in time are let go, so the work grows with what is on screen at once.
+    """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        numbers = []
+        active: list[dict] = []
+        numbers, made = [], 0
         for r in rows.itertuples():
-            home = next((c for c in reversed(clusters) if r.ts_ms - c["seen"] <= gap_ms and alike(c["text"], r.text)), None)
+            box = (r.x, r.y, r.w, r.h)
+            active = [c for c in active if r.ts_ms - c["seen"] <= gap_ms]
+            home = next((c for c in active if _overlap(c["box"], box) >= overlap and _alike(c["key"], r.key, floor)), None)
             if home is None:
-                home = {"text": r.text, "best": r.confidence, "n": len(clusters)}
-                clusters.append(home)
-            elif r.confidence > home["best"]:
-                home["text"], home["best"] = r.text, r.confidence
+                home = {"key": r.key, "best": r.confidence, "n": made, "box": box}
+                active.append(home)
+                made += 1
+            else:
+                home["box"] = _around(home["box"], box)
+                if r.confidence > home["best"]:
+                    home["key"], home["best"] = r.key, r.confidence
             home["seen"] = r.ts_ms
             numbers.append(home["n"])
         return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "cluster": numbers})
 
-    return _per_entity(sightings.select("entity", "ord", "ts_ms", "text", "confidence"), scan, "entity long, ord long, cluster long", ["ts_ms", "ord"])
+    keyed = sightings.select("entity", "ord", "ts_ms", "text", plain_text(F.col("text")).alias("key"), "confidence", "x", "y", "w", "h")
+    return _per_entity(keyed, scan, "entity long, ord long, cluster long", ["ts_ms", "text", "ord"])
 
 
 def accepted_after_gap(events: DataFrame, gap_ms: int) -> DataFrame:
@@ -212,18 +245,19 @@ def accepted_after_gap(events: DataFrame, gap_ms: int) -> DataFrame:
 
 def nearest_unique(targets: DataFrame, frames: DataFrame) -> DataFrame:
     """Each target in order takes the nearest frame that none took before, the earlier of two as near."""
-    from pyspark.sql import functions as F
-
     both = targets.select("entity", F.col("ord"), "ts_ms", F.lit(0).alias("kind")).union(frames.select("entity", F.col("ord"), "ts_ms", F.lit(1).alias("kind")))
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        free = [(r.ts_ms, r.ord) for r in rows[rows["kind"] == 1].itertuples()]
+        free = [(r.ts_ms, r.ord) for r in rows[rows["kind"] == 1].itertuples()]  # in order
         out = []
         for t in rows[rows["kind"] == 0].itertuples():
-            best = min(free, key=lambda f: (abs(f[0] - t.ts_ms), f[0], f[1]), default=None)
-            if best:
-                free.remove(best)
-                out.append((t.entity, t.ord, best[1]))
+            after = bisect.bisect_left(free, (t.ts_ms,))
+            # Of several frames at one time the first is taken, so the one before is the first of its time.
+            beside = [bisect.bisect_left(free, (free[after - 1][0],))] if after else []
+            beside += [after] if after < len(free) else []
+            if beside:
+                best = min(beside, key=lambda i: (abs(free[i][0] - t.ts_ms), free[i]))
+                out.append((t.entity, t.ord, free.pop(best)[1]))
         return pd.DataFrame(out, columns=["entity", "ord", "frame"])
 
     return _per_entity(both, scan, "entity long, ord long, frame long", ["kind", "ts_ms", "ord"])

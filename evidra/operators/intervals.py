@@ -6,7 +6,7 @@ touches; a pair is kept only in the bucket where the later of the two starts, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,11 +77,19 @@ def hopping_rate(words: DataFrame, keys: list[str], window: int = 30_000, stride
 
 def map_instant(instants: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """``id`` and where its ``ms`` is after the cuts (cs, ce) are taken out; null inside a cut."""
-    hit = instants.join(cuts, keys, "left")
-    removed = F.sum(F.when(F.col("cs") < F.col("ms"), F.least("ce", "ms") - F.col("cs")).otherwise(0))
-    inside = F.bool_or((F.col("ms") >= F.col("cs")) & (F.col("ms") < F.col("ce")))
-    out = hit.groupBy("id", "ms").agg(removed.alias("gone"), F.coalesce(inside, F.lit(False)).alias("inside"))
-    return out.select("id", F.when(~F.col("inside"), F.col("ms") - F.coalesce("gone", F.lit(0))).alias("ms"))
+    # Cuts and instants in one order of time: what the cuts before took out is a running sum, and the cuts that are open
+    # are those begun less those ended. A cut's end stands before an instant there, a cut's beginning too.
+    row = lambda id_, ms, kind, begun, at: F.struct(id_.alias("id"), ms.cast("long").alias("ms"), F.lit(kind).alias("kind"), F.lit(begun).alias("begun"), at.cast("long").alias("at"))
+    none = F.lit(None)
+    id_type = instants.schema["id"].dataType
+    ends = cuts.dropna(subset=keys).select(*keys, F.inline(F.array(row(none.cast(id_type), F.col("cs"), 0, 1, F.col("cs")), row(none.cast(id_type), F.col("ce"), 0, -1, F.col("ce")))))
+    points = instants.select(*keys, F.inline(F.array(row(F.col("id"), F.col("ms"), 1, 0, F.lit(0)))))
+    w = Window.partitionBy(*keys).orderBy("ms", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = F.sum("begun").over(w)
+    # Of ended cuts their length, of open ones what has passed: begins are taken off, ends and the instant added.
+    passed = -F.sum(F.col("begun") * F.col("at")).over(w)
+    out = ends.union(points).select("id", "ms", "kind", open_.alias("open"), passed.alias("passed")).filter("kind = 1")
+    return out.select("id", F.when(F.col("open") == 0, F.col("ms") - F.col("passed")).alias("ms"))
 
 
 def map_span(spans: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,8 +52,19 @@ def cut_budget(ops: DataFrame, duration_ms: int, share: float = CUT_SHARE) -> Da
 
 
 def invalid(ops: DataFrame, duration_ms: int) -> DataFrame:
-    """Operations that a renderer must refuse, with the reason."""
-    reason = F.when(F.col("e") <= F.col("s"), "not positive").when(F.col("e") - F.col("s") < MIN_MS, "too short").when((F.col("s") < 0) | (F.col("e") > duration_ms), "outside the file")
+    """Operations that a renderer must refuse, with the first reason.
+
+    Blurs need a ``box`` and replaced audio an ``asset`` where ``ops`` has such columns; where it has ``n``, an entity's
+    operations in order of it must not begin before the one before them.
+    """
+    s, e = F.col("s"), F.col("e")
+    reason = F.when(e <= s, "not positive").when(e - s < MIN_MS, "too short").when((s < 0) | (e > duration_ms), "outside the file")
+    if "box" in ops.columns:
+        reason = reason.when((F.col("op") == "BLUR_REGION") & F.col("box").isNull(), "no box")
+    if "asset" in ops.columns:
+        reason = reason.when((F.col("op") == "REPLACE_AUDIO") & (F.coalesce("asset", F.lit("")) == ""), "no asset")
+    if "n" in ops.columns:
+        reason = reason.when(s < F.lag("s").over(Window.partitionBy("entity").orderBy("n")), "out of order")
     return ops.withColumn("reason", reason).filter("reason is not null")
 
 

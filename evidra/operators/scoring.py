@@ -95,3 +95,20 @@ def classify_absence(spans: DataFrame, bands: DataFrame, band_ms: int) -> DataFr
     )
     absence = F.when(~F.col("ran"), "NOT_RUN").when(F.col("blind"), "NO_COVERAGE").when(F.col("thin"), "INSUFFICIENT_COVERAGE").otherwise("NEGATIVE_EVIDENCE")
     return seen.select("ord", absence.alias("absence"))
+
+
+def caption_coverage(items: DataFrame, duration_ms: int) -> DataFrame:
+    """entity, the share of the file that burned-in captions are shown (1 at most), their number, and if there are any."""
+    caption = F.col("role") == "burned_in_caption"
+    shown = F.sum(F.when(caption, F.col("end_ms") - F.col("start_ms")).otherwise(0))
+    ratio = F.least(F.lit(1.0), shown / duration_ms) if duration_ms > 0 else F.lit(0.0)
+    return items.groupBy("entity").agg(ratio.alias("ratio"), F.count_if(caption).alias("captions"), (F.count_if(caption) > 0).alias("burned_in"))
+
+
+def pair_summary(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Counts of evidence pairs (before, after, removed): frames on either side, removed, and after frames that are lacking."""
+    removed, has = F.coalesce("removed", F.lit(False)), lambda c: F.col(c).isNotNull()
+    return pairs.groupBy(*keys).agg(
+        F.count("*").alias("pairs"), F.count_if(has("before")).alias("before_frames"), F.count_if(has("after")).alias("after_frames"),
+        F.count_if(removed).alias("removed"), F.count_if(~has("after") & ~removed).alias("after_unavailable"),
+    )

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 FRAME, HOP = 2048, 512
+# Bounds of applause (variation of flux, rhythm of syllables in Hz, onset density, flatness, length) and of
+# sudden sounds (crest factor, attack, and the time until the next one).
+VARIATION, SYLLABLES, DENSE, NOISY, APPLAUSE_MS = (0.25, 1.5), (2.0, 8.0), 0.30, 0.40, 1_200
+CREST, ATTACK_MS, REFRACTORY_MS = 8.0, 20.0, 120
 
 
 def frames(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -160,3 +164,70 @@ def motion(differences: DataFrame) -> DataFrame:
     d = differences.join(typical, "clip").withColumn("spike", spike)
     beside = F.coalesce(F.lag("spike").over(w), F.lit(False)) | F.coalesce(F.lead("spike").over(w), F.lit(False))
     return d.withColumn("kind", F.when(beside, "GRADUAL").otherwise("CUT")).filter("spike").select("clip", "n", "kind")
+
+
+def modulation_hz(rms: np.ndarray, rate: float) -> float:
+    """The strongest rate between 0.5 and 20 Hz at which loudness rises and falls; 0 for a steady or very short signal."""
+    d = rms - rms.mean() if len(rms) >= 8 else np.zeros(0)
+    if not d.any():
+        return 0.0
+    power, at = np.abs(np.fft.rfft(d * np.hanning(len(d)))), np.fft.rfftfreq(len(d), 1 / rate)
+    power[(at <= 0.5) | (at >= 20)] = -1
+    return float(at[power.argmax()]) if power.max() >= 0 else 0.0
+
+
+def applause_spans(found: pd.DataFrame, rate: float) -> list[tuple[int, int]]:
+    """Spans of dense, noisy onsets that are neither steady nor in the rhythm of speech, of the spectra ``found``."""
+    flux, flat = found["flux"].to_numpy(), found["flatness"].to_numpy()
+    if len(flux) < 20 or flux.mean() <= 1e-12 or not VARIATION[0] <= flux.std() / flux.mean() <= VARIATION[1]:
+        return []
+    if SYLLABLES[0] <= modulation_hz(found["rms"].to_numpy(), rate) <= SYLLABLES[1]:
+        return []
+    width = max(4, int(rate))
+    density = np.convolve(flux > np.percentile(flux, 60), np.ones(width) / width, mode="same")
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], (density > DENSE) & (flat > NOISY), [False]])))
+    spans = [(int(a * 1000 / rate), int(b * 1000 / rate)) for a, b in edges.reshape(-1, 2)]
+    return [(a, b) for a, b in spans if b - a >= APPLAUSE_MS]
+
+
+def impulse_shape(x: np.ndarray, rate: int) -> tuple[float, float, float]:
+    """Crest factor, rise from a tenth to nine tenths of the peak, and time from the peak to below a tenth, both in ms."""
+    level = np.abs(x)
+    peak, apex = level.max(), int(level.argmax())
+    rise = int((level >= 0.9 * peak).argmax()) - int((level >= 0.1 * peak).argmax())
+    below = level[apex:] < 0.1 * peak
+    fall = int(below.argmax()) if below.any() else len(x) - apex
+    return float(peak / max(np.sqrt((x * x).mean()), 1e-9)), max(0.0, rise / rate * 1000), fall / rate * 1000
+
+
+def transients(x: np.ndarray, rate: int) -> list[tuple[int, int, float, float, float]]:
+    """start and end in ms, crest, attack and decay of sudden sounds; each at least ``REFRACTORY_MS`` after the last one taken."""
+    found, out, last = spectra(x, rate), [], -REFRACTORY_MS
+    flux = found["flux"].to_numpy()
+    limit = np.median(flux) + 3 * flux.std() if len(flux) >= 4 else np.inf
+    for k in np.flatnonzero(flux > limit) if limit > 0 else ():
+        at = int(k * HOP / rate * 1000)
+        begin = int(at / 1000 * rate)
+        window = x[max(0, begin - int(0.02 * rate)) : begin + int(0.25 * rate)]
+        if at - last < REFRACTORY_MS or len(window) < 64 or np.abs(window).max() <= 1e-9:
+            continue
+        crest, attack, decay = impulse_shape(window, rate)
+        if crest >= CREST and attack <= ATTACK_MS:
+            out.append((at, at + int(decay), crest, attack, decay))
+            last = at
+    return out
+
+
+def sound_events(clips: DataFrame) -> DataFrame:
+    """clip, kind (APPLAUSE, IMPULSE), start_ms, end_ms, crest, attack_ms and decay_ms of ``clips(clip, rate, samples)``."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                x = np.asarray(r.samples, np.float64)
+                rows += [(r.clip, "APPLAUSE", a, b, None, None, None) for a, b in applause_spans(spectra(x, r.rate), r.rate / HOP)]
+                rows += [(r.clip, "IMPULSE", *event) for event in transients(x, r.rate)]
+            yield pd.DataFrame(rows, columns=["clip", "kind", "start_ms", "end_ms", "crest", "attack_ms", "decay_ms"])
+
+    return clips.select("clip", "rate", "samples").mapInPandas(run, "clip long, kind string, start_ms long, end_ms long, crest double, attack_ms double, decay_ms double")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.session import materialise
+
 # The states that a remediation may go to from each state; FAILED is open from any that isn't final.
 TRANSITIONS = {
     "ANALYSIS_COMPLETE": ("SIMULATION_READY", "REMEDIATION_REQUESTED"),
@@ -47,6 +49,43 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, digest: str) ->
     return joined.select(key, kind.alias("kind")).filter("kind is not null")
 
 
+def clause_drift(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """``key``, kind, delta and n of the clauses (key, text, vector) whose texts differ between two snapshots.
+
+    ``delta`` is one less the cosine of the vectors, 1 where only one snapshot has the clause or a vector has no length;
+    ``n`` is its place by kind, then by delta from the largest. Only changes are ordered, and those are few.
+    """
+    old = before.select(key, F.col("text").alias("old"), F.col("vector").alias("v"))
+    joined = old.join(after.select(key, F.col("text").alias("new"), F.col("vector").alias("w")), key, "full").filter(~F.col("old").eqNullSafe(F.col("new")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.try_divide(dot("v", "w"), F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))
+    kind = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise("MODIFIED")
+    out = joined.select(key, kind.alias("kind"), F.greatest(F.coalesce(1 - cosine, F.lit(1.0)), F.lit(0.0)).alias("delta"))
+    place = F.when(F.col("kind") == "ADDED", 0).when(F.col("kind") == "MODIFIED", 1).otherwise(2)
+    return out.withColumn("n", F.row_number().over(Window.orderBy(place, F.desc("delta"), key)))
+
+
+def routes(start: str) -> dict[str, list[str]]:
+    """The shortest legal route from a state to each that it can reach, of equal ones the first by name; the graph is fixed."""
+    found, level = {start: [start]}, [start]
+    while level:
+        level = [found.setdefault(t, [*found[s], t])[-1] for s in level for t in sorted({*TRANSITIONS.get(s, ()), *(() if s in FINAL else ("FAILED",))}) if t not in found]
+    return found
+
+
+def roster_problems(agents: DataFrame) -> DataFrame:
+    """agent, parent and problem of the declared ``agents(agent, tier, kind, prompt, capability, parents)``.
+
+    A parent must be declared and of a lower tier; agents driven by a model need a prompt, deterministic ones no capability.
+    """
+    each = agents.select("agent", "tier", F.explode("parents").alias("parent"))
+    known = each.join(agents.select(F.col("agent").alias("parent"), F.col("tier").alias("above")), "parent", "left")
+    edge = F.when(F.col("above").isNull(), "unknown parent").when(F.col("above") >= F.col("tier"), "parent not of a lower tier")
+    own = F.when((F.col("kind") != "deterministic") & (F.coalesce("prompt", F.lit("")) == ""), "no prompt").when((F.col("kind") == "deterministic") & (F.col("capability") != "none"), "deterministic with a capability")
+    found = known.select("agent", "parent", edge.alias("problem")).union(agents.select("agent", F.lit(None).cast("string"), own))
+    return found.filter("problem is not null")
+
+
 def changed_sections(before: Column, after: Column) -> Column:
     """Names in either map whose values differ; a name that only one has differs."""
     names = F.array_union(F.map_keys(before), F.map_keys(after))
@@ -61,12 +100,18 @@ def illegal_transitions(history: DataFrame) -> DataFrame:
     return history.filter(~F.coalesce(ok, F.lit(False)))
 
 
-def tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """node, root and level of all descendants of the roots to a depth, level by level; joins only the last level."""
-    level = roots.select(F.col("node"), F.col("node").alias("root"), F.lit(0).alias("level"))
-    out = level
-    for k in range(1, depth + 1):
-        level = level.select(F.col("node").alias("parent"), "root").join(edges, "parent").select("node", "root", F.lit(k).alias("level"))
+def tree(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, root and level of all descendants of the roots, level by level; each level joins only the last one.
+
+    Levels are written as they are found, until one is empty or ``depth`` is reached. A node that a root reaches again is
+    not followed, so cycles end.
+    """
+    level = materialise(roots.select(F.col("node"), F.col("node").alias("root"), F.lit(0).alias("level")), "tree")
+    out, k = level, 0
+    while (depth is None or k < depth) and level.head(1):
+        k += 1
+        below = level.select(F.col("node").alias("parent"), "root").join(edges, "parent").select("node", "root", F.lit(k).alias("level")).distinct()
+        level = materialise(below.join(out.select("node", "root"), ["node", "root"], "left_anti"), "tree")
         out = out.union(level)
     return out
 

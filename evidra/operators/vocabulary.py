@@ -36,6 +36,56 @@ def in_context(tokens: DataFrame, keys: list[str], cues: list[str], before: int,
     return tokens.select(*keys, "pos", "form", flags[0].alias("cue_before"), flags[1].alias("cue_after"), last.alias("last_cue"))
 
 
+def event_context(tokens: DataFrame, keys: list[str], verbs: list[str], negations: list[str], cues: list[str], reach: int = 14, negated: int = 4, span_ms: int = 20_000) -> DataFrame:
+    """Each token with whether it is quoted, negated, or near a warning cue.
+
+    Quoted: the last reporting verb within ``reach`` words before began at most ``span_ms`` earlier. Negated: one of the
+    last ``negated`` words negates. Near a cue: one stands within ``reach`` words on either side.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    verb = F.max(F.when(F.col("form").isin(*verbs), F.struct("pos", "start_ms", "form"))).over(w.rowsBetween(-reach, -1))
+    said = verb.isNotNull() & (F.col("start_ms") - verb["start_ms"] <= span_ms)
+    any_ = lambda words, *rows: F.coalesce(F.max(F.col("form").isin(*words)).over(w.rowsBetween(*rows)), F.lit(False))
+    near = any_(cues, -reach, -1) | any_(cues, 1, reach)
+    return tokens.select("*", F.coalesce(said, F.lit(False)).alias("quoted"), F.when(said, verb["form"]).alias("quoted_by"), any_(negations, -negated, -1).alias("negated"), near.alias("warned"))
+
+
+def _edits_allowed(n, share: float, least: int):
+    return F.greatest(F.lit(least), F.floor(n * share + 1e-9).cast("int"))
+
+
+def similar_names(names: DataFrame, keys: list[str], share: float = 0.15, least: int = 2) -> DataFrame:
+    """Pairs (keys, a, b) of distinct names of one key, a and b alike, within ``least`` edits or ``share`` of the longer.
+
+    The longer name is cut into one part more than it may have edits, so that one part stands in the shorter whole, moved
+    by no more than the edits; pairs meet by such parts and are then verified. ``names`` has the column ``name``.
+    """
+    each = names.select(*keys, "name").distinct()
+    start = lambda i, n, k: F.floor(i * n / (k + 1)).cast("int")
+    part = lambda n, i, text: F.struct(n.alias("n"), i.alias("i"), text.alias("part"))
+    n, k = F.length("name"), _edits_allowed(F.length("name"), share, least)
+    parts = F.transform(F.sequence(F.lit(0), k), lambda i: part(n, i, F.substring("name", start(i, n, k) + 1, start(i + 1, n, k) - start(i, n, k))))
+    longer = each.select(*keys, F.col("name").alias("b"), F.inline(parts))
+
+    def of_length(m):
+        q = _edits_allowed(m, share, least)
+
+        def of_part(i):
+            at, size = start(i, m, q), start(i + 1, m, q) - start(i, m, q)
+            low, high = F.greatest(at - q, F.lit(0)), F.least(at + q, n - size)
+            return F.when(low <= high, F.transform(F.sequence(low, high), lambda s: part(m, i, F.substring("name", s + 1, size)))).otherwise(F.array().cast("array<struct<n:int,i:int,part:string>>"))
+
+        return F.when(m - n <= q, F.flatten(F.transform(F.sequence(F.lit(0), q), of_part))).otherwise(F.array().cast("array<struct<n:int,i:int,part:string>>"))
+
+    most = F.greatest(n + least, F.floor(n / (1 - share)).cast("int"))
+    probes = F.array_distinct(F.flatten(F.transform(F.sequence(n, most), of_length)))
+    pairs = each.select(*keys, F.col("name").alias("a"), F.inline(probes)).join(longer, [*keys, "n", "i", "part"]).filter("a <> b").select(*keys, "a", "b").distinct()
+    allowed = _edits_allowed(F.length("b"), share, least)
+    found = pairs.filter(F.levenshtein("a", "b") <= allowed)
+    both = found.union(found.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return both.union(each.select(*keys, F.col("name").alias("a"), F.col("name").alias("b")))
+
+
 def sentences(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens with the number of their sentence: one ends with the word that carries a full stop, question or exclamation mark."""
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -107,9 +107,7 @@ def sound_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scenario_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings(spark, sf_dir)
-    # A file's own fixes are as many as its findings; the three scenarios of all fixes are compared here.
-    edits = de.scenarios(f).filter("scenario like 'all%'")
-    out = de.simulate(f, edits)
+    out = de.simulate(f, de.scenarios(f))
     return out.select("scenario", "entity", "overall", "delta", ev.quantised(F.col("impact")).alias("impact"), ev.quantised(F.col("value")).alias("value"))
 
 

@@ -48,8 +48,9 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ocr_style_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir)
-    return greedy.cluster_sightings(o.withColumn("text", F.concat("label", F.lit(" "), (F.col("k") % 4).cast("string"))), gap_ms=120_000)
+    o, k = observations(spark, sf_dir), F.col("k")
+    box = [((k % 3) / 10).alias("x"), ((k % 2) / 2).alias("y"), F.lit(0.5).alias("w"), F.lit(0.25).alias("h")]
+    return greedy.cluster_sightings(o.select("*", F.concat(F.initcap("label"), F.lit("  "), (k % 4).cast("string")).alias("text"), *box), gap_ms=120_000)
 
 
 @query(f"""WITH RECURSIVE {OBSERVATIONS_SQL}, n AS (SELECT entity, ord, ts_ms, row_number() OVER (PARTITION BY entity ORDER BY ts_ms, ord) AS i FROM o),

@@ -9,6 +9,7 @@ from evidra.functions import evidence as ev
 from evidra.operators import emit
 from evidra.operators import evaluation as el
 from evidra.operators import remediation as rm
+from evidra.operators import scoring as sc
 from evidra.operators import stores as st
 from evidra.plans.registry import registry
 from evidra.sources.logical import DURATION_MS, FINDINGS_SQL, findings, table
@@ -58,12 +59,12 @@ def corpus_diff_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.snapshot_diff(d.select(name("d", F.col("doc_id")), F.md5("text").alias("h")), after, "id", "h")
 
 
-@query("""WITH RECURSIVE t(node, root, level) AS (SELECT event_id, event_id, 0 FROM events WHERE event_id < 7 UNION ALL SELECT e.event_id, root, level + 1 FROM t JOIN events e ON e.event_id > 6 AND e.event_id // 7 = t.node WHERE level < 5)
+@query("""WITH RECURSIVE t(node, root, level) AS (SELECT event_id, event_id, 0 FROM events WHERE event_id < 7 UNION ALL SELECT e.event_id, root, level + 1 FROM t JOIN events e ON e.event_id > 6 AND e.event_id // 7 = t.node)
 SELECT node, root, level FROM t""")
 def recursive_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"))
     edges = e.filter("node > 6").select("node", F.floor(F.col("node") / 7).alias("parent"))
-    return st.tree(edges, e.filter("node < 7"), 5)
+    return st.tree(edges, e.filter("node < 7"))
 
 
 _STATES = [*st.TRANSITIONS, *st.FINAL]
@@ -143,9 +144,45 @@ def cut_budget_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rm.cut_budget(rm.lower(findings(spark, sf_dir)), DURATION_MS, 0.04).select("id", "op")
 
 
-@query(f"WITH {FINDINGS_SQL}, {_OPS} SELECT id, CASE WHEN e <= s THEN 'not positive' ELSE 'outside the file' END AS reason FROM p WHERE e <= s OR s < 0 OR e > {DURATION_MS}")
+@query(f"""WITH {FINDINGS_SQL}, {_OPS}, q AS (SELECT *, lag(s) OVER (PARTITION BY entity ORDER BY id ^ 1) AS before FROM (SELECT id, entity, op, s, e FROM p)),
+r AS (SELECT id, CASE WHEN e <= s THEN 'not positive' WHEN e - s < 120 THEN 'too short' WHEN s < 0 OR e > {DURATION_MS} THEN 'outside the file' WHEN op = 'BLUR_REGION' AND id % 3 = 0 THEN 'no box'
+  WHEN op = 'REPLACE_AUDIO' AND id % 4 = 0 THEN 'no asset' WHEN s < before THEN 'out of order' END AS reason FROM q) SELECT * FROM r WHERE reason IS NOT NULL""".replace("id ^ 1", "xor(id, 1)"))
 def edit_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rm.invalid(rm.lower(findings(spark, sf_dir)), DURATION_MS).select("id", "reason")
+    """Some boxes and assets are taken away, and neighbours in the list swapped."""
+    ops = rm.lower(findings(spark, sf_dir))
+    ops = ops.withColumn("box", F.when(F.col("id") % 3 != 0, F.array(F.lit(0.1), F.lit(0.1), F.lit(0.5), F.lit(0.5)))).withColumn("asset", F.when(F.col("id") % 4 != 0, "bed.wav"))
+    return rm.invalid(ops.withColumn("n", F.col("id").bitwiseXOR(F.lit(1))), DURATION_MS).select("id", "reason")
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT entity, least(1.0, sum(CASE WHEN m_ocr > 0 THEN end_ms - start_ms ELSE 0 END) / 60000)::DOUBLE AS ratio, count_if(m_ocr > 0)::BIGINT AS captions,
+  count_if(m_ocr > 0) > 0 AS burned_in FROM f GROUP BY entity""")
+def caption_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = findings(spark, sf_dir).select("entity", "start_ms", "end_ms", F.when(F.col("modalities")["ocr"] > 0, "burned_in_caption").otherwise("text").alias("role"))
+    return sc.caption_coverage(items, 60_000)
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT entity, count(*) AS pairs, count_if(k % 5 <> 0)::BIGINT AS before_frames, count_if(k % 3 = 0)::BIGINT AS after_frames, count_if(k % 4 = 0)::BIGINT AS removed,
+  count_if(k % 3 <> 0 AND k % 4 <> 0)::BIGINT AS after_unavailable FROM f GROUP BY entity""")
+def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = lambda cond: F.when(cond, F.col("ord"))
+    k = F.col("k")
+    pairs = findings(spark, sf_dir).select("entity", frame(k % 5 != 0).alias("before"), frame(k % 3 == 0).alias("after"), (k % 4 == 0).alias("removed"))
+    return sc.pair_summary(pairs, "entity")
+
+
+@query("""WITH o AS (SELECT item_id, text, [length(text), length(text) - length(replace(text, ' ', '')), item_id % 7 + 1]::DOUBLE[] AS v FROM benchmark WHERE item_id % 5 <> 0),
+n AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN upper(text) ELSE text END AS text, [length(text), item_id % 4, item_id % 7 + 1]::DOUBLE[] AS v FROM benchmark WHERE item_id % 6 <> 0),
+j AS (SELECT item_id, CASE WHEN o.text IS NULL THEN 'ADDED' WHEN n.text IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS kind,
+  CASE WHEN o.text IS NULL OR n.text IS NULL THEN 1.0 ELSE greatest(0, 1 - list_dot_product(o.v, n.v) / (sqrt(list_dot_product(o.v, o.v)) * sqrt(list_dot_product(n.v, n.v)))) END AS delta
+  FROM o FULL JOIN n USING (item_id) WHERE o.text IS DISTINCT FROM n.text)
+SELECT item_id, kind, floor(delta * 1000000 + 0.5)::BIGINT AS delta, row_number() OVER (ORDER BY CASE kind WHEN 'ADDED' THEN 0 WHEN 'MODIFIED' THEN 1 ELSE 2 END, delta DESC, item_id)::BIGINT AS n FROM j""")
+def clause_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of two snapshots by kind of change and how far their meaning moved."""
+    b, i = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    vector = lambda *x: F.array(*(c.cast("double") for c in x)).alias("vector")
+    old = b.filter(i % 5 != 0).select("item_id", "text", vector(F.length("text"), F.length("text") - F.length(F.replace("text", F.lit(" "))), i % 7 + 1))
+    new = b.filter(i % 6 != 0).select("item_id", F.when(i % 3 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"), vector(F.length("text"), i % 4, i % 7 + 1))
+    return st.clause_drift(old, new, "item_id").select("item_id", "kind", ev.quantised(F.col("delta")).alias("delta"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"""WITH {FINDINGS_SQL}, {_OPS}, x AS (SELECT p.op AS scenario, f.*, bool_or(true) AS hit FROM f JOIN p ON p.entity = f.entity AND p.s - 250 <= f.end_ms AND p.e + 250 >= f.start_ms GROUP BY ALL),

@@ -58,6 +58,34 @@ def context_window_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.in_context(_forms(spark, sf_dir), ["entity", "turn"], ["that", "not", "que"], 14, 14)
 
 
+_VERBS, _NEGATIONS, _CUES = ["that", "que", "dass"], ["not", "no", "in"], ["la", "the"]
+
+
+@query(f"""WITH {_FORMS_SQL}, c AS (SELECT *, max(CASE WHEN form IN {tuple(_VERBS)} THEN pos END) OVER b AS verb, coalesce(max((form IN {tuple(_NEGATIONS)})::INT) OVER l = 1, false) AS negated,
+  coalesce(max((form IN {tuple(_CUES)})::INT) OVER b = 1, false) OR coalesce(max((form IN {tuple(_CUES)})::INT) OVER a = 1, false) AS warned FROM n
+  WINDOW b AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING),
+  l AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
+SELECT entity, turn, pos, form, verb IS NOT NULL AND start_ms - (1000 + 400 * verb) <= 2000 AS quoted, negated, warned,
+  CASE WHEN negated OR (verb IS NOT NULL AND start_ms - (1000 + 400 * verb) <= 2000) THEN 0.65 WHEN form = 'of' THEN 0.93 ELSE 0.95 END::DOUBLE AS confidence FROM c WHERE form IN ('of', 'der')""")
+def speech_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two terms; quotations reach two seconds here, so that some verbs are too far off."""
+    c = vo.event_context(_forms(spark, sf_dir), ["entity", "turn"], _VERBS, _NEGATIONS, _CUES, span_ms=2_000).filter(F.col("form").isin("of", "der"))
+    source = F.when(F.col("form") == "of", "phrase").otherwise("lexicon")
+    return c.select("entity", "turn", "pos", "form", "quoted", "negated", "warned", tx.confidence(source, F.col("quoted"), F.col("negated")).alias("confidence"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '\\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\\b')) AS ibans,
+  len(regexp_extract_all(text, '(?i)\\b([0-9]+\\s+(people\\s+)?(were\\s+)?(dead|died|injured|killed|wounded)|death toll|casualty|casualties)\\b')) AS casualties FROM documents""")
+def iban_casualty_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", count(tx.IBAN).alias("ibans"), count(tx.CASUALTY).alias("casualties"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 20000 - 100000 <= 0 THEN 90 ELSE greatest(90, least(400, floor((p_size * 20000 - 100000) / 1000 / 2.5))) END::INTEGER AS frames FROM part")
+def frame_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", tx.frame_budget(F.col("p_size") * 20_000 - 100_000).alias("frames"))
+
+
 @query(f"""WITH {WORDS_SQL}, s AS (SELECT *, coalesce(sum(regexp_matches(w, '[.!?]$')::INT) OVER (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM w)
 SELECT entity, turn, sentence, count(*) AS n_words, string_agg(w, ' ' ORDER BY pos) AS text FROM s GROUP BY entity, turn, sentence""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +124,10 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
   ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2 OR 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.85""")
 def near_duplicate_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    # Names are compared once each; the rows of alike names are listed as pairs only at the end.
+    alike = vo.similar_names(p.withColumnRenamed("p_name", "name"), ["p_brand"]).withColumn("edits", F.levenshtein("a", "b"))
     a, b = p.select(F.col("p_partkey").alias("left_key"), F.col("p_name").alias("a"), "p_brand"), p.select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("b"), "p_brand")
-    edits = F.levenshtein("a", "b")
-    pairs = a.join(b, "p_brand").filter("left_key < right_key")
-    return pairs.filter((edits <= 2) | (tx.similarity(F.col("a"), F.col("b")) >= 0.85)).select("left_key", "right_key", edits.alias("edits"))
+    return a.join(alike, ["p_brand", "a"]).join(b, ["p_brand", "b"]).filter("left_key < right_key").select("left_key", "right_key", "edits")
 
 
 _VOCABULARY, _SYNONYMS = [("click", 1), ("view", 2), ("sign", 3), ("error", 4)], [("purchase", "buy")]

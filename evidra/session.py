@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,9 +25,11 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI in ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests, local mode)."""
+    """The URI in ``spark.checkpoint.dir``; where it is unset a temporary folder, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evidra-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,4 +57,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    return out
+
+
+#: Where the data frames that ``materialise`` returned are written, for as long as they are in use.
+WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a data frame that ``materialise`` returned, once nothing reads it any more."""
+    path = WRITTEN.pop(df, None)
+    if path:
+        fs, root = FileSystem.from_uri(path)
+        fs.delete_dir(root)

@@ -27,10 +27,17 @@ def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).select("user_id", "first", "last", "n")
 
 
-def refractory(events: DataFrame, gap_ms: int) -> DataFrame:
-    """Events at least ``gap_ms`` after the last one accepted of their user, which is all the state that is kept."""
+def refractory(events: DataFrame, gap_ms: int, late: str = "1 day") -> DataFrame:
+    """Events at least ``gap_ms`` after the last one accepted of their user, which is all the state that is kept.
+
+    Events that come after a later one was accepted are left out. A user's state goes once the watermark, ``late`` behind
+    the latest event, is past the time that the state can refuse.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         keep = []
@@ -38,7 +45,11 @@ def refractory(events: DataFrame, gap_ms: int) -> DataFrame:
             ok = last is None or t - last >= gap_ms
             keep.append(ok)
             last = int(t) if ok else last
-        state.update((last,))
+        if last + gap_ms > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(last + gap_ms)
+        elif state.exists:
+            state.remove()
         yield rows[keep][["user_id", "event_id"]]
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
