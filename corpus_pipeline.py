@@ -18,9 +18,6 @@ from evidra.session import materialise
 #: No SQL for run()'s rows: fingerprints' components, balancing and BPE are not expressible there.
 ORACLE_SQL = None
 
-#: Every line with a word is judged as a repeat; from five words on, one word edit leaves four fifths of a line as it was.
-LINE_WORDS, NEAR_LINE_WORDS = 1, 5
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -29,9 +26,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; ``n_chars``, where there is one, counts what is left."""
-    out = line_dedup.dedup_lines(docs, LINE_WORDS, NEAR_LINE_WORDS)
+    out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
