@@ -3,7 +3,8 @@
 Texts are cut into chunks (see ``chunks``) and each distinct chunk into the matches of the pattern; the distinct
 matches are laid out as rows of matrices, one matrix for each power-of-two length. In each round every row looks all
 its pairs up in a hash table, merges its leftmost pair of least rank and closes the gap, so the matrix loses a column;
-rows without a pair in the table leave it. Spark deals the rows out, and each task keeps only Arrow batches and a
+rows without a pair in the table leave it. A piece of more than ``LONG`` bytes is a row by itself; there all places of
+its least pair are merged in one round, from the left up to the first whose token makes a pair of lesser rank. Spark deals the rows out, and each task keeps only Arrow batches and a
 bounded memory of chunks. The vocabulary is a file of fixed size, read by the driver and broadcast.
 
 Defined results
@@ -11,7 +12,7 @@ Defined results
 * null or empty text: no ids, no bytes;
 * null doc_id or other null columns: kept as they are;
 * repeated rows and ties: each row is encoded by itself;
-* very long texts and pieces: whole; a piece of n bytes takes at most n rounds;
+* very long texts and pieces: whole; a piece takes at most as many rounds as it has bytes, a long one as it has merges;
 * special tokens' strings in a text are ordinary text;
 * empty table: empty result;
 * extra columns, whatever their names, are left out by ``encode``.
@@ -33,6 +34,8 @@ from evidra.llm.chunks import ChunkEncoder, slices, spread
 NONE = np.int32(2**31 - 1)
 #: Multiplier of the pair table's hash: 2**64 divided by the golden ratio, made odd.
 SPREAD = np.uint64(11400714819323198485)
+#: Bytes from which on a piece is merged by itself.
+LONG = 1024
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -112,6 +115,11 @@ class Codec:
         rest = np.flatnonzero(whole < 0)
         sizes = np.fromiter((len(pieces[k]) - 1 for k in rest), np.int64, len(rest))
         power = np.frexp(sizes)[1]  # the least power of two that holds the piece
+        for k in rest[sizes >= LONG].tolist():
+            rows.append(np.array([k]))
+            ids.append(self._merge_long(pieces[k]))
+            lengths.append(np.array([len(ids[-1])]))
+        rest, power = rest[sizes < LONG], power[sizes < LONG]
         for p in np.unique(power):
             members = rest[power == p]
             self._merge([pieces[k] for k in members], members, 1 << int(p), rows, lengths, ids)
@@ -119,6 +127,32 @@ class Codec:
         order = np.argsort(row)
         return spread(flat, (np.cumsum(size) - size)[order], size[order])[0], size[order]
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            # Of places side by side, which share a token, each second one is merged, from the left.
+            first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(at - np.repeat(at[first], np.diff(first, append=len(at)))) % 2 == 0]
+            # A pair of lesser rank that a merge makes comes before the merges to its right.
+            padded = np.concatenate([[-1], ids, [-1]])
+            before = np.where(np.diff(at, prepend=-3) == 2, least, padded[at])
+            token = np.full(len(at), least)
+            lesser = np.flatnonzero(np.minimum(self.pairs(before, token), self.pairs(token, padded[at + 3])) < least)
+            at = at[: lesser[0] + 1] if len(lesser) else at
+            ids[at] = least
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))  # where the merged tokens are after the gaps are closed
+            ids, kept = ids[stay], np.ones(len(ranks), bool)
+            kept[np.minimum(np.flatnonzero(~stay), len(ranks)) - 1] = False
+            ranks = ranks[kept][: len(ids) - 1]
+            near = np.unique(np.concatenate([at - 1, at]))
+            near = near[(near >= 0) & (near < len(ranks))]
+            ranks[near] = self.pairs(ids[near], ids[near + 1])
+        return ids.astype(np.uint32)
+
     def _merge(self, pieces: list[bytes], rows: np.ndarray, width: int, out_rows: list, out_sizes: list, out_ids: list) -> None:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = np.full((len(pieces), width + 1), -1, np.int32)
