@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.session import materialise
+from evidra.session import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u <> v").distinct(), "edges")
+        old, edges = edges, materialise(small.filter("u <> v").distinct(), "edges")
+        discard(old)
         was, state = state, _state(edges)
         if state == was:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evidra.llm.rows import packed, row_hash
 from evidra.llm.text import words
-from evidra.session import materialise
+from evidra.session import discard, materialise
 
 WEIGHTS, EPOCHS, MAX_COPIES = (5.0, 2.0, 1.0), 1.5, 2
 #: A source is balanced when its expected words are this near its target, as a share of it.
@@ -82,7 +82,8 @@ def balance(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         near = F.coalesce(F.abs(off) <= F.col("target") * TOLERANCE, F.lit(True)) | F.col("done")
         now = now.withColumn("low2", low).withColumn("high2", high)
         now = now.select(*targets.columns, F.when(near, F.col("tilt")).otherwise(step).alias("tilt"), F.col("low2").alias("low"), F.col("high2").alias("high"), near.alias("done"))
-        state = materialise(now, "tilts")
+        old, state = state, materialise(now, "tilts")
+        discard(old)
         if not state.filter(~F.col("done")).head(1):
             break
     return state.select(*targets.columns, "tilt")

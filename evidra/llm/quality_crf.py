@@ -5,9 +5,12 @@ words), those of the lines before and after it, and the labels of neighbouring l
 gives each line's marginal probability of good, and the mean of the marginals, weighted by the lines' lengths, is the
 document's score. A last logistic map of one variable, fitted with the field, puts the border at 0.5.
 
-The field is trained by gradient steps on a bounded sample of labelled documents (``sample`` of each label, the least by
-hash), whose lines take their document's label; the driver gets the sample's features, never texts. Scoring is one pass
-without a shuffle.
+The field is trained by gradient steps on a bounded sample of labelled documents: ``sample`` of each label, the least by
+hash, and of them no more than ``lines`` lines of each label. Labels of lines are not known: while training, a document's
+label is one more node of the field, tied to each of its lines by ``AGREEMENT``, and its likelihood is raised. Lines that
+agree with it only because the document's others do leave no trace in the scores of neighbouring labels, so good lines of
+a bad document can be told from its bad ones. The driver gets the sample's features, never texts. Scoring, without that
+node, is one pass without a shuffle.
 
 Defined results
 ---------------
@@ -15,7 +18,8 @@ Defined results
 * labels that are null, or of documents that are absent, are not learned from; of several labels of one document the
   larger counts; with one kind of label only every score is that label, without any it is 0.5;
 * null doc_id: scored, never learned from; repeated rows: each scored by itself;
-* very long texts: whole, for training cut into segments of ``SEGMENT`` lines, all of which count;
+* very long texts: scored whole; for training cut into segments of ``SEGMENT`` lines, all of which count, and not
+  learned from beyond a sixteenth of ``lines``;
 * empty table: empty result; extra columns, whatever their names, are left out.
 """
 
@@ -27,12 +31,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.llm.chunks import slices
 
-SAMPLE, SEGMENT, STEPS, RATE, DECAY = 1500, 256, 250, 0.05, 1e-3
+SAMPLE, LINES, SEGMENT, STEPS, RATE, DECAY = 1500, 100_000, 256, 250, 0.05, 1e-3
+#: Weight of a line that is as its document is labelled, while training.
+AGREEMENT = 2.0
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -88,10 +94,11 @@ class Field:
         return (x - self.mean) / self.deviation @ self.weights[:-1] + self.weights[-1]
 
 
-def forward_backward(emissions: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of good of every line, and the expected number of each label pair, over texts of ``counts`` lines."""
+def forward_backward(emissions: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over texts of ``counts`` lines: marginals of good of every line; the expected number of each label pair and the
+    logarithm of the sum over all labellings of each text."""
     starts = np.cumsum(counts) - counts
-    marginals, expected = np.empty(len(emissions)), np.zeros((2, 2))
+    marginals, expected, sums = np.empty(len(emissions)), np.zeros((len(counts), 2, 2)), np.zeros(len(counts))
     power = np.frexp(np.maximum(counts - 1, 0))[1]
     for p in np.unique(power):
         texts = np.flatnonzero(power == p)
@@ -109,12 +116,13 @@ def forward_backward(emissions: np.ndarray, counts: np.ndarray, pairs: np.ndarra
             through = np.logaddexp(pairs[:, 0] + step[:, :1], pairs[:, 1] + step[:, 1:])
             backward[:, t] = np.where(real[:, t + 1, None], through, 0)
         total = np.logaddexp.reduce(forward[np.arange(len(texts)), n - 1], axis=1)
+        sums[texts] = total
         both = forward + backward - total[:, None, None]
         marginals[at[real]] = np.exp(both[:, :, 1])[real]
         if width > 1:
             joint = forward[:, :-1, :, None] + pairs + (e + backward)[:, 1:, None, :] - total[:, None, None, None]
-            expected += np.exp(joint[real[:, 1:]]).sum(axis=0)
-    return np.clip(marginals, 0, 1), expected
+            expected[texts] = (np.exp(np.minimum(joint, 0)) * real[:, 1:, None, None]).sum(axis=1)
+    return np.clip(marginals, 0, 1), expected, sums
 
 
 def _segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,41 +156,36 @@ def _logit(scores: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Field:
-    """Gradient ascent with momentum and per-weight rates on the mean log likelihood; both labels weigh the same."""
+    """Gradient ascent with momentum and per-weight rates on the mean log likelihood of the documents' labels; both weigh
+    the same. By it a step moves expected features from what they are under the wrong label to those under the right one."""
     mean, deviation = x.mean(axis=0), x.std(axis=0)
     field = Field(mean, np.where(deviation > 1e-9, deviation, 1), np.zeros(x.shape[1] + 1), np.zeros((2, 2)))
     segments, text = _segments(counts)
-    y = np.repeat(labels, counts).astype(np.float64)
     z = np.concatenate([(x - field.mean) / field.deviation, np.ones((len(x), 1))], axis=1)
     weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))[text]
-    observed = [np.zeros((2, 2)) for _ in range(2)]
-    for label in (0, 1):
-        observed[label][label, label] = (segments[labels[text] == label] - 1).sum()
-    which = [np.flatnonzero(labels[text] == label) for label in (0, 1)]
-    line_at = np.cumsum(segments) - segments
-    lines = [np.concatenate([np.arange(line_at[s], line_at[s] + segments[s]) for s in w]) for w in which]
+    label = labels[text]
     theta = np.zeros(x.shape[1] + 1 + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         field.weights, field.pairs = theta[:-4], theta[-4:].reshape(2, 2)
         gradient = -DECAY * theta
         e = z @ field.weights
-        for label in (0, 1):
-            p, pairs = forward_backward(e[lines[label]], segments[which[label]], field.pairs)
-            scale = weight[which[label][0]]
-            gradient[:-4] += scale * ((y[lines[label]] - p) @ z[lines[label]])
-            gradient[-4:] += scale * (observed[label] - pairs).ravel()
+        (good, good_pairs, good_sums), (bad, bad_pairs, bad_sums) = (forward_backward(e + a, segments, field.pairs) for a in (AGREEMENT, -AGREEMENT))
+        likely = 1 / (1 + np.exp(-np.clip(good_sums - bad_sums - AGREEMENT * segments, -500, 500)))
+        scale = weight * (label - likely)
+        gradient[:-4] += (np.repeat(scale, segments) * (good - bad)) @ z
+        gradient[-4:] += np.tensordot(scale, good_pairs - bad_pairs, 1).ravel()
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta = theta + RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     field.weights, field.pairs = theta[:-4], theta[-4:].reshape(2, 2)
-    p, _ = forward_backward(field.emissions(x), counts, field.pairs)
+    p, *_ = forward_backward(field.emissions(x), counts, field.pairs)
     field.slope, field.offset = _logistic(document_scores(p, lengths, counts), labels)
     return field
 
 
 def score_texts(field: Field, texts: list[str | None]) -> np.ndarray:
     x, lengths, counts = line_features(texts)
-    p, _ = forward_backward(field.emissions(x), counts, field.pairs)
+    p, *_ = forward_backward(field.emissions(x), counts, field.pairs)
     return 1 / (1 + np.exp(-(field.slope * _logit(document_scores(p, lengths, counts)) + field.offset)))
 
 
@@ -191,12 +194,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | float:
-    """A field from at most ``sample`` documents of each label; without both labels the share of label 1, or 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Field | float:
+    """A field from at most ``sample`` documents and ``lines`` lines of each label; without both labels that label, or 0.5."""
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.join(docs.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi")
+    text = F.coalesce("text", F.lit(""))
+    size = docs.select(F.col("doc_id").alias("of"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("n"))
+    known = known.join(size, F.col("doc_id") == F.col("of")).groupBy("doc_id", "quality").agg(F.sum("n").alias("n")).filter(F.col("n") <= lines // 16)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = known.filter("quality = 0").orderBy(*order).limit(sample).union(known.filter("quality = 1").orderBy(*order).limit(sample))
+    first = lambda label: known.filter(F.col("quality") == label).orderBy(*order).limit(sample)
+    up_to = Window.partitionBy("quality").orderBy(*order)  # over the sample alone
+    chosen = first(0).union(first(1)).withColumn("up_to", F.sum("n").over(up_to)).filter(F.col("up_to") <= lines).select("doc_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in slices(batch, "text")):

@@ -1,5 +1,8 @@
+from collections import Counter
+
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidra.llm import bpe, mixing, queries, quality_rules, simhash
@@ -32,6 +35,26 @@ def test_stages_take_effect_on_whole_tables(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash", "mixing", "byte_bpe"]
 
 
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, a column named a.b and a map: every stage returns its columns, and every kept row is encoded."""
+    line = lambda k: " ".join(f"w{k}x{j} of the and to" for j in range(12))
+    rows = [(k, line(k), "en", f"s{k % 3}", k) for k in range(30)] + [(3, line(3), "en", "s0", 3), (None, line(99), None, None, 99), (None, None, None, None, None), (40, "", "en", "s1", 40), (41, "short", "en", "s1", 41)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag long")
+    df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("a.b", F.col("tag") % 2).withColumn("m", F.when(F.col("tag") > 5, F.create_map(F.lit("k"), "tag")))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = Counter()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    for r in docs.collect():
+        assert r.n_chars == len(r.text)
+        kept[r.doc_id] += 1
+    assert kept[None] >= 1 and kept[41] == kept[40] == 0 and len(kept) >= 25
+    found = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert found == kept
+
+
 def test_run_on_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

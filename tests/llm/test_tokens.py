@@ -1,3 +1,4 @@
+import base64
 import functools
 import hashlib
 import random
@@ -45,6 +46,38 @@ def test_matrices_equal_tiktoken():
     assert bpe.Decoder(data).decode(ids)[0].tobytes() == "".join(texts).encode()
 
 
+def test_pieces_by_themselves_equal_tiktoken(monkeypatch):
+    """Any ranks, also those that no training would give."""
+    monkeypatch.setattr(bpe, "LONG", 1)
+    pick = random.Random(5)
+    for _ in range(60):
+        tokens = {bytes([b]) for b in range(256)} | {bytes(pick.choice(b"abc") for _ in range(pick.randint(2, 5))) for _ in range(40)}
+        tokens = sorted(tokens, key=lambda t: (len(t) > 1, pick.random()))
+        ranks = {t: k for k, t in enumerate(tokens)}
+        data = b"\n".join(base64.b64encode(t) + b" %d" % k for t, k in ranks.items())
+        codec, expected = bpe.Codec(data, "[a-z]+"), tiktoken.Encoding("own", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
+        pieces = ["".join(pick.choice("abc") for _ in range(pick.randint(1, 40))) for _ in range(40)]
+        flat, sizes = codec.encode_pieces([p.encode() for p in pieces])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [expected.encode_ordinary(p) for p in pieces]
+
+
+def test_long_pieces_equal_tiktoken():
+    data, expected = own()
+    codec, pick = bpe.Codec(data, public_tokenizers.PATTERN), random.Random(8)
+    texts = ["a" * 5001, "ab" * 3000, "the" * 40_000, "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000)), "aaab" * 700 + "é" * 900, "漢字" * 2000]
+    ids, at = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [expected.encode_ordinary(t) for t in texts]
+
+
+def test_op4_on_a_very_long_text(spark):
+    text = " ".join(f"w{k * k}" for k in range(400_000)) + "x" * 50_000
+    where = shared_path(spark, "records")
+    manifest = token_records.write_records(spark.createDataFrame([(1, text), (2, "end")], "doc_id long, text string"), where, public_tokenizers.path(queries.RECORD_TOKENIZER), 2, shards=2)
+    found = {r.doc_id: (r.start, bytes(r.ids)) for r in token_records.read_records(spark, where, manifest).collect()}
+    ids = library().encode(text, add_special_tokens=False).ids + [2]
+    assert found[1] == (0, np.array(ids, "<u4").tobytes()) and found[2][0] == len(ids)
+
+
 def test_forgetting_chunks_changes_nothing():
     data, expected = own()
     codec = bpe.Codec(data, public_tokenizers.PATTERN)
