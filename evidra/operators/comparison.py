@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import evidence as ev
@@ -52,6 +52,23 @@ def claims(findings: DataFrame) -> DataFrame:
     return findings.select("entity", "ord", F.inline(steps)).filter("text <> ''")
 
 
+STEPS = ("OBSERVATION", "EVIDENCE", "POLICY", "SEVERITY", "DECISION")
+
+
+def unsourced(claims: DataFrame) -> DataFrame:
+    """``claims(step, text, ref)`` that must be refused, with the reason: empty, citing nothing, or of no known step."""
+    blank = lambda c: F.coalesce(F.btrim(F.col(c), F.lit(" \t\n\r")), F.lit("")) == ""
+    reason = F.when(blank("text"), "empty").when(blank("ref"), "cites nothing").when(~F.coalesce(F.col("step").isin(*STEPS), F.lit(False)), "unknown step")
+    return claims.withColumn("reason", reason).filter("reason is not null")
+
+
+def upheld(members: DataFrame) -> DataFrame:
+    """Members (entity, incident, ord, verdict) of each incident that were not dismissed; all of one whose all were."""
+    stands = ~F.coalesce(F.col("verdict") == "DISMISSED", F.lit(False))
+    any_ = F.bool_or(stands).over(Window.partitionBy("entity", "incident"))
+    return members.withColumn("_stands", stands).withColumn("_any", any_).filter(F.col("_stands") | ~F.col("_any")).drop("_stands", "_any")
+
+
 def silent_agents(findings: DataFrame, agents: DataFrame) -> DataFrame:
     """Agents that saw nothing of an entity, by how much they covered: ``agents(entity, agent, coverage)``; none known is not run."""
     seen = findings.select("entity", F.explode(ev.active(F.col("modalities"))).alias("agent")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import evidence as ev
 from evidra.operators import remediation
-from evidra.operators.scoring import sub_scores
+from evidra.operators.sessions import merge_spans
 
 # Loudness target and tolerance, and the limits of metadata.
 TARGET_LUFS, TOLERANCE = -14.0, 2.0
@@ -52,7 +52,7 @@ def capital_share(text: Column) -> Column:
     return F.when(letters >= 12, F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / letters)
 
 
-def metadata_findings(items: DataFrame) -> DataFrame:
+def metadata_findings(items: DataFrame, most_tags: int = MAX_TAGS) -> DataFrame:
     """``items(clip, title, description, tags, spoken)``: shouting or long titles, thin descriptions, too many tags, undisclosed sponsors."""
     said = F.concat_ws(" ", "spoken", "description")
     return _rows(
@@ -60,11 +60,24 @@ def metadata_findings(items: DataFrame) -> DataFrame:
         ("META-01", capital_share(F.col("title")) > 0.7, F.lit("LOW")),
         ("META-02", F.length("title") > MAX_TITLE, F.lit("LOW")),
         ("META-03", F.length(F.coalesce("description", F.lit(""))) < MIN_DESCRIPTION, F.lit("LOW")),
-        ("META-04", F.size("tags") > MAX_TAGS, F.lit("LOW")),
+        ("META-04", F.size("tags") > most_tags, F.lit("LOW")),
         ("META-05", said.rlike(SPONSORED) & ~said.rlike(DISCLOSED), F.lit("HIGH")),
     )
 
 
+def event_summary(events: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, n and summary: how many events of each kind, by name, as ``kind n, kind n``."""
+    kinds = events.groupBy(*keys, F.lower("kind").alias("kind")).agg(F.count("*").alias("n"))
+    entry = F.concat("kind", F.lit(" "), F.col("n").cast("string"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("kind", entry.alias("entry")))), lambda x: x["entry"])
+    return kinds.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_join(listed, ", ").alias("summary"))
+
+
+def merged_disclosures(hits: DataFrame, keys: list[str], gap_ms: int = 2_000) -> DataFrame:
+    """Sensitive strings (keys, kind, redacted, start_ms, end_ms) that stay in sight: sightings at most ``gap_ms`` apart are one."""
+    return merge_spans(hits, [*keys, "kind", "redacted"], gap_ms, ["start_ms", "end_ms"])
+
+
 def scenarios(findings: DataFrame) -> DataFrame:
     """Edits (scenario, entity, op, rs, re): each finding's own fix, all of them, and all as mutes or blurs."""
     own = remediation.lower(findings).select("entity", "id", "op", F.col("s").alias("rs"), F.col("e").alias("re"))

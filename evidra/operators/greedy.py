@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.evidence import SEVERITIES
+from evidra.functions.evidence import SEVERITY_SCORE
 from evidra.functions.text import plain_text
-from evidra.operators.remediation import CEILING, COST
+from evidra.operators.remediation import AUDIO, CEILING, COST
 from evidra.operators.scans import scan_groups
 
 # Categories that may be one incident with each category, and the bounds of an incident's confidence.
@@ -129,20 +129,25 @@ def match_runs(before: DataFrame, after: DataFrame, floor: float = 0.3, toleranc
 
 
 def choose_fixes(findings: DataFrame, strategy: str = "balanced") -> DataFrame:
-    """The gravest first: the best operation for each that still fits the file's budget of viewer impact, or none."""
-    rank = {s: (i + 1) / len(SEVERITIES) for i, s in enumerate(SEVERITIES)}
+    """The gravest first: the best operation for each that still fits the file's budget of viewer impact, or none.
+
+    What is seen at least as surely as it is heard or read can only be blurred or cut, all else only silenced or cut.
+    """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         spent, out = 0.0, []
-        weight = rows["severity"].map(rank) * rows["confidence"]
+        weight = rows["severity"].map(SEVERITY_SCORE).fillna(0.0) * rows["confidence"]
         for r in rows.assign(_w=-weight).sort_values(["_w", "ord"], kind="stable").itertuples():
-            fits = [(red - 0.6 * cost - 0.25 * video, op, cost) for op, (cost, video, red) in COST.items() if spent + cost <= CEILING[strategy] + 1e-9]
+            able = ("BLUR_REGION", "CUT") if r.seen else (*AUDIO, "CUT")
+            fits = [(red - 0.6 * cost - 0.25 * video, op, cost) for op, (cost, video, red) in COST.items() if op in able and spent + cost <= CEILING[strategy]]
             best = max(fits, default=None)
             spent += best[2] if best else 0
             out.append((r.entity, r.ord, best[1] if best else None))
         return pd.DataFrame(out, columns=["entity", "ord", "op"])
 
-    return _per_entity(findings.select("entity", "ord", "severity", "confidence"), scan, "entity long, ord long, op string", ["ord"])
+    others = F.map_values(F.map_filter("modalities", lambda k, _: k != "vision"))
+    seen = F.coalesce(F.col("modalities")["vision"], F.lit(0.0)) >= F.coalesce(F.array_max(others), F.lit(0.0))
+    return _per_entity(findings.select("entity", "ord", "severity", "confidence", seen.alias("seen")), scan, "entity long, ord long, op string", ["ord"])
 
 
 def caption_cues(words: DataFrame, gap_ms: int = 700, most_ms: int = 6_000, most_words: int = 14, line: int = 42) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 FRAME, HOP = 2048, 512
 # Bounds of applause (variation of flux, rhythm of syllables in Hz, onset density, flatness, length) and of
@@ -81,7 +82,10 @@ def clip_features(clips: DataFrame) -> DataFrame:
 
 
 def image_statistics(images: DataFrame) -> DataFrame:
-    """frame, mean luma, variance of the Laplacian, contrast and blockiness of grey pictures (frame, width, pixels)."""
+    """frame, mean luma, variance of the Laplacian, contrast, blockiness and noise of grey pictures (frame, width, pixels).
+
+    Noise is what a high-pass filter leaves in the flattest tenth of a picture, where there is no texture.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -91,10 +95,24 @@ def image_statistics(images: DataFrame) -> DataFrame:
                 lap = -4 * g[1:-1, 1:-1] + g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:]
                 step = np.abs(np.diff(g, axis=1)).mean(axis=0)
                 edge = step[7::8].mean() if len(step) > 7 else 0.0
-                rows.append((r.frame, g.mean(), lap.var() if lap.size else 0.0, g.std(), edge / (step.mean() + 1e-9)))
-            yield pd.DataFrame(rows, columns=["frame", "luma", "sharpness", "contrast", "blockiness"])
+                noise = np.percentile(np.abs(lap) / 4, 10) if lap.size else 0.0
+                rows.append((r.frame, g.mean(), lap.var() if lap.size else 0.0, g.std(), edge / (step.mean() + 1e-9), noise))
+            yield pd.DataFrame(rows, columns=["frame", "luma", "sharpness", "contrast", "blockiness", "noise"])
+
+    return images.select("frame", "width", "pixels").mapInPandas(run, "frame long, luma double, sharpness double, contrast double, blockiness double, noise double")
+
 
-    return images.select("frame", "width", "pixels").mapInPandas(run, "frame long, luma double, sharpness double, contrast double, blockiness double")
+def colourfulness(images: DataFrame) -> DataFrame:
+    """frame and colourfulness of pictures (frame, red, green, blue): spread and mean of the two opponent colours, as published
+    by Hasler and Suesstrunk; in column functions alone."""
+    rg = F.zip_with("red", "green", lambda a, b: a - b)
+    yb = F.zip_with(F.zip_with("red", "green", lambda a, b: (a + b) / 2), "blue", lambda m, b: m - b)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    each = images.select("frame", rg.cast("array<double>").alias("rg"), yb.cast("array<double>").alias("yb"))
+    mean = {c: F.try_divide(total(c), F.size(c)) for c in ("rg", "yb")}
+    variance = {c: F.try_divide(total(F.transform(c, lambda x: x * x)), F.size(c)) - mean[c] ** 2 for c in ("rg", "yb")}
+    spread, shift = F.sqrt(F.greatest(variance["rg"] + variance["yb"], F.lit(0.0))), F.sqrt(mean["rg"] ** 2 + mean["yb"] ** 2)
+    return each.select("frame", F.coalesce(spread + 0.3 * shift, F.lit(0.0)).alias("colourfulness"))
 
 
 def phase_correlation(left: np.ndarray, right: np.ndarray, frame: int = 2048, hop: int = 1024) -> float | None:
@@ -144,8 +162,6 @@ def segments(kinds: DataFrame, least_ms: int = 700, window_ms: int = 1_000) -> D
 
 def ducking(levels: DataFrame, least: int = 10) -> DataFrame:
     """clip and how many dB the music lies lower under speech, from ``levels(clip, rms, kind)``; null below ``least`` frames of either."""
-    from pyspark.sql import functions as F
-
     of = lambda kind, p: F.percentile(F.when(F.col("kind") == kind, F.col("rms")), p)
     n = lambda kind: F.count_if(F.col("kind") == kind)
     out = levels.groupBy("clip").agg(of("speech", 0.2).alias("under"), of("music", 0.5).alias("alone"), n("speech").alias("s"), n("music").alias("m"))
@@ -155,9 +171,6 @@ def ducking(levels: DataFrame, least: int = 10) -> DataFrame:
 
 def motion(differences: DataFrame) -> DataFrame:
     """clip, sample and whether it is a hard CUT or GRADUAL, from frame differences (clip, n, diff): spikes over four medians and eight."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy("clip").orderBy("n")
     typical = differences.groupBy("clip").agg(F.percentile("diff", 0.5).alias("median"))
     spike = (F.col("diff") > 4 * F.col("median")) & (F.col("diff") > 8)

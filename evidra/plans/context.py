@@ -85,13 +85,19 @@ def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.evidence_pairs(greedy.match_runs(f, moved), f, moved)
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<article>(.{0,100})', 1) AS description FROM pages),
+@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')) AS description, len(regexp_extract_all(html, '<li>')) AS n_tags FROM pages),
 l AS (SELECT *, length(regexp_replace(title, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(title, '[^\\p{Lu}]', '', 'g')) AS capitals FROM p)
 SELECT page_id, clause, severity FROM (SELECT page_id, 'META-01' AS clause, 'LOW' AS severity, letters >= 12 AND capitals > 0.7 * letters AS hit FROM l UNION ALL SELECT page_id, 'META-02', 'LOW', length(title) > 70 FROM l
-UNION ALL SELECT page_id, 'META-03', 'LOW', length(description) < 200 FROM l) WHERE hit""")
+UNION ALL SELECT page_id, 'META-03', 'LOW', length(description) < 200 FROM l UNION ALL SELECT page_id, 'META-04', 'LOW', n_tags > 5 FROM l
+UNION ALL SELECT page_id, 'META-05', 'HIGH', regexp_matches(description, '(?i)\\b(sponsor(ed|ship)?|paid partnership|affiliate|promo code|use (my|the) code)\\b')
+  AND NOT regexp_matches(description, '(?i)(#ad\\b|#sponsored\\b|\\bpaid promotion\\b|\\bincludes paid\\b|\\bdisclosure\\b)') FROM l) WHERE hit""")
 def metadata_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<article>(.{0,100})", 1).alias("description"), F.array().cast("array<string>").alias("tags"), F.lit("").alias("spoken"))
-    return de.metadata_findings(p)
+    """The article is the description, the entries of lists are the tags."""
+    article = F.trim(F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), "<[^>]*>", " "))
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), article.alias("description"), F.regexp_extract_all("html", F.lit("<li>"), F.lit(0)).alias("tags"), F.lit("").alias("spoken")
+    )
+    return de.metadata_findings(p, most_tags=5)
 
 
 @query("""WITH m AS (SELECT user_id AS clip, avg(value) / 10 - 19 AS lufs, max(value) / 1000000 AS clipped, max(value) / 30 AS spread_db, min(value) - 0.05 AS phase FROM events GROUP BY user_id)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.operators import comparison as co
+from evidra.operators import detectors as de
 from evidra.operators import emit, greedy
 from evidra.operators import remediation as rm
 from evidra.plans.registry import registry
@@ -34,6 +35,30 @@ def reasoning_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.claims(findings(spark, sf_dir))
 
 
+@query(f"""WITH {OBSERVATIONS_SQL}, k AS (SELECT entity, label AS kind, count(*) AS n FROM o GROUP BY ALL)
+SELECT entity, sum(n)::BIGINT AS n, string_agg(kind || ' ' || n, ', ' ORDER BY kind) AS summary FROM k GROUP BY entity""")
+def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return de.event_summary(observations(spark, sf_dir).withColumn("kind", F.upper("label")), "entity")
+
+
+@query(f"""WITH {OBSERVATIONS_SQL}, h AS (SELECT entity, label AS kind, 'k' || k % 3 AS redacted, ts_ms AS start_ms, ts_ms + k * 1000 AS end_ms FROM o),
+s AS (SELECT *, coalesce(start_ms - max(end_ms) OVER w > 60000, true) AS fresh FROM h WINDOW w AS (PARTITION BY entity, kind, redacted ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY entity, kind, redacted ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT entity, kind, redacted, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM n GROUP BY entity, kind, redacted, session""")
+def merged_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    hits = observations(spark, sf_dir).select("entity", F.col("label").alias("kind"), F.concat(F.lit("k"), (k % 3).cast("string")).alias("redacted"), F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + k * 1000).alias("end_ms"))
+    return de.merged_disclosures(hits, ["entity"], 60_000).drop("session")
+
+
+@query(f"""WITH {FINDINGS_SQL}, m AS (SELECT entity, start_ms // 60000 AS incident, ord, coalesce(k % 3 = 0, false) AS gone FROM f),
+w AS (SELECT *, bool_or(NOT gone) OVER (PARTITION BY entity, incident) AS stands FROM m) SELECT entity, incident, ord FROM w WHERE NOT gone OR NOT stands""")
+def upheld_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("k") % 3 == 0, "DISMISSED").when(F.col("k") % 3 == 1, "UPHELD")
+    members = findings(spark, sf_dir).select("entity", F.floor(F.col("start_ms") / 60_000).alias("incident"), "ord", verdict.alias("verdict"))
+    return co.upheld(members).drop("verdict")
+
+
 @query(f"""WITH {FINDINGS_SQL}, g AS (SELECT entity, label AS agent, least(1.0, count(*) / 20) AS coverage FROM (SELECT entity, CASE label WHEN 'view' THEN 'vision' WHEN 'click' THEN 'ocr' WHEN 'error' THEN 'speech' ELSE label END AS label FROM o) GROUP BY ALL),
 n AS (SELECT entity, bool_or(m_speech > 0) AS s, bool_or(m_vision > 0) AS v, bool_or(m_ocr > 0) AS c FROM f GROUP BY entity)
 SELECT entity, agent, CASE WHEN coverage < 0.5 THEN 'TOO_LITTLE' ELSE 'SILENT' END AS state FROM g JOIN n USING (entity) WHERE NOT (CASE agent WHEN 'speech' THEN s WHEN 'vision' THEN v WHEN 'ocr' THEN c ELSE false END)""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
-from evidra.operators import context, detectors, greedy, intervals, remediation, scoring, signal, stores, vocabulary
+from evidra.operators import comparison, context, detectors, greedy, intervals, remediation, scoring, signal, stores, vocabulary
 from evidra.plans import catalog
 
 KINDS = ("a", "b")
@@ -308,6 +308,38 @@ def test_sound_events(spark):
     assert not [r for r in out if r.clip > 2]
 
 
+def test_fixes_fit_what_was_seen_or_heard(spark):
+    pick = random.Random(2)
+    rows = [(k % 3, k, pick.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL"]), pick.random(), {"vision": pick.choice([0.0, 0.5, 0.9]), "speech": pick.choice([0.0, 0.5])} if k % 5 else {}) for k in range(40)]
+    rank = {"LOW": 0.28, "MEDIUM": 0.52, "HIGH": 0.76, "CRITICAL": 1.0}
+    wanted = {}
+    for e in range(3):
+        spent = 0.0
+        for _, k, severity, sure, m in sorted((r for r in rows if r[0] == e), key=lambda r: (-rank[r[2]] * r[3], r[1])):
+            able = ["BLUR_REGION", "CUT"] if m.get("vision", 0) >= max((v for n, v in m.items() if n != "vision"), default=0) else ["BLEEP", "MUTE", "REPLACE_AUDIO", "CUT"]
+            able = [op for op in able if spent + remediation.COST[op][0] <= remediation.CEILING["balanced"]]
+            score = lambda op: remediation.COST[op][2] - 0.6 * remediation.COST[op][0] - 0.25 * remediation.COST[op][1]
+            wanted[k] = max(able, key=score, default=None)
+            spent += remediation.COST[wanted[k]][0] if wanted[k] else 0
+    df = spark.createDataFrame(rows, "entity long, ord long, severity string, confidence double, modalities map<string,double>")
+    assert {r.ord: r.op for r in greedy.choose_fixes(df).collect()} == wanted
+    assert {"BLUR_REGION", "REPLACE_AUDIO", None} <= set(wanted.values())
+
+
+def test_pictures_and_claims(spark):
+    pick = np.random.default_rng(1)
+    red, green, blue = pick.integers(0, 256, (3, 50)).astype(float)
+    rg, yb = red - green, (red + green) / 2 - blue
+    df = spark.createDataFrame([(1, red.tolist(), green.tolist(), blue.tolist()), (2, [7.0] * 9, [7.0] * 9, [7.0] * 9), (3, [], [], [])], "frame long, red array<double>, green array<double>, blue array<double>")
+    out = {r.frame: r.colourfulness for r in signal.colourfulness(df).collect()}
+    assert out[1] == pytest.approx(np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean())) and out[2] == out[3] == 0
+    flat, rough = np.full((40, 40), 90.0), 90 + pick.normal(0, 20, (40, 40))
+    noise = {r.frame: r.noise for r in signal.image_statistics(spark.createDataFrame([(1, 40, flat.ravel().tolist()), (2, 40, rough.ravel().tolist())], "frame long, width int, pixels array<double>")).collect()}
+    assert noise[1] == 0 < noise[2]
+    claims = spark.createDataFrame([("POLICY", "x", "r"), ("POLICY", " \n", "r"), ("EVIDENCE", "x", None), ("GUESS", "x", "r"), (None, "x", "r")], "step string, text string, ref string")
+    assert sorted(r.reason for r in comparison.unsourced(claims).collect()) == ["cites nothing", "empty", "unknown step", "unknown step"]
+
+
 def test_new_queries_are_catalogued():
-    for name in ("speech_confidence", "iban_casualty_scan", "frame_budget", "caption_coverage", "pair_summary", "clause_drift", "edit_validation"):
+    for name in ("speech_confidence", "iban_casualty_scan", "frame_budget", "caption_coverage", "pair_summary", "clause_drift", "edit_validation", "event_summary", "merged_disclosures", "upheld_members", "metadata_lint"):
         assert name in catalog.QUERIES and name in catalog.ORACLE_SQL, name
