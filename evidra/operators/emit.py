@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import evidence as ev
@@ -36,6 +36,30 @@ def report(findings: DataFrame, entity: str, duration_ms: int) -> DataFrame:
     return out.select(entity, F.to_json(body).alias("body"))
 
 
+def release_certificate(findings: DataFrame, coverage: DataFrame, entity: str = "entity") -> DataFrame:
+    """entity, body and hash: findings by severity, distinct clauses, what each agent covered, and the weights of the score.
+
+    Keys stand in alphabetical order, so equal contents have equal hashes. Entities of ``coverage(entity, agent, coverage)``
+    without findings have a certificate too.
+    """
+    counts = F.struct(*(F.count_if(F.col("severity") == s).alias(s) for s in sorted(ev.SEVERITIES)))
+    found = findings.groupBy(entity).agg(F.array_sort(F.collect_set("clause")).alias("clauses"), counts.alias("severities"))
+    covered = coverage.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("agent", "coverage"))).alias("covered"))
+    none = F.struct(*(F.lit(0).cast("long").alias(s) for s in sorted(ev.SEVERITIES)))
+    weights = F.struct(*(F.lit(w).alias(d) for d, w in sorted(ev.DIMENSION_WEIGHT.items())))
+    every = covered.join(found, entity, "full")
+    body = F.struct(
+        F.coalesce("clauses", F.array().cast("array<string>")).alias("clauses"), F.coalesce("covered", F.array().cast(covered.schema["covered"].dataType)).alias("coverage"),
+        F.coalesce("severities", none).alias("severities"), weights.alias("weights"),
+    )
+    return seal(every.select(entity, F.to_json(body).alias("body")))
+
+
+def exit_code(verdict: Column) -> Column:
+    """0 for a verdict that lets a file be published, else 1."""
+    return F.when(F.coalesce(verdict.isin("READY_TO_PUBLISH", "PUBLISH_WITH_FIXES", "SAFE", "REVIEW"), F.lit(False)), 0).otherwise(1)
+
+
 def seal(documents: DataFrame) -> DataFrame:
     """With the hash of the body, which ``broken_seals`` recomputes."""
     return documents.withColumn("hash", F.sha2("body", 256))

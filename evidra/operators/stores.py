@@ -92,12 +92,30 @@ def changed_sections(before: Column, after: Column) -> Column:
     return F.array_sort(F.filter(names, lambda k: ~F.try_element_at(before, k).eqNullSafe(F.try_element_at(after, k))))
 
 
-def illegal_transitions(history: DataFrame) -> DataFrame:
-    """Rows whose (from_state, to_state) the graph doesn't have."""
+def legal(from_state: Column, to_state: Column) -> Column:
+    """Whether the graph of states has the step; nulls have none."""
     ok = F.lit(False)
     for state, targets in TRANSITIONS.items():
-        ok = ok | ((F.col("from_state") == state) & F.col("to_state").isin("FAILED", *targets))
-    return history.filter(~F.coalesce(ok, F.lit(False)))
+        ok = ok | ((from_state == state) & to_state.isin("FAILED", *targets))
+    return F.coalesce(ok, F.lit(False))
+
+
+def accepted_transitions(history: DataFrame, requests: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows (key, from_state, to_state) to append for ``requests(key, to_state)``: those legal from the key's latest state."""
+    now = latest(history.select(key, order, F.col("to_state").alias("from_state")), key, order)
+    return requests.join(now.select(key, "from_state"), key).filter(legal(F.col("from_state"), F.col("to_state"))).select(key, "from_state", "to_state")
+
+
+def new_artifacts(stored: DataFrame, offered: DataFrame, digest: str) -> DataFrame:
+    """The offered rows to append to a store by content: one, the least by all columns, for each digest that it doesn't have."""
+    rest = [c for c in offered.columns if c != digest]
+    first = offered.groupBy(digest).agg(F.min(F.struct(*rest)).alias("row")).select(digest, "row.*").select(*offered.columns)
+    return first.join(stored.select(digest), digest, "left_anti").select(*offered.columns)
+
+
+def illegal_transitions(history: DataFrame) -> DataFrame:
+    """Rows whose (from_state, to_state) the graph doesn't have."""
+    return history.filter(~legal(F.col("from_state"), F.col("to_state")))
 
 
 def tree(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:

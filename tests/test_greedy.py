@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
-from evidra.operators import comparison, context, detectors, greedy, intervals, remediation, scoring, signal, stores, vocabulary
+from evidra.operators import comparison, context, detectors, emit, greedy, intervals, remediation, scoring, signal, stores, vocabulary
 from evidra.plans import catalog
 
 KINDS = ("a", "b")
@@ -265,6 +265,28 @@ def test_routes_and_rosters(spark):
     assert found == {("c", "b", "parent not of a lower tier"), ("c", "x", "unknown parent"), ("c", None, "no prompt"), ("d", None, "deterministic with a capability")}
 
 
+def test_stores_take_what_is_new_and_legal(spark):
+    history = spark.createDataFrame([(1, 1, "SIMULATED"), (1, 2, "RENDERING"), (2, 1, "VERIFIED"), (3, 1, "COMPARING")], "id int, n int, to_state string")
+    asked = spark.createDataFrame([(1, "RENDERED"), (1, "VERIFIED"), (2, "FAILED"), (3, "NO_CHANGE"), (4, "RENDERING"), (3, None)], "id int, to_state string")
+    assert sorted(tuple(r) for r in stores.accepted_transitions(history, asked, "id", "n").collect()) == [(1, "RENDERING", "RENDERED"), (3, "COMPARING", "NO_CHANGE")]
+    offered = spark.createDataFrame([("x", 2), ("x", 1), ("y", 5), ("z", 1)], "digest string, size int")
+    assert sorted(tuple(r) for r in stores.new_artifacts(spark.createDataFrame([("y",)], "digest string"), offered, "digest").collect()) == [("x", 1), ("z", 1)]
+
+
+def test_certificates(spark):
+    import hashlib
+    import json
+
+    findings = spark.createDataFrame([(1, "AF-01", "LOW"), (1, "AF-01", "HIGH"), (1, "AUD-02", "HIGH")], "entity int, clause string, severity string")
+    covered = spark.createDataFrame([(1, "vision", 0.5), (1, "audio", 1.0), (2, "audio", 0.1)], "entity int, agent string, coverage double")
+    out = {r.entity: r for r in emit.release_certificate(findings, covered).collect()}
+    body = json.loads(out[1].body)
+    assert body["clauses"] == ["AF-01", "AUD-02"] and body["severities"] == {"CRITICAL": 0, "HIGH": 2, "LOW": 1, "MEDIUM": 0}
+    assert [c["agent"] for c in body["coverage"]] == ["audio", "vision"] and sum(body["weights"].values()) == pytest.approx(1)
+    assert out[1].hash == hashlib.sha256(out[1].body.encode()).hexdigest() and json.loads(out[2].body)["clauses"] == []
+    assert [one(spark, emit.exit_code(F.lit(v))) for v in ("SAFE", "HIGH_RISK", None)] == [0, 1, 1]
+
+
 def test_tree_without_a_depth(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(12)] + [(3, 12)], "node long, parent long")
     out = {r.node: r.level for r in stores.tree(edges, spark.createDataFrame([(0,)], "node long")).collect()}
