@@ -116,7 +116,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     most = max(1, BLOCK_BYTES // (8 * (dim or 1)))
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks, query_blocks = max(n // most, min(partitions, n // CANDIDATES)) + 1, n_queries // most + 1
-    both = lambda df, own, c, other, m: df.withColumn(own, F.pmod("h", F.lit(c))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    def both(df: DataFrame, own: str, c: int, other: str, m: int) -> DataFrame:
+        """Each row in its own block of one side, and once for each block of the other side."""
+        others = F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
+        return df.withColumn(own, F.pmod("h", F.lit(c))).withColumn(other, F.explode(others))
+
     left = both(every.filter("q").select("vec_id", "embedding", "h", "dim"), "qb", query_blocks, "cb", blocks)
     right = both(every.select("vec_id", "embedding", "h", "dim"), "cb", blocks, "qb", query_blocks)
 

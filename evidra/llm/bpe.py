@@ -4,8 +4,8 @@ Texts are cut into chunks (see ``chunks``) and each distinct chunk into the matc
 matches are laid out as rows of matrices, one matrix for each power-of-two length. In each round every row looks all
 its pairs up in a hash table, merges its leftmost pair of least rank and closes the gap, so the matrix loses a column;
 rows without a pair in the table leave it. A piece of more than ``LONG`` bytes is a row by itself; there all places of
-its least pair are merged in one round, from the left up to the first whose token makes a pair of lesser rank. Spark deals the rows out, and each task keeps only Arrow batches and a
-bounded memory of chunks. The vocabulary is a file of fixed size, read by the driver and broadcast.
+its least pair are merged in one round, from the left up to the first whose token makes a pair of lesser rank. Spark
+deals the rows out, and each task keeps only Arrow batches and a bounded memory of chunks. The vocabulary is a file of fixed size, read by the driver and broadcast.
 
 Defined results
 ---------------

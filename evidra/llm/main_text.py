@@ -5,8 +5,8 @@ text, with the tags and the linked characters in it. Elements that are by their
 footer, sidebar, notice, advert, form, script, style or reader comments give no lines. Each line's text-to-tag ratio is
 smoothed over its neighbours by a Gaussian and compared with a threshold; the runs of lines above it, without lines at
 their ends that are below it by themselves, are the content clusters. List items that are nothing but a link are no
-content, but stay where they stand in the region. The article or main element that holds nearly all of their text is the content region, and all its lines are the main
-text: short paragraphs of an article stay. Where a page marks up no region, it is the smallest element that holds all
+content, but stay where they stand in the region. The article or main element that holds nearly all of the clusters' text
+is the content region, and all its lines are the main text: short paragraphs of an article stay. Where a page marks up no region, it is the smallest element that holds all
 clusters, with the headings right before it; if that is the page, lines before the first and after the last cluster go,
 but for headings right before it and paragraphs beside it.
 

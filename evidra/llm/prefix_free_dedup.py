@@ -323,8 +323,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(text.tobytes())
                 removed.append(int((hi - lo).sum()))
                 runs.append(len(lo))
-            columns = {"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": ends - starts, "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
-            yield pa.RecordBatch.from_pydict(columns)
+            counts = {"n_bytes": ends - starts, "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "kept": pa.array(kept, pa.binary())} | counts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return repeated_spans(docs).mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -211,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = L
             ends = np.cumsum(counts)
             cells = [x[b - n : b].astype(np.float32).tobytes() for b, n in zip(ends, counts, strict=True)]
             sizes = [lengths[b - n : b].astype("<i8").tobytes() for b, n in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(cells, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "x", "lengths"])
+            features = {"x": pa.array(cells, pa.binary()), "lengths": pa.array(sizes, pa.binary())}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "quality")} | features)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.withColumn("quality", F.col("quality").cast("int")), "doc_id")
     rows = texts.mapInArrow(run, "doc_id long, quality int, x binary, lengths binary").toPandas().sort_values(["doc_id", "x"])

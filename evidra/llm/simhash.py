@@ -134,8 +134,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     blocks = distinct.select("fp", F.inline(F.array(*(each(k, m) for k, m in enumerate(masks)))))
     large = materialise(blocks.groupBy("c", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("c", "key"), "blocks")
     if large.head(1):
-        finer = {k: F.array(*(each(len(masks) * (k + 1) + i, m | x) for i, x in enumerate(block_masks(max_bits, ~m & (1 << 64) - 1)))) for k, m in enumerate(masks)}
-        cut = blocks.join(large, ["c", "key"], "left_semi").select("fp", F.inline(F.element_at(F.create_map(*(x for k, a in finer.items() for x in (F.lit(k), a))), F.col("c"))))
+        finer = []
+        for k, m in enumerate(masks):
+            open_bits = ~m & (1 << 64) - 1
+            keys = [each(len(masks) * (k + 1) + i, m | x) for i, x in enumerate(block_masks(max_bits, open_bits))]
+            finer += [F.lit(k), F.array(*keys)]
+        of_block = F.element_at(F.create_map(*finer), F.col("c"))
+        cut = blocks.join(large, ["c", "key"], "left_semi").select("fp", F.inline(of_block))
         blocks = blocks.join(large, ["c", "key"], "left_anti").select("fp", "c", "key").union(cut)
     blocks = blocks.repartition(n, "c", "key").sortWithinPartitions("c", "key")
 
