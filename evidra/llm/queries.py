@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import block_neighbours, bpe, line_dedup, main_text, mixing, prefix_free_dedup, quality_crf, quality_rules, simhash, token_records
+from evidra.llm import (
+    block_neighbours,
+    bpe,
+    chunk_reuse,
+    cross_alignment,
+    fill_middle,
+    line_dedup,
+    main_text,
+    mixing,
+    prefix_free_dedup,
+    quality_crf,
+    quality_rules,
+    simhash,
+    token_records,
+)
 from evidra.session import shared_path
 
 #: Vectors whose id this divides are the queries, and how many neighbours each gets.
@@ -15,6 +29,8 @@ QUERY_EVERY, NEAREST = 50, 5
 RECORD_TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Vocabulary of the matrices.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer that is aligned with that of the records.
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +94,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_reuse.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RECORD_TOKENIZER), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cross_alignment.cross_align(docs, public_tokenizers.path(RECORD_TOKENIZER), public_tokenizers.path(PIECES))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_quality_crf": op2_quality_crf,
@@ -89,6 +122,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_chunk_reuse": op12_chunk_reuse,
+    "op13_cross_alignment": op13_cross_alignment,
 }
 
 ORACLE_SQL = {

@@ -32,9 +32,7 @@ def own():
 
 @functools.cache
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path(queries.RECORD_TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(queries.RECORD_TOKENIZER))
 
 
 def test_matrices_equal_tiktoken():
@@ -94,6 +92,17 @@ def test_joined_chunks_equal_the_library():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library().encode(t, add_special_tokens=False).ids for t in texts]
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [f"hello {SPECIAL} world", SPECIAL, f"{SPECIAL}x", f"x{SPECIAL}", f" {SPECIAL} ", f"a  {SPECIAL}  b", f"a\n{SPECIAL}\n\nb", SPECIAL * 3, f"{SPECIAL[:-1]} {SPECIAL[1:]}", f"it's{SPECIAL}'s"])
+def test_special_tokens_as_the_library_does(text):
+    encoder = LibraryEncoder(open(public_tokenizers.path(queries.RECORD_TOKENIZER), "rb").read())
+    ids, at = encoder.encode([text, "other words " + text + " and more", text])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library().encode(t, add_special_tokens=False).ids for t in (text, "other words " + text + " and more", text)]
+    assert (50256 in ids.tolist()) == (SPECIAL in text)
+
+
 def docs(spark):
     rows = [(k, t) for k, t in enumerate(odd_texts())] + [(3, "again"), (3, "again"), (None, "no id"), (900, None)]
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("start", F.lit("x"))
