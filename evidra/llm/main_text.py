@@ -2,13 +2,15 @@
 
 The standard library's streaming parser gives events; they are folded into the page's lines, one for each block of
 text, with the tags and the linked characters in it. Elements that are by their tag, role, class or id a menu, header,
-footer, sidebar, notice, advert, form, script, style or reader comments give no lines. Each line's text-to-tag ratio is
-smoothed over its neighbours by a Gaussian and compared with a threshold; the runs of lines above it, without lines at
-their ends that are below it by themselves, are the content clusters. List items that are nothing but a link are no
-content, but stay where they stand in the region. The article or main element that holds nearly all of the clusters' text
-is the content region, and all its lines are the main text: short paragraphs of an article stay. Where a page marks up no region, it is the smallest element that holds all
-clusters, with the headings right before it; if that is the page, lines before the first and after the last cluster go,
-but for headings right before it and paragraphs beside it.
+footer, sidebar, notice, advert, form, script, style or reader comments give no lines; an element that wraps the article,
+or most of the page's prose, is none of these, whatever its name. Each line's text-to-tag ratio is smoothed over its
+neighbours by a Gaussian and compared with a threshold; the runs of lines above it, without lines at their ends that are
+below it by themselves, are the content clusters.
+
+The article or main elements that hold most of the clusters' text are the content, with all their lines. Where a page marks
+up none, clusters select it: all lines in them and between them are content, and those before the first and after the
+last one are unless they look like page furniture: mostly links, a copyright line, or, outside the smallest
+element around all clusters, a few bare words that no paragraph or heading holds. No block is left out for its size.
 
 Pages are rows of their own: one pass, no shuffle.
 
@@ -38,7 +40,8 @@ from evidra.llm.chunks import slices
 
 #: Tags, roles and names by the HTML standard and common use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template nav header footer aside form button select textarea option label fieldset iframe object svg canvas audio video dialog menu".split())
+SKIPPED = frozenset("head script style noscript template button select textarea option label legend iframe object svg canvas audio video".split())
+SECTIONS, WRAPPERS = frozenset("nav header footer aside dialog menu".split()), frozenset("form fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 CLOSES_ITEM = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -56,13 +59,16 @@ REGIONS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p blockquote pre".split())
 
-#: Lines on each side that a line's ratio is smoothed with, and the share of content that a region must hold.
-SIGMA, REACH, HELD = 1.0, 3, 0.8
+#: Lines on each side that a line's ratio is smoothed with.
+SIGMA, REACH = 1.0, 3
+#: Words of a bare line, and characters of a line in a form or the like, that make it prose.
+PROSE_WORDS, PROSE = 12, 80
+COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:©|\(c\))|copyright\s+\d{4}", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: First and last parts of names that say how a page is laid out, not what an element is.
 STATES, STATES_LAST = frozenset("no not non has have with without is".split()), frozenset("open opened closed active enabled disabled visible collapsed expanded".split())
-#: How surely an element's names say what it is: not at all, by a part of a name, by a whole name, as comments.
-UNNAMED, PARTLY, WHOLLY, THREAD = 0, 1, 2, 3
+#: How an element says that it is none of the content: not at all, by a part of a name, by a whole name, as comments, as a form, by its tag.
+UNNAMED, PARTLY, WHOLLY, THREAD, WRAPPER, SECTION = range(6)
 
 
 def _named(attrs: list[tuple[str, str | None]], names: frozenset[str] = NAMES) -> int:
@@ -153,6 +159,8 @@ class Lines(HTMLParser):
             named = _named(attrs) and (THREAD if _named(attrs, COMMENTS) else _named(attrs))
         elif attrs and not skipped and tag == "article":  # a comment may be an article of its own
             named = THREAD if _named(attrs, COMMENTS) else UNNAMED
+        if tag in SECTIONS or tag in WRAPPERS:
+            named = named if named == THREAD else SECTION if tag in SECTIONS else WRAPPER
         if tag in INLINE:
             skipped = skipped or named > UNNAMED
         element = self.stack[-1][1]
@@ -211,31 +219,51 @@ def content_clusters(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 
 def left_out(page: Lines) -> list[bool]:
-    """Which elements are left out by their class or id, or that of an element around them.
+    """Which elements are left out by their tag, class or id, or that of an element around them.
 
     Where an article or main is outside of all these, each is. Else, comments excepted, one that holds an article or main
-    stays, and so does one named by only a part of a name that holds most of the page's text.
+    stays if it is a form or left out by its name, and so does one that holds most of the page's text outside links if it is
+    named by only a part of a name, or holds an article or a line of prose.
     """
     out = [n > UNNAMED for n in page.named]
     if not any(out):
         return out
-    size, holds = [0] * len(out), [t in REGIONS and not out[e] for e, t in enumerate(page.tags)]
-    for text, _, _, e in page.lines:
+    size, plain, prose = [0] * len(out), [0] * len(out), [False] * len(out)
+    holds = [t in REGIONS and not out[e] for e, t in enumerate(page.tags)]
+    for text, _, linked, e in page.lines:
         size[e] += len(text)
+        plain[e] += max(0, len(text) - linked)
+        prose[e] |= len(text) - linked >= PROSE
     for e in range(len(out) - 1, 0, -1):  # an element comes after the one around it
-        size[page.parents[e]] += size[e]
+        above = page.parents[e]
+        size[above] += size[e]
+        plain[above] += plain[e]
+        prose[above] |= prose[e]
         # A comment's text is no article of the element around it.
-        holds[page.parents[e]] |= holds[e] and size[e] > 0 and not (page.tags[e] == "article" and out[e])
+        holds[above] |= holds[e] and size[e] > 0 and not (page.tags[e] == "article" and out[e])
     within = list(out)
     for e in range(1, len(out)):
         within[e] |= within[page.parents[e]]
     if not any(t in REGIONS and size[e] and not within[e] for e, t in enumerate(page.tags)):
-        out = [x and (page.named[e] == THREAD or not holds[e] and not (page.named[e] == PARTLY and 2 * size[e] > size[0])) for e, x in enumerate(out)]
+        for e, kind in enumerate(page.named):
+            most = 2 * plain[e] > plain[0]
+            stays = {PARTLY: holds[e] or 2 * size[e] > size[0], WHOLLY: holds[e], WRAPPER: holds[e] or most and prose[e], SECTION: most and (holds[e] or prose[e])}
+            out[e] = out[e] and not stays.get(kind, False)
     for e in range(1, len(out)):
         out[e] |= out[page.parents[e]]
     return out
 
 
+def _inside(page: Lines, roots: list[int]) -> list[bool]:
+    """Which elements are one of ``roots`` or in it."""
+    found = [False] * len(page.tags)
+    for e in roots:
+        found[e] = True
+    for e in range(1, len(found)):  # an element comes after the one around it
+        found[e] |= found[page.parents[e]]
+    return found
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -256,39 +284,56 @@ def main_text(html: str | None) -> str:
         held[x[3]] += n
     for e in range(len(held) - 1, 0, -1):
         held[page.parents[e]] += held[e]
-    menu = [False] * len(page.tags)
-    for x, e in zip(lines, entry, strict=True):
-        menu[x[3]] |= e
+    kept = _marked(page, lines, held)
+    if kept is None:
+        kept = _unmarked(page, lines, entry, content, held)
+    return "\n\n".join(x[0] for x, k in zip(lines, kept, strict=True) if k)
+
+
+def _marked(page: Lines, lines: list[tuple[str, int, int, int]], held: list[int]) -> list[bool] | None:
+    """The lines of the articles that hold most of the clusters' text, or else of main; None where neither does.
+
+    Short articles count too, unless they are mostly links.
+    A page's heading that stands right before them belongs to them, if they have none.
+    """
+    unlinked = [0] * len(page.tags)
+    for text, _, linked, e in lines:
+        unlinked[e] += len(text) - 2 * linked
+    for e in range(len(unlinked) - 1, 0, -1):
+        unlinked[page.parents[e]] += unlinked[e]
+    for kind in ("article", "main"):
+        roots = [e for e, t in enumerate(page.tags) if t == kind and (held[e] or unlinked[e] > 0)]
+        inside = _inside(page, roots)
+        most = sum(held[e] for e in roots if not inside[page.parents[e]])
+        if not most or 2 * most < held[0]:
+            continue
+        kept = [inside[x[3]] for x in lines]
+        first = kept.index(True)
+        if first and page.tags[lines[first - 1][3]] == "h1" and not any(k and page.tags[x[3]] == "h1" for k, x in zip(kept, lines, strict=True)):
+            kept[first - 1] = True
+        return kept
+    return None
+
+
+def _unmarked(page: Lines, lines: list[tuple[str, int, int, int]], entry: list[bool], content: np.ndarray, held: list[int]) -> list[bool]:
+    """The lines of the clusters, those between them, and those around them that aren't page furniture."""
     blocks = [t not in CLOSES_P or t in ("div", "section", "article", "main", "table") for t in page.tags]
-    region = max(e for e in range(len(held)) if held[e] >= HELD * held[0] and blocks[e])
-    marked, e = -1, region
-    while e >= 0:
-        if page.tags[e] in REGIONS:
-            marked = e
-            if page.tags[e] == "article":
-                break
-        e = page.parents[e]
-    region = max(e for e in range(len(held)) if held[e] == held[0] and blocks[e]) if marked < 0 else marked
-    inside = [False] * len(page.tags)
-    inside[region] = True
-    for e in range(region + 1, len(inside)):  # an element comes after the one around it
-        inside[e] = inside[page.parents[e]]
-    kept = [k for k, x in enumerate(lines) if inside[x[3]]]
-    first, last = kept[0], kept[-1] + 1
-    if marked < 0:
-        if page.tags[region] in ("", "html", "body"):
-            at = np.flatnonzero(content)
-            first, last = at[0], at[-1] + 1
-            beside = lambda k, edge: page.tags[lines[k][3]] in PARAGRAPHS and page.parents[lines[k][3]] == page.parents[lines[edge][3]]
-            inside = [x and not menu[e] for e, x in enumerate(inside)]
-            while first and beside(first - 1, first):
-                first -= 1
-            while last < len(lines) and beside(last, last - 1):
-                last += 1
-        while first and page.tags[lines[first - 1][3]] in HEADINGS:
-            first -= 1
-            inside[lines[first][3]] = True
-    return "\n\n".join(x[0] for x in lines[first:last] if inside[x[3]])
+    region = max(e for e in range(len(held)) if held[e] == held[0] and blocks[e])
+    inside = _inside(page, [] if page.tags[region] in ("", "html", "body") else [region])
+    # Elements that hold a line of the clusters themselves, or a paragraph that is one: lists of links in these are content.
+    direct = {e for x, c in zip(lines, content.tolist(), strict=True) if c for e in (x[3], page.parents[x[3]])}
+    at = np.flatnonzero(content)
+    kept = []
+    for k, (text, _, linked, e) in enumerate(lines):
+        if at[0] <= k <= at[-1]:
+            kept.append(True)
+        elif entry[k] or 2 * linked >= len(text):
+            kept.append(inside[e] and page.parents[page.parents[e]] in direct)
+        elif COPYRIGHT.match(text):
+            kept.append(False)
+        else:
+            kept.append(inside[e] or page.tags[e] in PARAGRAPHS or len(text.split()) >= PROSE_WORDS)
+    return kept
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -110,3 +110,65 @@ def test_clusters_find_articles_without_their_tags(spark, tag):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
     same = sum(main_text(x) == main_text(re.sub(r"<(/?)article>", rf"<\1{tag}>" if tag else "", x)) for x in pages)
     assert same >= 0.95 * len(pages)
+
+
+FEW = " ".join(["A shorter block of sixty words or so"] * 8)
+
+
+@pytest.mark.parametrize("wrapper", ["form id=aspnet action=/", "form", "fieldset", "form class=page-form"])
+@pytest.mark.parametrize("inner", ["article", "main", "div", "section"])
+def test_forms_around_pages_stay(wrapper, inner):
+    page = f"<{wrapper}><nav><a href=x>Home</a></nav><{inner}><h1>Head</h1><p>{LONG}</p><form><label>Mail</label><input><button>Send</button></form></{inner}><footer>f</footer></{wrapper.split()[0]}>"
+    assert main_text(f"<html><body>{page}</body></html>") == f"Head\n\n{LONG}"
+    assert main_text("<body><form><label>Name</label><input>Your mail <input></form></body>") == ""
+
+
+@pytest.mark.parametrize("tag", ["header", "aside", "footer", "nav"])
+def test_sections_around_pages_stay(tag):
+    assert main_text(f"<body><{tag}><article><h1>Head</h1><p>{LONG}</p></article></{tag}></body>") == f"Head\n\n{LONG}"
+    assert main_text(f"<body><div><p>{LONG}</p></div><{tag}><p>{FEW}</p></{tag}></body>") == LONG
+    links = "".join(f"<li><a href={k}>a long entry of the menu of this page</a>" for k in range(40))
+    assert main_text(f"<body><{tag}><ul>{links}</ul></{tag}><div><p>{FEW}</p></div></body>") == FEW
+
+
+@pytest.mark.parametrize("words", [60, 30, 12, 5, 1])
+def test_shorter_sibling_blocks_stay(words):
+    few = " ".join(["word"] * words)
+    assert main_text(f"<body><div><p>{LONG}</p></div><div><p>{few}</p></div></body>") == f"{LONG}\n\n{few}"
+    assert main_text(f"<body><div><p>{few}</p></div><div><p>{LONG}</p></div></body>") == f"{few}\n\n{LONG}"
+    assert main_text(f"<body><div><div><p>{LONG}</p></div><div><h2>{few}</h2><p>{few}</p></div></div></body>") == f"{LONG}\n\n{few}\n\n{few}"
+
+
+def test_two_articles_stay():
+    assert main_text(PAGE % f"<article><p>{LONG}</p></article><article><p>Short one.</p></article>") == f"{LONG}\n\nShort one."
+    assert main_text(PAGE % f"<h1>Head</h1><article><p>{LONG}</p></article>") == f"Head\n\n{LONG}"
+    assert main_text(PAGE % f"<main><div><p>{LONG}</p></div><div><p>Short one.</p></div></main><div><p>{FEW}</p></div>") == f"{LONG}\n\nShort one."
+
+
+def bare_pages():
+    """Pages of nothing but div elements without names, and their articles: only the ratio of text to tags tells them."""
+    import random
+
+    pick = random.Random(11)
+    words = "some words that a page may hold in any order and at any length".split()
+    say = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    for _ in range(60):
+        menu = [(f"<a href=x>{say(2)}</a>" if pick.random() < 0.7 else say(2)) for _ in range(pick.randint(4, 9))]
+        foot = [(f"<a href=y>{say(3)}</a>" if pick.random() < 0.7 else "&copy; 2024 " + say(2)) for _ in range(pick.randint(3, 6))]
+        article = [say(pick.randint(60, 200)) for _ in range(pick.randint(2, 5))]
+        article.insert(pick.randint(1, len(article) - 1), say(3))  # a short line among long ones
+        yield "".join(f"<div>{x}</div>" for x in menu + article + foot), "\n\n".join(article)
+
+
+def test_only_clusters_tell(monkeypatch):
+    from evidra.llm import main_text as module
+
+    pages = list(bare_pages())
+    assert sum(main_text(f"<body>{x}</body>") == y for x, y in pages) >= 0.95 * len(pages)
+    assert sum(main_text(f"<body><div>{x}</div></body>").replace("\n\n", " ").find(y.replace("\n\n", " ")) >= 0 for x, y in pages) >= 0.95 * len(pages)
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for other in (lambda n, t: np.ones(len(n), bool), lambda n, t: rng.random(len(n)) < 0.5):
+        monkeypatch.setattr(module, "content_clusters", lambda n, t, f=other: x if (x := f(n, t)).any() else np.ones(len(n), bool))
+        assert sum(main_text(f"<body>{x}</body>") == y for x, y in pages) <= 0.3 * len(pages)
