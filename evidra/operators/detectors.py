@@ -87,14 +87,15 @@ def scenarios(findings: DataFrame) -> DataFrame:
 
 
 def simulate(findings: DataFrame, edits: DataFrame) -> DataFrame:
-    """scenario, entity, overall after the edits, delta against none, impact and value of each scenario."""
+    """scenario, entity, overall after the edits, delta against none, impact, value and number of edits of each scenario."""
     # A dimension's score is a product over findings, so a scenario changes it by the quotients of the findings it touches:
     # the work grows with those, not with scenarios times findings.
-    kept = lambda sure: F.log1p(-ev.finding_risk(F.col("severity"), F.col("confidence"), F.col("start_ms"), F.col("end_ms"), sure))
+    kept = lambda sure, severity="severity": F.log1p(-ev.finding_risk(F.col(severity), F.col("confidence"), F.col("start_ms"), F.col("end_ms"), sure))
     per_dimension = lambda value: [F.sum(F.when(ev.dimension_of(F.col("clause")) == d, value)).alias(d) for d in ev.DIMENSION_WEIGHT]
     base = findings.groupBy("entity").agg(*per_dimension(kept(F.lit(None).cast("double"))))
-    touched = remediation.apply_edits(findings, edits).select("scenario", "entity", "ord", "survives", "fused").join(findings, ["entity", "ord"])
-    change = F.when(F.col("survives"), kept(F.col("fused"))).otherwise(0.0) - kept(F.lit(None).cast("double"))
+    touched = remediation.apply_edits(findings, edits).select("scenario", "entity", "ord", "survives", "fused", F.col("severity").alias("new_severity"))
+    touched = touched.join(findings, ["entity", "ord"])
+    change = F.when(F.col("survives"), kept(F.col("fused"), "new_severity")).otherwise(0.0) - kept(F.lit(None).cast("double"))
     changed = touched.groupBy("scenario", "entity").agg(*per_dimension(change))
     zero = lambda df, d: F.coalesce(df[d], F.lit(0.0))
     score = lambda logs: {d: F.least(100 * F.exp(x), F.lit(100.0)) for d, x in logs.items()}
@@ -102,14 +103,15 @@ def simulate(findings: DataFrame, edits: DataFrame) -> DataFrame:
     before, after = {d: zero(base, d) for d in ev.DIMENSION_WEIGHT}, {d: zero(base, d) + zero(changed, d) for d in ev.DIMENSION_WEIGHT}
     after = every.select("scenario", "entity", ev.readiness(score(before))["overall"].alias("baseline"), ev.readiness(score(after))["overall"].alias("overall"))
     cost = ev.lookup({k: v[0] for k, v in remediation.COST.items()}, F.col("op"), 0.05)
-    impact = edits.groupBy("scenario", "entity").agg(F.sum(cost).alias("impact"))
+    impact = edits.groupBy("scenario", "entity").agg(F.sum(cost).alias("impact"), F.count("*").alias("edits"))
     out = impact.join(after, ["scenario", "entity"])
     delta = F.col("overall") - F.col("baseline")
-    return out.select("scenario", "entity", "overall", delta.alias("delta"), "impact", (delta / F.greatest("impact", F.lit(0.01))).alias("value"))
+    value = F.when(delta > 0, delta / F.greatest("impact", F.lit(0.01))).otherwise(0.0)
+    return out.select("scenario", "entity", "overall", delta.alias("delta"), "impact", value.alias("value"), "edits")
 
 
 def best_within(simulated: DataFrame, ceiling: float = 0.45) -> DataFrame:
-    """The scenario of most value that helps within the ceiling; none where only leaving all as it is does."""
+    """The scenario of most value that helps within the ceiling, of equal ones that of fewest edits; none where none helps."""
     fits = simulated.filter((F.col("delta") > 0) & (F.col("impact") <= ceiling))
-    best = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("value"), "impact", "scenario"))
+    best = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("value"), "edits", "scenario"))
     return fits.withColumn("n", best).filter("n = 1").drop("n")

@@ -1,8 +1,9 @@
-"""Scans whose state depends on what came before: one entity's rows in order, in one grouped pandas call.
+"""Scans whose state depends on what came before: one entity's rows in order, handed over one group at a time.
 
 None of these can be combined in parts, so the rows that can meet must fit a task: an entity's, or those of them that
-agree in a clause or kind as well. Spark deals them out. Inputs carry an ``ord`` column, which makes their order total. What can be a
-join, a window or an aggregate is one elsewhere.
+agree in a clause or kind as well. Spark deals them out. Inputs carry an ``ord`` column, which makes their order total.
+What can be a join, a window or an aggregate is one elsewhere. ``OpenIncidents`` and ``OpenSightings`` are the state of
+two of the scans, which their streaming twins keep between batches.
 """
 
 from __future__ import annotations
@@ -39,6 +40,39 @@ def _per_entity(df: DataFrame, f, schema: str, order: list[str], *also: str) ->
     return scan_groups(df, f, schema, ["entity", *also], order)
 
 
+class OpenIncidents:
+    """The latest incidents that a finding may still join, in order of span: [number, first finding, earliest end, latest start, kinds]."""
+
+    def __init__(self, duration_ms: int = 0, share: float = 0.9, latest: list[list] | None = None):
+        self.alone_ms = share * duration_ms if duration_ms > 0 else None
+        self.latest = latest or []
+
+    def take(self, ord_: int, start_ms: int, end_ms: int, clause: str, category: str) -> int:
+        """The first finding of the incident that this one belongs to."""
+        if self.alone_ms is not None and end_ms - start_ms >= self.alone_ms:
+            return ord_
+
+        def fits(incident: list) -> bool:
+            _, _, ends, starts, kinds = incident
+            near = max(start_ms - ends, starts - end_ms) <= NEAR_MS
+            # A category that the table lacks goes with itself alone.
+            return near and all(c == clause or category in COMPATIBLE.get(k, (k,)) for c, k in kinds)
+
+        home = next((i for i in reversed(self.latest) if fits(i)), None)
+        if home is None:
+            made = self.latest[-1][0] + 1 if self.latest else 0
+            home = [made, ord_, end_ms, start_ms, []]
+            self.latest = [*self.latest, home][-RECENT:]
+        home[2], home[3] = min(home[2], end_ms), max(home[3], start_ms)
+        if [clause, category] not in home[4]:
+            home[4].append([clause, category])
+        return home[1]
+
+    def closed_from(self) -> int:
+        """The time from which on no finding that begins later can join any of them."""
+        return max((i[2] + NEAR_MS for i in self.latest), default=0)
+
+
 def incidents(findings: DataFrame, duration_ms: int, share: float = 0.9) -> DataFrame:
     """Findings with the number of their incident.
 
@@ -47,25 +81,12 @@ def incidents(findings: DataFrame, duration_ms: int, share: float = 0.9) -> Data
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        alone: list[list] = []
-        for r in rows.itertuples():
-            if duration_ms > 0 and r.end_ms - r.start_ms >= share * duration_ms:
-                alone.append([r])
-                continue
-
-            def fits(m, r=r):
-                gap = max(0, r.start_ms - m.end_ms, m.start_ms - r.end_ms)
-                return gap <= NEAR_MS and (m.clause == r.clause or r.category in COMPATIBLE.get(m.category, ()))
-
-            home = next((g for g in reversed(groups[-RECENT:]) if all(map(fits, g))), None)
-            if home is None:
-                groups.append([r])
-            else:
-                home.append(r)
-        ordered = sorted(groups + alone, key=lambda g: (min(m.start_ms for m in g), max(m.end_ms for m in g), g[0].ord))
-        number = {m.ord: i for i, g in enumerate(ordered, 1) for m in g}
-        return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "incident": rows["ord"].map(number)})
+        latest = OpenIncidents(duration_ms, share)
+        first = [latest.take(r.ord, r.start_ms, r.end_ms, r.clause, r.category) for r in rows.itertuples()]
+        spans = rows.assign(first=first).groupby("first").agg(s=("start_ms", "min"), e=("end_ms", "max")).reset_index()
+        ordered = spans.sort_values(["s", "e", "first"])["first"]
+        number = dict(zip(ordered, range(1, len(ordered) + 1), strict=True))
+        return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "incident": [number[f] for f in first]})
 
     return _per_entity(findings.select("entity", "ord", "start_ms", "end_ms", "clause", "category"), scan, "entity long, ord long, incident long", ["start_ms", "end_ms", "ord"])
 
@@ -167,10 +188,8 @@ def caption_cues(words: DataFrame, gap_ms: int = 700, most_ms: int = 6_000, most
         text = ["\n".join(textwrap.wrap(" ".join(x.w for x in c), line)) for c in cues]
         return pd.DataFrame({"entity": rows["entity"].iloc[0], "turn": rows["turn"].iloc[0], "n": range(1, len(cues) + 1), "start_ms": [c[0].start_ms for c in cues], "end_ms": ends, "text": text})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return scan(rows.sort_values("pos"))
-
-    return words.select("entity", "turn", "pos", "w", "start_ms", "end_ms").groupBy("entity", "turn").applyInPandas(run, "entity long, turn long, n long, start_ms long, end_ms long, text string")
+    timed = words.select("entity", "turn", "pos", "w", "start_ms", "end_ms")
+    return _per_entity(timed, scan, "entity long, turn long, n long, start_ms long, end_ms long, text string", ["pos"], "turn")
 
 
 def _overlap(a: tuple, b: tuple) -> float:
@@ -203,6 +222,27 @@ def _alike(a: str, b: str, floor: float) -> bool:
     return row[-1] <= most
 
 
+class OpenSightings:
+    """Clusters of sightings that were seen lately, in order of creation: [first sighting, text, its confidence, box, last seen]."""
+
+    def __init__(self, floor: float = 0.85, overlap: float = 0.6, gap_ms: int = 5_000, active: list[list] | None = None):
+        self.floor, self.overlap, self.gap_ms, self.active = floor, overlap, gap_ms, active or []
+
+    def take(self, ord_: int, ts_ms: int, key: str, confidence: float, box: tuple) -> int:
+        """The first sighting of the cluster that this one belongs to."""
+        self.active = [c for c in self.active if ts_ms - c[4] <= self.gap_ms]
+        home = next((c for c in self.active if _overlap(c[3], box) >= self.overlap and _alike(c[1], key, self.floor)), None)
+        if home is None:
+            home = [ord_, key, confidence, box, ts_ms]
+            self.active.append(home)
+        else:
+            home[3] = _around(home[3], box)
+            if confidence > home[2]:
+                home[1], home[2] = key, confidence
+        home[4] = ts_ms
+        return home[0]
+
+
 def cluster_sightings(sightings: DataFrame, floor: float = 0.85, overlap: float = 0.6, gap_ms: int = 5_000) -> DataFrame:
     """entity, ord and cluster of sightings (entity, ord, ts_ms, text, confidence, x, y, w, h) of texts on screen.
 
@@ -212,23 +252,9 @@ def cluster_sightings(sightings: DataFrame, floor: float = 0.85, overlap: float
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        active: list[dict] = []
-        numbers, made = [], 0
-        for r in rows.itertuples():
-            box = (r.x, r.y, r.w, r.h)
-            active = [c for c in active if r.ts_ms - c["seen"] <= gap_ms]
-            home = next((c for c in active if _overlap(c["box"], box) >= overlap and _alike(c["key"], r.key, floor)), None)
-            if home is None:
-                home = {"key": r.key, "best": r.confidence, "n": made, "box": box}
-                active.append(home)
-                made += 1
-            else:
-                home["box"] = _around(home["box"], box)
-                if r.confidence > home["best"]:
-                    home["key"], home["best"] = r.key, r.confidence
-            home["seen"] = r.ts_ms
-            numbers.append(home["n"])
-        return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "cluster": numbers})
+        seen = OpenSightings(floor, overlap, gap_ms)
+        first = [seen.take(r.ord, r.ts_ms, r.key, r.confidence, (r.x, r.y, r.w, r.h)) for r in rows.itertuples()]
+        return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "cluster": pd.factorize(pd.array(first))[0]})
 
     keyed = sightings.select("entity", "ord", "ts_ms", "text", plain_text(F.col("text")).alias("key"), "confidence", "x", "y", "w", "h")
     return _per_entity(keyed, scan, "entity long, ord long, cluster long", ["ts_ms", "text", "ord"])

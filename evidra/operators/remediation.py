@@ -80,17 +80,27 @@ def removed_by(op: Column) -> Column:
 
 
 def apply_edits(findings: DataFrame, edits: DataFrame) -> DataFrame:
-    """Findings of each scenario after its edits: what they lose, and whether anything is left.
+    """Findings of each scenario after its edits: what they lose, whether anything is left, and how sure and grave that is.
 
-    ``edits(scenario, entity, op, rs, re)``; an edit reaches a finding that it touches or comes near.
+    ``edits(scenario, entity, op, rs, re)``; an edit reaches a finding that it touches or comes near, and one whose
+    ``whole_file`` is set, where there is such a column, every finding of its entity. What is left is corroborated anew, so
+    ``fused``, ``severity`` and ``rule`` are those of a finding that had no more evidence to begin with; null if nothing is.
     """
-    wide = edits.select("scenario", "entity", "op", (F.col("rs") - TOLERANCE_MS).alias("rs"), (F.col("re") + TOLERANCE_MS).alias("re"))
-    spans = findings.withColumnRenamed("start_ms", "s").withColumnRenamed("end_ms", "e")
-    hit = overlap_join(spans.select("entity", "ord", "s", "e"), wide, ["entity"], (True, True))
-    lost = hit.groupBy("scenario", "ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(removed_by(F.col("op")))))).alias("lost"))
-    out = lost.join(findings, "ord")
+    whole = F.coalesce(F.col("whole_file"), F.lit(False)) if "whole_file" in edits.columns else F.lit(False)
+    kept = edits.select("scenario", "entity", "op", "rs", "re", whole.alias("whole_file"))
+    wide = kept.filter(~F.col("whole_file")).select("scenario", "entity", "op", (F.col("rs") - TOLERANCE_MS).alias("rs"), (F.col("re") + TOLERANCE_MS).alias("re"))
+    spans = findings.withColumnRenamed("start_ms", "s").withColumnRenamed("end_ms", "e").select("entity", "ord", "s", "e")
+    hit = overlap_join(spans, wide, ["entity"], (True, True)).select("scenario", "ord", "op")
+    if "whole_file" in edits.columns:
+        hit = hit.unionByName(spans.join(kept.filter("whole_file").select("scenario", "entity", "op").distinct(), "entity").select("scenario", "ord", "op"))
+    lost = hit.groupBy("scenario", "ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(removed_by(F.col("op")))))).alias("lost")).filter(F.size("lost") > 0)
     left = F.map_filter("modalities", lambda k, v: (v > 0) & ~F.array_contains(F.col("lost"), k))
-    return out.select("scenario", "entity", "ord", "lost", (F.size(left) > 0).alias("survives"), ev.noisy_or(left).alias("fused"))
+    out = lost.join(findings, "ord").withColumn("left", left)
+    survives = F.size("left") > 0
+    after = F.when(survives, ev.corroborate(F.col("left"), F.col("severity")))
+    return out.select("scenario", "entity", "ord", "lost", survives.alias("survives"), after.alias("after")).select(
+        "scenario", "entity", "ord", "lost", "survives", *(F.col(f"after.{c}").alias(c) for c in ("fused", "severity", "rule"))
+    )
 
 
 def viewer_impact(edits: DataFrame) -> DataFrame:

@@ -1,33 +1,67 @@
-"""Scans in order over the rows that share keys, many such groups to a call."""
+"""Scans in order over the rows that share keys, one group in memory at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Calls for each shuffle partition.
-CALLS = 4
+
+def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where in sorted rows the groups begin; nulls of a key are equal."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for key in keys:
+        codes, _ = pd.factorize(rows[key], use_na_sentinel=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[list[pd.DataFrame]]:
+    """The groups of equal keys in batches that are sorted by them: for each batch those that end in it, and at last the rest.
+
+    Of what came before only the group that goes on is held.
+    """
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        starts = _starts(batch, keys).tolist()
+        if held and len(_starts(pd.concat([held[-1].tail(1), batch.head(1)]), keys)) == 1:  # the held group goes on
+            del starts[0]
+            if not starts:
+                held.append(batch)
+                continue
+        done = [pd.concat([*held, batch.iloc[: starts[0]]], ignore_index=True)] if held else []
+        done += [batch.iloc[i:j] for i, j in zip(starts, starts[1:])]  # noqa: B905
+        held = [batch.iloc[starts[-1] :]]
+        yield [g.reset_index(drop=True) for g in done]
+    if held:
+        yield [pd.concat(held, ignore_index=True)]
 
 
 def scan_groups(df: DataFrame, scan: Callable[[pd.DataFrame], pd.DataFrame | Iterable[tuple]], schema: str, keys: list[str], order: list[str]) -> DataFrame:
-    """``scan`` of the rows of each group of equal keys, in order; nulls are equal. It gives a frame, or rows as tuples.
+    """``scan`` of the rows of each group of equal keys, in order; nulls are equal, and last. It gives a frame, or rows as tuples.
 
-    Groups are dealt out to calls by hash: a call costs more than a group of few rows, and a hot value of one key is
-    spread by the others.
+    Rows are dealt out by their keys and sorted in the JVM, where they can spill; a task then holds one group and one
+    batch of rows at a time, whatever the table's size and the number of partitions.
     """
     columns = [tuple(c.split(" ")) for c in schema.split(", ")]
-    n = CALLS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = rows.drop(columns="_call").sort_values(order, kind="stable").groupby(keys, sort=False, dropna=False)
-        found = [scan(part) for _, part in groups]
+    def result(found: list) -> pd.DataFrame:
         frames = [x for x in found if isinstance(x, pd.DataFrame)]
         if frames:
             return pd.concat(frames, ignore_index=True)
         out = pd.DataFrame([row for rows in found for row in rows], columns=[name for name, _ in columns])
         return out.astype({name: "Int64" for name, kind in columns if kind == "long"})
 
-    return df.withColumn("_call", F.pmod(F.xxhash64(*keys), F.lit(n))).groupBy("_call").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for done in groups(batches, keys):
+            if done:
+                yield result([scan(g) for g in done])
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *(F.col(c).asc_nulls_last() for c in order))
+    return dealt.mapInPandas(run, schema)

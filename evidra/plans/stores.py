@@ -186,12 +186,19 @@ def clause_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FINDINGS_SQL}, {_OPS}, x AS (SELECT p.op AS scenario, f.*, bool_or(true) AS hit FROM f JOIN p ON p.entity = f.entity AND p.s - 250 <= f.end_ms AND p.e + 250 >= f.start_ms GROUP BY ALL),
-y AS (SELECT *, CASE WHEN scenario IN ('MUTE', 'BLEEP', 'CUT') THEN 0 ELSE m_speech END AS ns, CASE WHEN scenario IN ('BLUR_REGION', 'CUT') THEN 0 ELSE m_vision END AS nv, CASE WHEN scenario IN ('BLUR_REGION', 'CUT') THEN 0 ELSE m_ocr END AS no FROM x)
-SELECT scenario, ord, ns > 0 OR nv > 0 OR no > 0 OR m_other > 0 AS survives, floor((1 - (1 - ns) * (1 - 0.85 * nv) * (1 - 0.8 * no) * (1 - 0.5 * m_other)) * 1000000 + 0.5)::BIGINT AS fused FROM y""")
+y AS (SELECT *, CASE WHEN scenario IN ('MUTE', 'BLEEP', 'CUT') THEN 0 ELSE m_speech END AS ns, CASE WHEN scenario IN ('BLUR_REGION', 'CUT') THEN 0 ELSE m_vision END AS nv, CASE WHEN scenario IN ('BLUR_REGION', 'CUT') THEN 0 ELSE m_ocr END AS no FROM x),
+z AS (SELECT *, ns > 0 OR nv > 0 OR no > 0 OR m_other > 0 AS survives, 1 - (1 - ns) * (1 - 0.85 * nv) * (1 - 0.8 * no) * (1 - 0.5 * m_other) AS whole,
+  (ns > 0)::INT + (nv > 0)::INT + (no > 0)::INT + (m_other > 0)::INT AS n, greatest(ns, nv, no, m_other)
+  - least(CASE WHEN ns > 0 THEN ns ELSE 9 END, CASE WHEN nv > 0 THEN nv ELSE 9 END, CASE WHEN no > 0 THEN no ELSE 9 END, CASE WHEN m_other > 0 THEN m_other ELSE 9 END) AS gap FROM y),
+r AS (SELECT *, CASE WHEN NOT survives THEN NULL WHEN n >= 2 AND gap >= 0.5 THEN 'CONTRADICTION' WHEN ns = 0 AND no = 0 AND m_other = 0 AND whole < 0.70 THEN 'DEMOTE'
+  WHEN n >= 2 AND whole >= 0.90 AND severity IN ('MEDIUM', 'HIGH') THEN 'PROMOTE' END AS rule FROM z)
+SELECT scenario, ord, survives, rule, CASE WHEN survives THEN floor((CASE WHEN rule = 'CONTRADICTION' THEN whole * 0.75 ELSE whole END) * 1000000 + 0.5)::BIGINT END AS fused,
+  CASE WHEN survives THEN CASE WHEN rule = 'DEMOTE' THEN 'LOW' WHEN rule = 'PROMOTE' THEN CASE severity WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END ELSE severity END END AS severity
+FROM r""")
 def whatif_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings(spark, sf_dir)
     edits = rm.lower(f).select(F.col("op").alias("scenario"), "entity", "op", F.col("s").alias("rs"), F.col("e").alias("re"))
-    return rm.apply_edits(f, edits).select("scenario", "ord", "survives", ev.quantised(F.col("fused")).alias("fused"))
+    return rm.apply_edits(f, edits).select("scenario", "ord", "survives", "rule", ev.quantised(F.col("fused")).alias("fused"), "severity")
 
 
 @query(f"WITH {FINDINGS_SQL}, {_OPS} SELECT op AS scenario, floor(sum(CASE op WHEN 'BLEEP' THEN 0.15 WHEN 'MUTE' THEN 0.25 WHEN 'REPLACE_AUDIO' THEN 0.10 WHEN 'BLUR_REGION' THEN 0.20 ELSE 0.80 END) * 1000 + 0.5)::BIGINT AS impact FROM p GROUP BY op")

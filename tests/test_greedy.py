@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,9 +305,9 @@ def test_simulation_equals_whole_scores(spark):
     risk = lambda sure: ev.finding_risk(F.col("severity"), F.col("confidence"), F.col("start_ms"), F.col("end_ms"), sure)
     ready = ev.readiness({d: F.col(d) for d in ev.DIMENSION_WEIGHT})["overall"].alias("overall")
     base = {r.entity: r.overall for r in scoring.sub_scores(f.withColumn("risk", risk(F.lit(None).cast("double"))), "entity").select("entity", ready).collect()}
-    touched = remediation.apply_edits(f, edit_list).select("scenario", "entity", "ord", "survives", "fused")
+    touched = remediation.apply_edits(f, edit_list).select("scenario", "entity", "ord", "survives", "fused", F.col("severity").alias("after"))
     every = edit_list.select("scenario", "entity").distinct().join(f, "entity").join(touched, ["scenario", "entity", "ord"], "left").filter("survives is null or survives")
-    after = {(r.scenario, r.entity): r.overall for r in scoring.sub_scores(every.withColumn("risk", risk(F.col("fused"))), "scenario", "entity").select("scenario", "entity", ready).collect()}
+    after = {(r.scenario, r.entity): r.overall for r in scoring.sub_scores(every.withColumn("severity", F.coalesce("after", "severity")).withColumn("risk", risk(F.col("fused"))), "scenario", "entity").select("scenario", "entity", ready).collect()}
     assert len(out) == edit_list.select("scenario", "entity").distinct().count() > 10
     for (scenario, entity), (overall, delta) in out.items():
         assert overall == after.get((scenario, entity), 100) and delta == overall - base[entity]
@@ -365,3 +366,87 @@ def test_pictures_and_claims(spark):
 def test_new_queries_are_catalogued():
     for name in ("speech_confidence", "iban_casualty_scan", "frame_budget", "caption_coverage", "pair_summary", "clause_drift", "edit_validation", "event_summary", "merged_disclosures", "upheld_members", "metadata_lint"):
         assert name in catalog.QUERIES and name in catalog.ORACLE_SQL, name
+
+
+def test_scans_hold_one_group_and_one_batch():
+    """Whatever the number of rows in a partition."""
+    from evidra.operators.scans import groups
+
+    held = []
+
+    def batches(n):
+        for k in range(n):
+            yield pd.DataFrame({"k": [(k * 100 + i) // 7 for i in range(100)], "i": range(100)})
+
+    for n in (20, 200):
+        sizes = [sum(map(len, part)) for part in groups(batches(n), ["k"])]
+        assert sum(sizes) == 100 * n
+        held.append(max(sizes))
+    assert held[0] <= 107 and held[1] <= 107
+
+
+def test_scans_in_one_partition(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 500 = 0 THEN NULL ELSE id % 300 END AS entity", "id AS ord", "id * 37 % 101 AS ts_ms")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("1", was):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(greedy.accepted_after_gap(rows, 20).collect(), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1] and found[0]
+
+
+def corroborated(modalities, severity):
+    """The rules in plain Python."""
+    weight = {"speech": 1.0, "music": 0.95, "vision": 0.85, "ocr": 0.8, "audio": 0.6}
+    left = {k: v for k, v in modalities.items() if v > 0}
+    fused = 1 - float(np.prod([1 - weight[k] * v for k, v in left.items()]))
+    if len(left) >= 2 and max(left.values()) - min(left.values()) >= 0.5:
+        return "CONTRADICTION", fused * 0.75, severity
+    if set(left) <= {"vision"} and fused < 0.7:
+        return "DEMOTE", fused, "LOW"
+    if len(left) >= 2 and fused >= 0.9 and severity in ("MEDIUM", "HIGH"):
+        return "PROMOTE", fused, {"MEDIUM": "HIGH", "HIGH": "CRITICAL"}[severity]
+    return None, fused, severity
+
+
+def test_weakened_findings_are_corroborated_again(spark):
+    pick = random.Random(6)
+    rows, edits = [], []
+    for k in range(250):
+        s = pick.randrange(0, 50_000)
+        rows.append((k % 3, k, s, s + pick.randrange(0, 3_000), "C", "Language", pick.choice(["LOW", "MEDIUM", "HIGH", "CRITICAL"]), 0.9, {m: pick.choice([0.0, 0.1, 0.5, 0.8, 0.95]) for m in ("speech", "music", "vision", "ocr", "audio")}))
+    for k in range(60):
+        s = pick.randrange(0, 50_000)
+        edits.append((f"s{k % 4}", k % 3, pick.choice([*remediation.REMOVES, "UNKNOWN"]), s, s + 900, k % 20 == 0))
+    f = spark.createDataFrame(rows, "entity long, ord long, start_ms long, end_ms long, clause string, category string, severity string, confidence double, modalities map<string,double>")
+    e = spark.createDataFrame(edits, "scenario string, entity long, op string, rs long, re long, whole_file boolean")
+    wanted = {}
+    for scenario in {x[0] for x in edits}:
+        for entity, ord_, s, t, _, _, severity, _, modalities in rows:
+            lost = set()
+            for _, who, op, rs, re_, whole in (x for x in edits if x[0] == scenario):
+                if who == entity and (whole or (rs - 250 <= t and re_ + 250 >= s)):
+                    lost |= set(remediation.REMOVES.get(op, ()))
+            if lost:
+                left = {k: v for k, v in modalities.items() if k not in lost and v > 0}
+                rule, fused, grave = corroborated(left, severity) if left else (None, None, None)
+                wanted[scenario, ord_] = (bool(left), rule, None if fused is None else round(fused, 9), grave)
+    found = {(r.scenario, r.ord): (r.survives, r.rule, None if r.fused is None else round(r.fused, 9), r.severity) for r in remediation.apply_edits(f, e).collect()}
+    assert found == wanted
+    assert {r[1] for r in wanted.values()} == {None, "CONTRADICTION", "DEMOTE", "PROMOTE"}
+
+
+def test_of_equal_values_fewer_edits(spark):
+    rows = [("many", 1, 80, 10, 0.2, 50.0, 3), ("few", 1, 80, 10, 0.25, 50.0, 1), ("worse", 1, 75, 5, 0.1, 0.0, 1), ("dear", 1, 99, 30, 0.9, 60.0, 1)]
+    found = detectors.best_within(spark.createDataFrame(rows, "scenario string, entity long, overall long, delta long, impact double, value double, edits long"))
+    assert [r.scenario for r in found.collect()] == ["few"]
+
+
+def test_unlisted_categories_fit_themselves(spark):
+    rows = [(1, 0, 0, 100, "A", "Novel"), (1, 1, 50, 150, "B", "Novel"), (1, 2, 60, 160, "C", "Other"), (1, 3, 70, 170, "A", "Other")]
+    f = spark.createDataFrame(rows, "entity long, ord long, start_ms long, end_ms long, clause string, category string")
+    found = {r.ord: r.incident for r in greedy.incidents(f, 0).collect()}
+    assert found[0] == found[1] and found[2] == found[3] != found[0]
