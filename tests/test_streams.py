@@ -87,3 +87,68 @@ def test_rows_past_the_watermark_are_left_out(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     found, _ = run(spark, df, f"{tmp_path}/in", lambda s: stateful.incidents(s, LATE), "late", tmp_path)
     assert sorted((r.ord, r["first"]) for r in found)[:2] == [(1, 1), (2, 2)] and 4 not in {r.ord for r in found}
+
+
+def log_of(spark, tmp_path, n=600, parts=6):
+    from evidra.streaming.event_log import EventLog
+
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_millis(F.col("id") * 977 % 10_007 * 1000).alias("ts"), (F.col("id") % 13).alias("user_id"))
+    write_in_parts(df, F.col("event_id") * 7919 % 601, f"{tmp_path}/in", parts)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    return df, stream, EventLog(spark, f"file://{tmp_path}/log", ["ts", "event_id"])
+
+
+def test_log_over_restarts(spark, tmp_path):
+    """A stream that dies before a batch's commit, and one that dies after it, lose no event and double none."""
+    df, stream, log = log_of(spark, tmp_path)
+    deaths, inner = {2: "before", 4: "after"}, log.commit
+
+    def commit(batch, entry):
+        when = deaths.pop(batch, None)
+        if when != "before":
+            inner(batch, entry)
+        if when:
+            raise RuntimeError(f"killed {when} the commit")
+
+    log.commit = commit
+    for when, known in (("before", 2), ("after", 5)):
+        query = log.follow(stream, f"{tmp_path}/cp", availableNow=True)
+        with pytest.raises(Exception, match=f"killed {when}"):
+            query.awaitTermination()
+        assert len(log.entries()) == known and log.replay().count() == 100 * known
+    log.follow(stream, f"{tmp_path}/cp", availableNow=True).awaitTermination()
+    assert sorted(log.entries()) == [0, 1, 2, 3, 4, 5]
+    out = log.replay()
+    assert out.count() == 600 == out.select("event_id").distinct().count()
+    assert out.select("batch", "place").distinct().count() == 600
+    assert log.sweep() == 1 and log.replay().count() == 600
+
+
+def test_log_commits_once(spark, tmp_path):
+    df, stream, log = log_of(spark, tmp_path, 50, 1)
+    log.append(df, 0)
+    log.append(df, 0)  # the batch again, after its commit
+    assert not log.commit(0, log.write_attempt(df, 0))
+    assert log.replay().count() == 50
+
+
+def test_log_replays_from_any_cursor(spark, tmp_path):
+    from evidra.streaming.event_log import Cursor
+
+    df, stream, log = log_of(spark, tmp_path, 90, 3)
+    with pytest.raises(LookupError):
+        log.replay()
+    assert log.last() == Cursor()
+    log.append(df.filter("event_id < 40"), 0)
+    log.append(df.limit(0), 1)
+    log.append(df.filter("event_id >= 40"), 2)
+    every = [(r.batch, r.place, r.event_id) for r in log.replay().orderBy("batch", "place").collect()]
+    assert len(every) == 90 and [r[2] for r in every] == [r.event_id for b in ("event_id < 40", "event_id >= 40") for r in df.filter(b).orderBy("ts", "event_id").collect()]
+    for k in (0, 1, 39, 40, 88):
+        after = Cursor.parse(str(Cursor(*every[k][:2])))
+        assert [(r.batch, r.place, r.event_id) for r in log.replay(after).orderBy("batch", "place").collect()] == every[k + 1 :]
+        assert log.replay(upto=after).count() == k + 1
+    assert log.last() == every[-1][:2] and log.replay(log.last()).count() == 0
+    files = log.replay(Cursor(0, every[39][1])).inputFiles()
+    assert log.replay(Cursor(2, -1)).inputFiles() and len(files) >= 1
+    assert all("/000000000002-" in f for f in log.replay(Cursor(1, 0)).inputFiles())
