@@ -74,11 +74,23 @@ def speech_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("entity", "turn", "pos", "form", "quoted", "negated", "warned", tx.confidence(source, F.col("quoted"), F.col("negated")).alias("confidence"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '\\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\\b')) AS ibans,
-  len(regexp_extract_all(text, '(?i)\\b([0-9]+\\s+(people\\s+)?(were\\s+)?(dead|died|injured|killed|wounded)|death toll|casualty|casualties)\\b')) AS casualties FROM documents""")
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^a-z0-9_\\s]') AS v FROM documents)),
+n AS (SELECT *, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b, lead(w, 3) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, CASE WHEN a = 'people' AND b = 'were' THEN c WHEN a = 'people' OR a = 'were' THEN b ELSE a END AS fate FROM n),
+h AS (SELECT doc_id, count(*) AS casualties FROM f WHERE (regexp_full_match(w, '[0-9]+') AND fate IN {tx.FATES}) OR (w = 'death' AND a = 'toll') OR w IN {tx.HARM_WORDS} GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}\\b')) AS iban FROM documents),
+r(doc_id, iban, moved, i, rest) AS (SELECT doc_id, iban, substr(iban, 5) || substr(iban, 1, 4), 1, 0 FROM (SELECT DISTINCT * FROM k) UNION ALL
+  SELECT doc_id, iban, moved, i + 1, (CASE WHEN substr(moved, i, 1) BETWEEN '0' AND '9' THEN rest * 10 + substr(moved, i, 1)::INTEGER ELSE rest * 100 + ascii(substr(moved, i, 1)) - 55 END) % 97 FROM r WHERE i <= length(moved)),
+v AS (SELECT doc_id, iban, rest = 1 AS valid FROM r WHERE i > length(moved)),
+b AS (SELECT doc_id, count(*) AS ibans, count(*) FILTER (WHERE valid) AS valid_ibans FROM k JOIN v USING (doc_id, iban) GROUP BY doc_id)
+SELECT doc_id, coalesce(ibans, 0)::BIGINT AS ibans, coalesce(valid_ibans, 0)::BIGINT AS valid_ibans, coalesce(casualties, 0)::BIGINT AS casualties
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def iban_casualty_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", count(tx.IBAN).alias("ibans"), count(tx.CASUALTY).alias("casualties"))
+    """Account numbers, those whose check digits fit, and reports of harm in each document."""
+    accounts = F.coalesce(F.regexp_extract_all("text", F.lit(tx.IBAN), F.lit(0)), F.array().cast("array<string>"))
+    reports = F.coalesce(F.size(tx.casualty_reports(F.coalesce("text", F.lit("")))), F.lit(0))
+    counts = F.size(accounts), F.size(F.filter(accounts, tx.iban_valid)), reports
+    return table(spark, sf_dir, "documents").select("doc_id", *(n.cast("long").alias(c) for n, c in zip(counts, ("ibans", "valid_ibans", "casualties"), strict=True)))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size * 20000 - 100000 <= 0 THEN 90 ELSE greatest(90, least(400, floor((p_size * 20000 - 100000) / 1000 / 2.5))) END::INTEGER AS frames FROM part")
