@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.session import materialise
+from evidra.sources.promotion import promote
 
 
 def write_snapshot(corpus: DataFrame, path: str, version: str) -> None:
@@ -23,11 +23,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def publish(documents: DataFrame, column: str, path: str, secrets: list[str]) -> None:
-    """Write documents once none of them holds a secret: they are staged, searched, and only then written."""
-    staged = materialise(documents, "staged")
-    leak = F.lit(False)
-    for s in secrets:
-        leak = leak | F.contains(column, F.lit(s))
-    if staged.filter(leak).head(1):
-        raise ValueError("a document holds a secret; nothing was published")
-    staged.write.mode("overwrite").json(path)
+    """Write documents once none of them holds a secret, in any column; what was there before stays until all is written."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    promote({name: documents.filter(F.col(column).isNotNull())}, parent if "://" in parent else f"file://{parent}", secrets)
