@@ -43,8 +43,10 @@ from evidra.session import materialise, shared_path
 
 #: Bytes of text that are aligned together, keys that a partition counts before it merges them, and rows of a batch that it returns.
 SLICE, MERGE, ROWS = 2 << 20, 4_000_000, 200_000
-#: Chunks that a worker remembers for each tokenizer.
+#: Chunks that a worker remembers, with both tokenizers' ids.
 REMEMBERED = 300_000
+#: The bit that tells B's ids from A's in what is remembered of a chunk.
+OF_B = np.uint32(1 << 31)
 SPACE_SIGN = "▁"
 
 
@@ -58,9 +60,9 @@ class PieceEncoder:
             raise ValueError("a piece goes on after a space, so texts can't be cut before spaces")
         self.space = self.model.piece_to_id(SPACE_SIGN)
         self.tokens = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(k) else p.replace(SPACE_SIGN, " ").encode() for k, p in enumerate(pieces)]
-        self.chunks = ChunkEncoder(self._encode, REMEMBERED)
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks in order, and the number of each chunk's ids."""
         # The model makes nothing of an empty text, which a space alone is without the one that it adds.
         found = [x or [self.space] * len(c) for x, c in zip(self.model.encode([c[1:] for c in chunks], num_threads=1), chunks, strict=True)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -90,16 +92,28 @@ class Aligned(NamedTuple):
 
 class Aligner:
     def __init__(self, a: bytes, b: bytes):
-        self.a, self.b = LibraryEncoder(a, plain=True, remembered=REMEMBERED), PieceEncoder(b)
+        self.a, self.b = LibraryEncoder(a, plain=True), PieceEncoder(b)
+        self.chunks = ChunkEncoder(self._encode, REMEMBERED)
         self.a_bytes, self.b_bytes = Table(self.a.tokens), Table(self.b.tokens)
         # Digits with room for the sign after them.
         self.digits = Table([b"%d," % k for k in range(max(len(self.a.tokens), len(self.b.tokens)))])
 
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk A's ids and then B's."""
+        (a, n_a), (b, n_b) = self.a.encode_chunks(chunks), self.b.encode_chunks(chunks)
+        flat = np.empty(len(a) + len(b), np.uint32)
+        of_b = np.repeat(np.tile([False, True], len(chunks)), np.stack([n_a, n_b], axis=1).ravel())
+        flat[~of_b], flat[of_b] = a, b | OF_B
+        return flat, n_a + n_b
+
     def __call__(self, texts: pa.Array) -> Aligned:
         full = pc.fill_null(texts, "")
         spaced = pc.if_else(pc.equal(full, ""), "", pc.binary_join_element_wise(pa.scalar(" "), full, ""))
-        a, a_at = self.a.encode(spaced)
-        b, b_at = self.b.chunks(spaced)
+        both, at = self.chunks(spaced)
+        of_b = both & OF_B != 0
+        a, b = both[~of_b], both[of_b] & ~OF_B
+        b_at = np.concatenate([[0], np.cumsum(of_b)])[at]
+        a_at = at - b_at
         same = self._same(spaced, b, b_at)
         a, a_at = _only(a, a_at, same)
         b, b_at = _only(b, b_at, same)

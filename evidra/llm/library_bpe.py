@@ -65,7 +65,7 @@ class LibraryEncoder:
         self.tokens = token_table(self.tokenizer)
         self.size = len(self.tokens)
         self.token_bytes = np.fromiter(map(len, self.tokens), np.int64, self.size)
-        self.chunks = ChunkEncoder(self._encode, remembered)
+        self.chunks = ChunkEncoder(self.encode_chunks, remembered)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's ids."""
@@ -78,7 +78,8 @@ class LibraryEncoder:
                     ids[-1][np.diff(np.array(x.word_ids, np.int64), append=-1) != 0] |= STOP
         return np.concatenate(ids), np.fromiter(map(len, ids[1:]), np.int64, len(ids) - 1)
 
-    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks in order, and the number of each chunk's ids."""
         whole = np.fromiter(map(joinable, chunks), bool, len(chunks))
         sizes = np.zeros(len(chunks), np.int64)
         together = list(itertools.compress(chunks, whole))
