@@ -78,6 +78,30 @@ def merged_disclosures(hits: DataFrame, keys: list[str], gap_ms: int = 2_000) ->
     return merge_spans(hits, [*keys, "kind", "redacted"], gap_ms, ["start_ms", "end_ms"])
 
 
+# Clause, title, severity and confidence of what is legible on screen; links are evidence and no finding.
+LEGIBLE = {
+    "credential": ("DISC-01", "Credential visible on screen", "CRITICAL", 0.95),
+    "card": ("DISC-02", "Payment card visible on screen", "CRITICAL", 0.95),
+    "email": ("DISC-02", "Email address visible on screen", "MEDIUM", 0.85),
+    "phone": ("DISC-02", "Phone number visible on screen", "MEDIUM", 0.85),
+}
+SEEN_AS_TEXT = 0.95
+
+
+def disclosure_findings(disclosures: DataFrame, *keys: str) -> DataFrame:
+    """Findings (keys, clause, category, title, description, span, severity, confidence, modalities, suggested_fix) of disclosures.
+
+    ``disclosures(keys, kind, label, redacted, start_ms, end_ms)``, each as long as it stays in sight; kinds that aren't
+    reportable, such as links, give none.
+    """
+    reportable = disclosures.filter(F.col("kind").isin(*LEGIBLE))
+    part = lambda i: ev.lookup({k: v[i] for k, v in LEGIBLE.items()}, F.col("kind"))
+    return reportable.select(
+        *keys, part(0).alias("clause"), F.lit("Metadata").alias("category"), part(1).alias("title"), F.concat("label", F.lit(" legible on screen ("), "redacted", F.lit(").")).alias("description"),
+        "start_ms", "end_ms", part(2).alias("severity"), part(3).alias("confidence"), F.create_map(F.lit("ocr"), F.lit(SEEN_AS_TEXT)).alias("modalities"), F.lit("BLUR_REGION").alias("suggested_fix"),
+    )
+
+
 def scenarios(findings: DataFrame) -> DataFrame:
     """Edits (scenario, entity, op, rs, re): each finding's own fix, all of them, and all as mutes or blurs."""
     own = remediation.lower(findings).select("entity", "id", "op", F.col("s").alias("rs"), F.col("e").alias("re"))

@@ -25,10 +25,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, tokens) -> DataFrame:
 def ranked(scores: DataFrame, limit: int, floor: float | None = None) -> DataFrame:
     """The ``limit`` best of each query with ``rank`` from 0, ties by id; with ``floor`` only scores above that share of the best."""
     w = Window.partitionBy("qid")
-    out = scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id")) - 1)
+    # A bare limit on the row number is applied in each task before the rows meet; the best of a query is among the kept.
+    out = scores.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= limit)
     if floor is not None:
         out = out.withColumn("_best", F.max("score").over(w)).filter((F.col("_best") > 0) & (F.col("score") > F.col("_best") * floor)).drop("_best")
-    return out.filter(F.col("rank") < limit)
+    return out.withColumn("rank", F.col("rank") - 1)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -36,18 +36,55 @@ def in_context(tokens: DataFrame, keys: list[str], cues: list[str], before: int,
     return tokens.select(*keys, "pos", "form", flags[0].alias("cue_before"), flags[1].alias("cue_after"), last.alias("last_cue"))
 
 
-def event_context(tokens: DataFrame, keys: list[str], verbs: list[str], negations: list[str], cues: list[str], reach: int = 14, negated: int = 4, span_ms: int = 20_000) -> DataFrame:
-    """Each token with whether it is quoted, negated, or near a warning cue.
-
-    Quoted: the last reporting verb within ``reach`` words before began at most ``span_ms`` earlier. Negated: one of the
-    last ``negated`` words negates. Near a cue: one stands within ``reach`` words on either side.
+def first_phrase(phrases: list[str], *texts: Column) -> Column:
+    """The first of the phrases that stands in one of the texts, whole words in a row; null if none does."""
+    inside = lambda t, p: F.contains(F.concat(F.lit(" "), t, F.lit(" ")), F.lit(f" {p} "))
+    found = [F.coalesce(*(F.when(inside(t, p), F.lit(p)) for p in phrases), F.lit(None).cast("string")) for t in texts]
+    return F.coalesce(*found)
+
+
+def event_context(
+    tokens: DataFrame, keys: list[str], verbs: list[str], negations: list[str], cues: list[str], reach: int = 14, negated: int = 4, span_ms: int = 20_000,
+    markers: list[str] | None = None, condemnations: list[str] | None = None, marked: int = 8,
+) -> DataFrame:
+    """Each token with whether it is quoted, negated, condemned, or near a warning cue, and by what.
+
+    Quoted: the last reporting verb within ``reach`` words before began at most ``span_ms`` earlier, or one of the
+    ``markers``, phrases of any length, stands within ``marked`` words on either side: before it opens a quotation, after
+    it closes one. Negated: one of the last ``negated`` words negates. Condemned: one of the phrases ``condemnations``
+    stands in the ``reach`` words on both sides, which are read as one. Near a cue: one stands in these.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     verb = F.max(F.when(F.col("form").isin(*verbs), F.struct("pos", "start_ms", "form"))).over(w.rowsBetween(-reach, -1))
     said = verb.isNotNull() & (F.col("start_ms") - verb["start_ms"] <= span_ms)
     any_ = lambda words, *rows: F.coalesce(F.max(F.col("form").isin(*words)).over(w.rowsBetween(*rows)), F.lit(False))
+    text = lambda *rows: F.array_join(F.collect_list("form").over(w.rowsBetween(*rows)), " ")
     near = any_(cues, -reach, -1) | any_(cues, 1, reach)
-    return tokens.select("*", F.coalesce(said, F.lit(False)).alias("quoted"), F.when(said, verb["form"]).alias("quoted_by"), any_(negations, -negated, -1).alias("negated"), near.alias("warned"))
+    none = F.lit(None).cast("string")
+    marker = first_phrase(markers, text(-marked, -1), text(1, marked)) if markers else none
+    around = F.concat_ws(" ", F.nullif(text(-reach, -1), F.lit("")), F.nullif(text(1, reach), F.lit("")))
+    condemned = first_phrase(condemnations, around) if condemnations else none
+    return tokens.select(
+        "*", (F.coalesce(said, F.lit(False)) | marker.isNotNull()).alias("quoted"), F.coalesce(F.when(said, verb["form"]), marker).alias("quoted_by"),
+        any_(negations, -negated, -1).alias("negated"), near.alias("warned"), condemned.isNotNull().alias("condemned"), condemned.alias("condemned_by"),
+    )
+
+
+def sentence_around(tokens: DataFrame, keys: list[str], most: int = 40) -> DataFrame:
+    """Each token with the sentence that it stands in: from after the last word that ends one to the next that does.
+
+    It reaches no further than one word over ``most`` on either side. ``tokens(keys, pos, w)``, positions without gaps.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    ends = F.col("w").rlike("[.?!]$")
+    before, after = w.rowsBetween(-most - 1, -1), w.rowsBetween(0, most)
+    first = F.coalesce(F.max(F.when(ends, F.col("pos"))).over(before) + 1, F.min("pos").over(w.rowsBetween(-most - 1, 0)))
+    last = F.coalesce(F.min(F.when(ends, F.col("pos"))).over(after), F.max("pos").over(w.rowsBetween(0, most + 1)))
+    wide = F.collect_list("w").over(w.rowsBetween(-most - 1, most + 1))
+    begin = F.min("pos").over(w.rowsBetween(-most - 1, 0))
+    found = tokens.select("*", first.alias("_a"), last.alias("_b"), wide.alias("_wide"), begin.alias("_begin"))
+    text = F.array_join(F.slice("_wide", (F.col("_a") - F.col("_begin") + 1).cast("int"), (F.col("_b") - F.col("_a") + 1).cast("int")), " ")
+    return found.withColumn("sentence", text).drop("_a", "_b", "_wide", "_begin")
 
 
 def _edits_allowed(n, share: float, least: int):

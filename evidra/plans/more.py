@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.operators import certificate as ce
 from evidra.operators import comparison as co
+from evidra.operators import compiler as cm
 from evidra.operators import detectors as de
 from evidra.operators import emit, greedy
+from evidra.operators import pictures as pi
 from evidra.operators import remediation as rm
 from evidra.plans.registry import registry
 from evidra.sources.logical import DURATION_MS, FINDINGS_SQL, OBSERVATIONS_SQL, findings, observations, table
@@ -104,3 +107,88 @@ SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY
 def session_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return st.sessions(_events(spark, sf_dir), "2 hours", "1 hour").select("user_id", ntz("first"), ntz("last"), "n")
+
+
+@query(f"""WITH {FINDINGS_SQL}, c AS (SELECT entity, '"' || clause || '"' AS clause, CASE WHEN ord % 3 = 0 THEN 'RESOLVED' WHEN ord % 7 = 0 THEN 'NEW' ELSE 'PERSISTS' END AS status FROM f),
+m AS (SELECT entity, coalesce(string_agg(clause, ',' ORDER BY clause) FILTER (status = 'NEW'), '') AS new, coalesce(string_agg(clause, ',' ORDER BY clause) FILTER (status = 'PERSISTS'), '') AS persists,
+  coalesce(string_agg(clause, ',' ORDER BY clause) FILTER (status = 'RESOLVED'), '') AS resolved FROM c GROUP BY entity),
+p AS (SELECT entity, string_agg('{{"end_ms":' || end_ms || ',"op":"MUTE","start_ms":' || start_ms || '}}', ',' ORDER BY start_ms, end_ms) AS ops FROM f WHERE ord % 10 = 0 GROUP BY entity),
+r AS (SELECT entity, count(*) AS original, count(*) FILTER (k < 40) AS predicted, count(*) FILTER (k >= 40) AS actual, entity % 4 <> 0 AS ok, entity % 5 <> 0 AS structural FROM f GROUP BY entity),
+b AS (SELECT entity, '{{"coverage":{{"byAgent":[{{"agent":"speech","coverage":' || ((entity % 4 + 1) / 8.0)::DOUBLE || '}}],"gated":["speech"]}},"findings":{{"new":[' || new || '],"persists":[' || persists || '],"resolved":[' || resolved
+  || ']}},"issuedAt":"2024-01-01","limitations":[' || CASE WHEN ok THEN '' ELSE '"The remediated file was not analysed again: no score or removal was measured.",' END
+  || CASE WHEN structural THEN '' ELSE '"The remediated file''s structure was not verified.",' END || '"Too little was seen to tell absence: speech."],"lineage":{{"run":"run ' || entity || '"}},"operations":[' || coalesce(ops, '')
+  || '],"policyVersion":"2026-08","scores":{{"actual":' || CASE WHEN ok THEN actual::VARCHAR ELSE '"NOT MEASURED"' END || ',"delta":' || CASE WHEN ok THEN (actual - original)::VARCHAR ELSE '"NOT MEASURED"' END
+  || ',"original":' || original || ',"predicted":' || predicted || '}},"verification":{{"reanalysis":' || ok || ',"structural":' || structural || '}},"version":"1.0"}}' AS body FROM r JOIN m USING (entity) LEFT JOIN p USING (entity))
+SELECT entity, 'sha256:' || sha256(body) AS digest, true AS intact FROM b""")
+def certificate_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificates of a second run that lost each third finding and brought each seventh, with their digests."""
+    f, e = findings(spark, sf_dir), F.col("entity")
+    status = F.when(F.col("ord") % 3 == 0, "RESOLVED").when(F.col("ord") % 7 == 0, "NEW").otherwise("PERSISTS")
+    scores = [F.count("*").alias("original"), F.count_if(F.col("k") < 40).alias("predicted"), F.count_if(F.col("k") >= 40).alias("actual")]
+    known = [F.lit("2024-01-01").alias("issued_at"), F.lit("2026-08").alias("policy_version"), F.struct(F.concat(F.lit("run "), e.cast("string")).alias("run")).alias("lineage")]
+    runs = f.groupBy("entity").agg(*scores).select("*", *known, (e % 4 != 0).alias("reanalysis_ok"), (e % 5 != 0).alias("structural_ok"))
+    seen = runs.select("entity", F.lit("speech").alias("agent"), ((e % 4 + 1) / 8).alias("coverage"))
+    ops = f.filter(F.col("ord") % 10 == 0).select("entity", F.lit("MUTE").alias("op"), "start_ms", "end_ms")
+    sealed = ce.sealed(ce.bodies(runs, f.select("entity", "clause", status.alias("status")), seen, ops), F.concat(F.lit("CERT-"), e.cast("string")))
+    return sealed.select("entity", F.get_json_object("body", "$.certificateHash").alias("digest"), ce.intact(F.col("body")).alias("intact"))
+
+
+@query(f"""WITH {FINDINGS_SQL}, p AS (SELECT entity, ord AS id, CASE k % 6 WHEN 0 THEN 'BLEEP' WHEN 1 THEN 'CUT' WHEN 2 THEN 'MUTE' WHEN 3 THEN 'BLUR_REGION' WHEN 4 THEN 'REPLACE_AUDIO' END AS op, start_ms AS s, end_ms AS e FROM f WHERE k % 6 < 5),
+a AS (SELECT entity, id, op, CASE WHEN op IN ('MUTE', 'BLEEP', 'REPLACE_AUDIO') THEN greatest(s - 60, 0) ELSE s END AS s, CASE WHEN op IN ('MUTE', 'BLEEP', 'REPLACE_AUDIO') THEN least(e + 80, {DURATION_MS}) ELSE e END AS e FROM p),
+c AS (SELECT *, coalesce(s - max(e) OVER (PARTITION BY entity, op ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 400, true) AS fresh FROM a),
+g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY entity, op ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS session FROM c),
+j AS (SELECT entity, op, min(id) AS id, min(s) AS s, max(e) AS e, count(*) AS findings FROM g GROUP BY entity, op, session),
+d AS (SELECT * FROM j WHERE op = 'CUT' OR NOT EXISTS (SELECT 1 FROM j x WHERE x.entity = j.entity AND x.op = 'CUT' AND x.s <= j.s AND x.e >= j.e)),
+m AS (SELECT * FROM d WHERE op <> 'MUTE' OR NOT EXISTS (SELECT 1 FROM d x WHERE x.entity = d.entity AND x.op = 'REPLACE_AUDIO' AND x.s <= d.s AND x.e >= d.e)),
+t AS (SELECT *, sum(e - s) OVER (PARTITION BY entity, op) AS total, coalesce(sum(e - s) OVER (PARTITION BY entity, op ORDER BY e - s DESC, s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+b AS (SELECT entity, id, CASE WHEN op = 'CUT' AND total - before > {DURATION_MS} * 0.08 THEN 'MUTE' ELSE op END AS op, s, e, findings FROM t)
+SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY s, e, id)::INTEGER AS n, id, op, s, e, findings,
+  CASE WHEN e <= s THEN 'not positive' WHEN e - s < 120 THEN 'too short' WHEN s < 0 OR e > {DURATION_MS} THEN 'outside the file' END AS reason FROM b""")
+def compiled_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit list of findings by the fix that each suggests, after all passes."""
+    k = F.col("k") % 6
+    fix = F.when(k == 0, "BLEEP").when(k == 1, "CUT").when(k == 2, "MUTE").when(k == 3, "BLUR_REGION").when(k == 4, "REPLACE_AUDIO").otherwise("NONE")
+    out = cm.compile_edits(findings(spark, sf_dir).withColumn("suggested_fix", fix), DURATION_MS)
+    return out.select("entity", "n", "id", "op", "s", "e", F.size("findings").cast("long").alias("findings"), "reason")
+
+
+_PICTURES = """v AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding AS e FROM embeddings),
+c AS (SELECT clip, count(*) AS frames, count(*) * 400 AS duration_ms FROM v GROUP BY clip),
+i AS (SELECT clip, n, round(list_sum(list_transform(list_zip(e[2:], e[:63]), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) * 1000) AS sharpness, round(list_max(e)::DOUBLE * 1000 - list_min(e)::DOUBLE * 1000) AS colourfulness FROM v),
+d AS (SELECT a.clip, a.n, CASE WHEN a.n % 17 IN (3, 11, 12) THEN 100.0 ELSE 5.0 + a.n % 3 END AS diff FROM v a JOIN c USING (clip) WHERE a.n < c.frames - 1)"""
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, clips and differences of frames: a label's vectors in order as the frames of a clip."""
+    from pyspark.sql import Window
+
+    place = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), place.alias("n"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    steps = F.zip_with(F.slice("e", 2, 63), F.slice("e", 1, 63), lambda a, b: F.abs(a - b))
+    sharp, colour = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x), F.array_max("e") * 1000 - F.array_min("e") * 1000
+    frames = v.select("clip", "n", (F.col("n") * 400).alias("at_ms"), F.round(sharp * 1000).alias("sharpness"), F.round(colour).alias("colourfulness"))
+    clips = v.groupBy("clip").agg(F.count("*").alias("frames"), (F.count("*") * 400).alias("duration_ms"))
+    diff = F.when((F.col("n") % 17).isin(3, 11, 12), 100.0).otherwise(5.0 + F.col("n") % 3)
+    return frames, clips, v.join(clips, "clip").filter(F.col("n") < F.col("frames") - 1).select("clip", "n", diff.alias("diff"))
+
+
+@query(f"""WITH {_PICTURES}, s AS (SELECT clip, t AS start_ms, lead(t) OVER (PARTITION BY clip ORDER BY t) AS end_ms
+  FROM (SELECT clip, n * 400 AS t FROM d WHERE diff = 100 UNION SELECT clip, 0 FROM c UNION SELECT clip, duration_ms FROM c))
+SELECT clip, count(*) AS scenes, floor(sum(end_ms - start_ms) / count(*))::BIGINT AS mean_ms, max(end_ms - start_ms)::BIGINT AS longest_ms, min(end_ms - start_ms)::BIGINT AS shortest_ms FROM s WHERE end_ms IS NOT NULL GROUP BY clip""")
+def scene_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, clips, differences = _pictures(spark, sf_dir)
+    return pi.scene_lengths(pi.scenes(differences, clips))
+
+
+@query(f"""WITH {_PICTURES}, w AS (SELECT *, min(sharpness) OVER o AS s0, max(sharpness) OVER o AS s1, min(colourfulness) OVER o AS c0, max(colourfulness) OVER o AS c1 FROM i WINDOW o AS (PARTITION BY clip)),
+z AS (SELECT clip, n, sharpness, colourfulness, CASE WHEN s1 - s0 > 1e-6 THEN (sharpness - s0) / (s1 - s0) ELSE 0 END * CASE WHEN c1 - c0 > 1e-6 THEN (colourfulness - c0) / (c1 - c0) ELSE 0 END AS score FROM w)
+SELECT clip, arg_max(n, row(colourfulness, -n)) AS most_colourful, arg_max(n, row(sharpness, -n)) AS sharpest, arg_max(n, row(score, -n)) AS best FROM z GROUP BY clip""")
+def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, _, _ = _pictures(spark, sf_dir)
+    return pi.best_frames(frames, "clip")
+
+
+@query()
+def scene_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames, clips, differences = _pictures(spark, sf_dir)
+    return pi.scene_posters(frames, pi.scenes(differences, clips))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
 from evidra.operators import retrieval as re
+from evidra.operators import vector_store as vs
 from evidra.plans.registry import registry
+from evidra.session import shared_path
 from evidra.sources.logical import table
 
 query = registry()
@@ -39,8 +41,8 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     cells = v.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("mean"))
-    scores = mean.join(v.select("vec_id", "embedding"))
-    return re.ranked(scores.select(F.col("label").alias("qid"), F.col("vec_id").alias("id"), F.floor(re.dot(F.col("mean"), F.col("embedding")) * 1000000 + 0.5).alias("score")), 12)
+    asked = mean.select(F.col("label").alias("qid"), F.col("mean").alias("vector"))
+    return vs.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), asked, 12, 1_000_000)
 
 
 _DENSE = f"""m AS (SELECT label, list(x ORDER BY d) AS mean FROM (SELECT label, d, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY ALL) GROUP BY label),
@@ -64,3 +66,23 @@ def weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, clause) - 1 AS place FROM c) WHERE place < 3""")
 def distinct_on_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re.distinct_on(_sparse(spark, sf_dir).withColumn("clause", F.col("id") % 7), "clause", 3)
+
+
+@query(f"""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 25 = 0),
+v AS (SELECT vec_id, label, CASE WHEN vec_id % 10 = 3 THEN list_reverse(embedding) ELSE embedding END AS e FROM embeddings WHERE label IN (2, 3, 5) AND vec_id % 10 <> 7),
+s AS (SELECT qid, 'vector ' || vec_id AS name, floor({_DOT("q", "e")} * 1000000 + 0.5) AS score FROM q JOIN v ON label IN (2, 3, 5))
+SELECT qid, name, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS n FROM s) WHERE n <= 5""")
+def filtered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors among those of some labels, after upserts that replace vectors and move some to another label.
+
+    Ids are hashes of names, so ties, which these tables' rounded scores seldom have, are broken by name for the SQL's sake.
+    """
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("name"), "vec_id", F.col("embedding").alias("vector"), "label")
+    store = vs.VectorStore(spark, shared_path(spark, "vectors"), ["label"])
+    store.upsert(v)
+    changed = v.filter(F.pmod("vec_id", F.lit(10)).isin(3, 7))
+    moved = F.pmod("vec_id", F.lit(10)) == 7
+    store.upsert(changed.withColumn("vector", F.when(moved, F.col("vector")).otherwise(F.reverse("vector"))).withColumn("label", F.when(moved, -1).otherwise(F.col("label"))))
+    asked = v.filter(F.pmod("vec_id", F.lit(25)) == 0).select(F.col("vec_id").alias("qid"), "vector")
+    admitted = store.read().filter(F.col("label").isin(2, 3, 5)).select(F.col("name").alias("id"), "vector")
+    return vs.nearest(admitted, asked, 5, 1_000_000).select("qid", F.col("id").alias("name"), "score")

@@ -59,19 +59,40 @@ def context_window_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VERBS, _NEGATIONS, _CUES = ["that", "que", "dass"], ["not", "no", "in"], ["la", "the"]
+_MARKERS, _CONDEMNATIONS = ["de la", "in", "to be"], ["it of", "der die", "was the"]
+
+
+def _first(phrases: list[str], *texts: str) -> str:
+    """In SQL the first phrase that stands in one of the texts."""
+    return "coalesce(" + ", ".join(f"CASE WHEN contains(' ' || {t} || ' ', ' {p} ') THEN '{p}' END" for t in texts for p in phrases) + ")"
+
+
+def _around(name: str, low: int, high: int) -> str:
+    rows = lambda n: f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+    return f"coalesce(array_to_string(list(form) OVER (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN {rows(low)} AND {rows(high)}), ' '), '') AS {name}"
 
 
 @query(f"""WITH {_FORMS_SQL}, c AS (SELECT *, max(CASE WHEN form IN {tuple(_VERBS)} THEN pos END) OVER b AS verb, coalesce(max((form IN {tuple(_NEGATIONS)})::INT) OVER l = 1, false) AS negated,
-  coalesce(max((form IN {tuple(_CUES)})::INT) OVER b = 1, false) OR coalesce(max((form IN {tuple(_CUES)})::INT) OVER a = 1, false) AS warned FROM n
+  coalesce(max((form IN {tuple(_CUES)})::INT) OVER b = 1, false) OR coalesce(max((form IN {tuple(_CUES)})::INT) OVER a = 1, false) AS warned,
+  {_around("b8", -8, -1)}, {_around("a8", 1, 8)}, {_around("b14", -14, -1)}, {_around("a14", 1, 14)} FROM n
   WINDOW b AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING),
-  l AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-SELECT entity, turn, pos, form, verb IS NOT NULL AND start_ms - (1000 + 400 * verb) <= 2000 AS quoted, negated, warned,
-  CASE WHEN negated OR (verb IS NOT NULL AND start_ms - (1000 + 400 * verb) <= 2000) THEN 0.65 WHEN form = 'of' THEN 0.93 ELSE 0.95 END::DOUBLE AS confidence FROM c WHERE form IN ('of', 'der')""")
+  l AS (PARTITION BY entity, turn ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, verb IS NOT NULL AND start_ms - (1000 + 400 * verb) <= 2000 AS said, {_first(_MARKERS, "b8", "a8")} AS marker, {_first(_CONDEMNATIONS, "(b14 || ' ' || a14)")} AS condemned_by FROM c)
+SELECT entity, turn, pos, form, said OR marker IS NOT NULL AS quoted, negated, warned, condemned_by IS NOT NULL AS condemned, condemned_by,
+  CASE WHEN negated OR said OR marker IS NOT NULL THEN 0.65 WHEN form = 'of' THEN 0.93 ELSE 0.95 END::DOUBLE AS confidence FROM d WHERE form IN ('of', 'der')""")
 def speech_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of two terms; quotations reach two seconds here, so that some verbs are too far off."""
-    c = vo.event_context(_forms(spark, sf_dir), ["entity", "turn"], _VERBS, _NEGATIONS, _CUES, span_ms=2_000).filter(F.col("form").isin("of", "der"))
+    c = vo.event_context(_forms(spark, sf_dir), ["entity", "turn"], _VERBS, _NEGATIONS, _CUES, span_ms=2_000, markers=_MARKERS, condemnations=_CONDEMNATIONS).filter(F.col("form").isin("of", "der"))
     source = F.when(F.col("form") == "of", "phrase").otherwise("lexicon")
-    return c.select("entity", "turn", "pos", "form", "quoted", "negated", "warned", tx.confidence(source, F.col("quoted"), F.col("negated")).alias("confidence"))
+    return c.select("entity", "turn", "pos", "form", "quoted", "negated", "warned", "condemned", "condemned_by", tx.confidence(source, F.col("quoted"), F.col("negated")).alias("confidence"))
+
+
+@query(f"""WITH {WORDS_SQL}, s AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(w, '[.?!]$') THEN pos END) OVER (o ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) + 1, min(pos) OVER (o ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS a,
+  coalesce(min(CASE WHEN regexp_matches(w, '[.?!]$') THEN pos END) OVER (o ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING), max(pos) OVER (o ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)) AS b FROM w WINDOW o AS (PARTITION BY entity, turn ORDER BY pos))
+SELECT s.entity, s.turn, s.pos, string_agg(x.w, ' ' ORDER BY x.pos) AS sentence FROM s JOIN w x ON x.entity = s.entity AND x.turn = s.turn AND x.pos BETWEEN s.a AND s.b WHERE s.pos % 5 = 0 GROUP BY ALL""")
+def sentence_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence around each fifth word, of at most nine words on either side."""
+    return vo.sentence_around(words(spark, sf_dir), ["entity", "turn"], 8).filter(F.col("pos") % 5 == 0).select("entity", "turn", "pos", "sentence")
 
 
 @query(f"""WITH RECURSIVE w AS (SELECT doc_id, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+|[^a-z0-9_\\s]') AS v FROM documents)),
