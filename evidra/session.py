@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,8 +39,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in a folder of the application's own that is deleted as the driver ends."""
+    own = f"{shared_dir(spark)}/evidra-{spark.sparkContext.applicationId}"
+    if own not in OWN:
+        OWN.add(own)
+        atexit.register(_delete, own)
+    path = f"{own}/{label}-{uuid.uuid4().hex}"
+    for made in MADE:
+        made.append(path)
+    return path
+
+
+#: The folders of applications, and the paths that each open ``scratch`` has seen.
+OWN: set[str] = set()
+MADE: list[list[str]] = []
+
+
+def _delete(path: str) -> None:
+    fs, root = FileSystem.from_uri(path)
+    with contextlib.suppress(OSError):
+        if fs.get_file_info(root).type == FileType.Directory:
+            fs.delete_dir(root)
+
+
+@contextlib.contextmanager
+def scratch(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete at its end what was written for intermediate results within it.
+
+    What is appended to the list that it gives stays; everything else must have been written or collected by then::
+
+        with scratch() as kept:
+            found = materialise(near_duplicates(docs), "found")
+            kept.append(found)
+    """
+    made: list[str] = []
+    keep = list(kept)
+    MADE.append(made)
+    try:
+        yield keep
+    finally:
+        # By identity: lists of paths are equal when they are empty.
+        MADE[:] = [m for m in MADE if m is not made]
+        stay = {WRITTEN.get(df) for df in keep}
+        for path in made:
+            if path not in stay:
+                _delete(path)
 
 
 #: Spark's switch to delete a query's shuffle files as it ends; else they stay until the driver collects its garbage.
@@ -70,5 +116,4 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a data frame that ``materialise`` returned, once nothing reads it any more."""
     path = WRITTEN.pop(df, None)
     if path:
-        fs, root = FileSystem.from_uri(path)
-        fs.delete_dir(root)
+        _delete(path)

@@ -239,3 +239,34 @@ def test_lines_and_boxes(spark):
     assert (r.text, r.x, r.y, round(r.w, 6), round(r.h, 6), r.conf) == ("hel lo", 0.1, 0.1, 0.6, 0.2, 0.7)
     box = lambda *v: F.struct(*(F.lit(float(x)).alias(n) for x, n in zip(v, "xywh")))
     assert spark.range(1).select(context.box_iou(box(0, 0, 2, 2), box(1, 0, 2, 2)).alias("x")).first().x == pytest.approx(1 / 3)
+
+
+def test_scratch_deletes_what_it_made(spark):
+    import os
+
+    from pyarrow.fs import FileSystem
+
+    from evidra import session
+
+    at = lambda df: FileSystem.from_uri(session.WRITTEN[df])[1]
+    before = session.materialise(spark.range(3), "before")
+    with session.scratch() as kept:
+        first = session.materialise(spark.range(5), "first")
+        with session.scratch() as inner:
+            second = session.materialise(first.select("id"), "second")
+            inner.append(second)
+            third, path = session.materialise(first, "third"), None
+            path = at(third)
+        assert not os.path.exists(path) and os.path.exists(at(second)) and second.count() == 5
+        kept.append(second)
+        gone = at(first)
+    assert not os.path.exists(gone) and second.count() == 5 and before.count() == 3
+    session.discard(second)
+    session.discard(before)
+    assert not session.MADE
+    with pytest.raises(ZeroDivisionError), session.scratch():
+        bad = session.materialise(spark.range(2), "bad")
+        path = at(bad)
+        raise ZeroDivisionError
+    assert not os.path.exists(path)
+    assert f"/evidra-{spark.sparkContext.applicationId}/" in session.shared_path(spark, "x")
