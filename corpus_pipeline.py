@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidra.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from evidra.llm.queries import RANKS
-from evidra.session import materialise
+from evidra.session import discard, materialise, scratch
 
 #: No SQL for run()'s rows: fingerprints' components, balancing and BPE are not expressible there.
 ORACLE_SQL = None
@@ -59,5 +59,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch() as kept:  # what a stage writes on its way goes once its result is written
+            docs = materialise(stage(spark, before, sf_dir), name)
+            kept.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
