@@ -62,7 +62,20 @@ def clause_drift(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     kind = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise("MODIFIED")
     out = joined.select(key, kind.alias("kind"), F.greatest(F.coalesce(1 - cosine, F.lit(1.0)), F.lit(0.0)).alias("delta"))
     place = F.when(F.col("kind") == "ADDED", 0).when(F.col("kind") == "MODIFIED", 1).otherwise(2)
-    return out.withColumn("n", F.row_number().over(Window.orderBy(place, F.desc("delta"), key)))
+    return numbered(out, "n", place, F.desc("delta"), key)
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Rows with their place in a total order, from 1: sorted by ranges over all tasks, each task numbers its own rows.
+
+    What is added to a task's numbers is the rows of the ranges before it, one sum for each range.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = dealt.withColumn("_range", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    written = materialise(own, "numbered")  # ranges are drawn anew each time a plan runs
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = written.groupBy("_range").agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    return written.join(sizes.select("_range", "_before"), "_range").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_range", "_own", "_before")
 
 
 def routes(start: str) -> dict[str, list[str]]:

@@ -170,3 +170,15 @@ def page_title_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", title.alias("title"), (F.length(title) > 70).alias("too_long"), F.length(F.regexp_replace(title, "[^A-Z]", "")).cast("long").alias("capitals"),
         F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"),
     )
+
+
+@query(f"""WITH {_DURATIONS}, v AS (SELECT entity, turn, i AS idx, i * 25000 AS s, least(i * 25000 + 30000, duration) AS e
+  FROM (SELECT *, unnest(generate_series(0, greatest(ceil((duration - 30000) / 25000), 0)::BIGINT)) AS i FROM d))
+SELECT v.entity, v.turn, idx, s, e, count(*) AS n FROM v JOIN w ON w.entity = v.entity AND w.turn = v.turn AND w.start_ms < v.e AND w.end_ms > v.s GROUP BY ALL""")
+def sliding_windows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function's windows, with the number of words in each."""
+    from evidra.functions.windows import register
+
+    register(spark)
+    words(spark, sf_dir).select("entity", "turn", "start_ms", "end_ms").createOrReplaceTempView("timed_words")
+    return spark.sql("SELECT * FROM sliding_windows(TABLE(timed_words) PARTITION BY (entity, turn) ORDER BY (start_ms), 30000, 5000)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.operators import adjudication as ad
 from evidra.operators import certificate as ce
 from evidra.operators import comparison as co
 from evidra.operators import compiler as cm
@@ -192,3 +193,28 @@ def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scene_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, clips, differences = _pictures(spark, sf_dir)
     return pi.scene_posters(frames, pi.scenes(differences, clips))
+
+
+@query(f"""WITH {FINDINGS_SQL}, w AS (SELECT DISTINCT start_ms // 600000 AS win FROM f WHERE start_ms // 600000 % 5 <> 4),
+c AS (SELECT ord AS charge, start_ms // 600000 AS win, clause, CASE WHEN k % 11 = 0 THEN ' ' ELSE 'said' END AS evidence, start_ms AS s, start_ms + k * 9000 AS e, k FROM f),
+j AS (SELECT c.charge, c.k, c.clause, c.win, greatest(c.s, c.win * 600000) AS s, greatest(least(c.e, c.win * 600000 + 600000), greatest(c.s, c.win * 600000) + 200) AS e,
+  CASE WHEN w.win IS NULL THEN 'no such window' WHEN clause LIKE '%-03' THEN 'clause not shown' WHEN trim(evidence) = '' THEN 'no evidence' END AS reason FROM c LEFT JOIN w USING (win)),
+r AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'not ruled' WHEN k % 9 = 1 THEN 'dismissed' END AS fate FROM j WHERE reason IS NULL),
+u AS (SELECT 'finding' AS stage, charge AS id, NULL::BIGINT AS n, 'upheld' AS reason, clause, s, e, CASE WHEN k % 4 = 2 THEN 'context' END AS defence, CASE WHEN k % 4 = 2 THEN least(k / 50.0, 1.0) ELSE 0.0 END::DOUBLE AS strength FROM r WHERE fate IS NULL),
+x AS (SELECT 'charge' AS stage, charge AS id, NULL::BIGINT AS n, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT 'charge', charge, NULL, fate FROM r WHERE fate IS NOT NULL
+  UNION ALL SELECT 'defence', charge, 1, 'no such charge' FROM j WHERE k % 2 = 0 AND reason IS NOT NULL
+  UNION ALL SELECT 'ruling', charge, i, CASE WHEN reason IS NOT NULL THEN 'no such charge' ELSE 'answered again' END FROM j, (VALUES (1), (2)) t(i) WHERE k % 3 <> 0 AND (i = 2 OR k % 5 = 0) AND (reason IS NOT NULL OR i = 1))
+SELECT stage, id, n, reason, clause, s, e, defence, floor(strength * 1000 + 0.5)::BIGINT AS strength FROM u UNION ALL SELECT stage, id, n, reason, NULL, NULL, NULL, NULL, NULL FROM x""")
+def adjudicated_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charges that were upheld after their defence, and all rows of the answers that were not used, with why."""
+    f, k = findings(spark, sf_dir), F.col("k")
+    win = F.floor(F.col("start_ms") / 600_000)
+    charges = f.select(F.col("ord").alias("charge"), win.alias("window"), "clause", F.when(k % 11 == 0, " ").otherwise("said").alias("evidence"), F.col("start_ms").alias("s"), (F.col("start_ms") + k * 9_000).alias("e"))
+    windows = f.select(win.alias("window")).distinct().filter(F.col("window") % 5 != 4).select("window", (F.col("window") * 600_000).alias("ws"), (F.col("window") * 600_000 + 600_000).alias("we"))
+    allowed = charges.filter(~F.col("clause").endswith("-03")).select("window", "clause").distinct()
+    defences = f.filter(k % 2 == 0).select(F.col("ord").alias("charge"), F.lit(1).alias("n"), F.when(k % 4 == 0, " NULL ").otherwise("context").alias("defence"), (k / 50).alias("strength"))
+    verdict = F.when(k % 9 == 1, "dismiss").otherwise("upheld")
+    rulings = f.filter(k % 3 != 0).select(F.col("ord").alias("charge"), F.explode(F.when(k % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("n"), verdict.alias("verdict"), "severity", "confidence")
+    out = ad.adjudicate(charges, allowed, windows, defences, rulings)
+    upheld = out.findings.select(F.lit("finding").alias("stage"), F.col("charge").alias("id"), F.lit(None).cast("long").alias("n"), F.lit("upheld").alias("reason"), "clause", "s", "e", "defence", F.floor(F.col("strength") * 1000 + 0.5).cast("long").alias("strength"))
+    return upheld.unionByName(out.rejects, allowMissingColumns=True)

@@ -203,3 +203,85 @@ def test_disclosure_findings(spark):
     assert set(out) == {"DISC-01Credential", "DISC-02Payment", "DISC-02Email", "DISC-02Phone"}
     assert out["DISC-01Credential"].severity == "CRITICAL" and out["DISC-02Phone"].confidence == 0.85
     assert out["DISC-02Email"].description == "label legible on screen (abcd****)." and out["DISC-02Email"].modalities == {"ocr": 0.95}
+
+
+def test_every_answer_is_used_or_rejected(spark):
+    from evidra.operators import adjudication
+
+    pick = random.Random(3)
+    charges = [(k, pick.randrange(6), f"C{pick.randrange(4)}", pick.choice(["said so", "", None, "  "] + ["words"] * 6), pick.randrange(-500, 7_000), pick.choice([None, pick.randrange(0, 9_000)])) for k in range(120)]
+    windows = [(w, w * 1_000, w * 1_000 + 1_500) for w in range(5)]
+    allowed = [(w, f"C{c}") for w in range(6) for c in range(3)]
+    defences = [(pick.randrange(140), n, pick.choice(["it is art", "None", " n/a ", None, "context"]), pick.choice([None, -1.0, 0.4, 3.0])) for n in range(90)]
+    rulings = [(pick.randrange(140), n, pick.choice(["UPHELD", "dismissed", "Dis", None, "?"]), pick.choice(["high", "LOW", "odd", None]), pick.choice([None, 0.5, 7.0])) for n in range(130)]
+    out = adjudication.adjudicate(
+        spark.createDataFrame(charges, "charge long, window long, clause string, evidence string, s long, e long"), spark.createDataFrame(allowed, "window long, clause string"),
+        spark.createDataFrame(windows, "window long, ws long, we long"), spark.createDataFrame(defences, "charge long, n long, defence string, strength double"),
+        spark.createDataFrame(rulings, "charge long, n long, verdict string, severity string, confidence double"),
+    )
+    reasons, standing = {}, {}
+    for charge, window, clause, evidence, s, e in charges:
+        if window > 4:
+            reasons["charge", charge, None] = "no such window"
+        elif clause == "C3":
+            reasons["charge", charge, None] = "clause not shown"
+        elif not (evidence or "").strip():
+            reasons["charge", charge, None] = "no evidence"
+        else:
+            ws, we = windows[window][1:]
+            s = min(max(s, ws), we)
+            standing[charge] = (window, clause, evidence, s, max(min(we if e is None else e, we), s + 200))
+    used = {}
+    for stage, rows in (("defence", defences), ("ruling", rulings)):
+        used[stage] = {}
+        for row in rows:
+            last = max(r[1] for r in rows if r[0] == row[0])
+            if row[0] not in standing:
+                reasons[stage, row[0], row[1]] = "no such charge"
+            elif row[1] < last:
+                reasons[stage, row[0], row[1]] = "answered again"
+            else:
+                used[stage][row[0]] = row[2:]
+    wanted = set()
+    for charge, (window, clause, evidence, s, e) in standing.items():
+        verdict, severity, sure = used["ruling"].get(charge, (0, 0, 0))
+        if verdict == 0:
+            reasons["charge", charge, None] = "not ruled"
+        elif (verdict or "").upper().startswith("DIS"):
+            reasons["charge", charge, None] = "dismissed"
+        else:
+            text, strength = used["defence"].get(charge, ("", 0))
+            text = (text or "").strip()
+            text = None if text.lower() in adjudication.NO_DEFENCE else text
+            grave = (severity or "").upper()
+            wanted.add((charge, window, clause, evidence, s, e, text, min(max(strength or 0.0, 0.0), 1.0) if text else 0.0, grave if grave in ("HIGH", "LOW") else "MEDIUM", min(max(sure or 0.0, 0.0), 1.0)))
+    assert {tuple(r) for r in out.findings.collect()} == wanted and wanted
+    rejects = out.rejects.collect()
+    assert {(r.stage, r.id, r.n): r.reason for r in rejects} == reasons and len(rejects) == len(reasons)
+    assert len(wanted) + sum(r.stage == "charge" for r in rejects) == len(charges)
+
+
+def test_numbers_over_ranges(spark):
+    from evidra.operators import stores
+
+    rows = spark.range(5000).select("id", (F.col("id") * 7919 % 13).alias("a")).repartition(6)
+    out = [(r.n, r.a, r.id) for r in stores.numbered(rows, "n", F.desc("a"), "id").collect()]
+    assert [x[1:] for x in sorted(out)] == sorted(((r.a, r.id) for r in rows.collect()), key=lambda r: (-r[0], r[1]))
+    assert [x[0] for x in sorted(out)] == list(range(1, 5001))
+    assert stores.numbered(rows.limit(0), "n", "id").count() == 0
+
+
+@pytest.mark.parametrize("duration", [1, 29_999, 30_000, 30_001, 55_000, 62_000, 200_000])
+def test_table_function_equals_bounds(spark, duration):
+    from evidra.functions import windows
+    from evidra.operators import intervals
+
+    windows.register(spark)
+    pick = random.Random(duration)
+    rows = [(e, 0, s, min(duration, s + pick.randrange(1, 70_000))) for e in range(3) for s in [0, *(pick.randrange(duration) for _ in range(20))]]
+    rows += [(e, 0, duration - 1, duration) for e in range(3)]
+    spark.createDataFrame(rows, "entity long, turn long, start_ms long, end_ms long").createOrReplaceTempView("some_rows")
+    out = {(r.entity, r.idx): (r.s, r.e, r.n) for r in spark.sql("SELECT * FROM sliding_windows(TABLE(some_rows) PARTITION BY (entity, turn) ORDER BY (start_ms), 30000, 5000)").collect()}
+    bounds = intervals.window_bounds(spark.createDataFrame([(duration,)], "duration long"), 30_000, 5_000).collect()
+    wanted = {(e, b.idx): (b.s, b.e, sum(r[0] == e and r[2] < b.e and r[3] > b.s for r in rows)) for e in range(3) for b in bounds}
+    assert out == wanted
