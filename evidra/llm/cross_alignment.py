@@ -42,9 +42,11 @@ from evidra.llm.library_bpe import LibraryEncoder
 from evidra.session import materialise, shared_path
 
 #: Bytes of text that are aligned together, keys that a partition counts before it merges them, and rows of a batch that it returns.
-SLICE, MERGE, ROWS = 2 << 20, 4_000_000, 200_000
+SLICE, MERGE, ROWS = 1 << 19, 1_000_000, 200_000
+#: Bytes of links that are counted or looked up together.
+LINKS = 4 << 20
 #: Chunks that a worker remembers, with both tokenizers' ids.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: The bit that tells B's ids from A's in what is remembered of a chunk.
 OF_B = np.uint32(1 << 31)
 SPACE_SIGN = "▁"
@@ -158,7 +160,11 @@ def _aligner(a: bytes, b: bytes) -> Aligner:
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, groups_sha256 and links (binary: 64-bit keys, little-endian) of each row of ``docs``."""
+    """doc_id, n_a, n_b, n_groups, groups_sha256 and links of each row of ``docs``.
+
+    ``links`` has the B id and the A id of each link in binary, little-endian, in two bytes each where both vocabularies
+    fit them, else in four.
+    """
     contents = []
     for path in (a_path, b_path):
         with open(path, "rb") as f:
@@ -167,10 +173,11 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*data.value)
+        kind_of_id = "<u2" if max(len(aligner.a_bytes.lengths), len(aligner.b_bytes.lengths)) <= 1 << 16 else "<u4"
         for batch in (part for batch in batches for part in slices(batch, "text", SLICE)):
             found = aligner(batch.column("text"))
             digests = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(found.groups, found.n_links.tolist(), strict=True)]
-            links = cells(found.links.astype("<i8"), np.concatenate([[0], np.cumsum(found.n_links)]))
+            links = cells(_pairs(found.links, kind_of_id), 2 * np.concatenate([[0], np.cumsum(found.n_links)]))
             counts = [pa.array(x, pa.int64()) for x in (found.n_a, found.n_b, found.n_links)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), links], names)
 
@@ -179,8 +186,16 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links binary")
 
 
-def _keys(column: pa.Array) -> np.ndarray:
-    return np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(x or b"", "<i8") for x in column.to_pylist())])
+def _pairs(keys: np.ndarray, kind: str) -> np.ndarray:
+    return np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1).astype(kind).ravel()
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The packed keys of a batch's ``links``; their number, ``n_groups``, tells how wide an id is."""
+    rows = zip(batch.column("links").to_pylist(), batch.column("n_groups").to_pylist(), strict=True)
+    parts = [np.frombuffer(x, f"<u{len(x) // (2 * n)}").reshape(-1, 2).astype(np.int64) for x, n in rows if n]
+    pairs = np.concatenate([np.empty((0, 2), np.int64), *parts])
+    return pairs[:, 0] << 32 | pairs[:, 1]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,18 +218,18 @@ def partial_counts(aligned: DataFrame) -> DataFrame:
             new, n = np.unique(np.concatenate([np.empty(0, np.int64), *waiting]), return_counts=True)
             return _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
 
-        for batch in (part for batch in batches for part in slices(batch, "links", 4 * MERGE)):
-            waiting.append(_keys(batch.column("links")))
+        for batch in (part for batch in batches for part in slices(batch, "links", LINKS)):
+            waiting.append(_keys(batch))
             size += len(waiting[-1])
             if size > MERGE:
                 keys, counts = merged()
                 waiting, size = [], 0
-            if len(keys) > 4 * MERGE:  # a partition as large as that hands on what it has
+            if len(keys) > 8 * MERGE:  # a partition as large as that hands on what it has
                 yield from _batches(keys, counts)
                 keys = counts = np.empty(0, np.int64)
         yield from _batches(*merged())
 
-    return aligned.select("links").mapInArrow(run, "key long, n long")
+    return aligned.select("n_groups", "links").mapInArrow(run, "key long, n long")
 
 
 def _batches(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -313,11 +328,11 @@ def look_up(aligned: DataFrame, path: str, manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = SortedCounts(path, shards)
-        for batch in (part for batch in batches for part in slices(batch, "links", 4 * MERGE)):
-            links, of = np.unique(_keys(batch.column("links")), return_inverse=True)
+        for batch in (part for batch in batches for part in slices(batch, "links", LINKS)):
+            links, of = np.unique(_keys(batch), return_inverse=True)
             found = counts.look_up(links)
             good = found == shared.value[links >> 32]
-            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("links")), 0).to_numpy(zero_copy_only=False) // 8)])
+            at = np.concatenate([[0], np.cumsum(batch.column("n_groups").to_numpy())])
             sums = [np.diff(np.concatenate([[0], np.cumsum(x[of])])[at]) for x in (good.astype(np.int64), found)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, sums)], [*names, "n_best", "count_sum"])
 
