@@ -189,7 +189,11 @@ def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pi.best_frames(frames, "clip")
 
 
-@query()
+@query(f"""WITH {_PICTURES}, t AS (SELECT clip, n * 400 AS t FROM d WHERE diff = 100 UNION SELECT clip, 0 FROM c), s AS (SELECT clip, t, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS scene FROM t),
+p AS (SELECT i.*, s.scene FROM i ASOF JOIN s ON i.clip = s.clip AND i.n * 400 >= s.t),
+w AS (SELECT *, min(sharpness) OVER q AS s0, max(sharpness) OVER q AS s1, min(colourfulness) OVER q AS c0, max(colourfulness) OVER q AS c1 FROM p WINDOW q AS (PARTITION BY clip, scene)),
+z AS (SELECT clip, scene, n, sharpness, colourfulness, CASE WHEN s1 - s0 > 1e-6 THEN (sharpness - s0) / (s1 - s0) ELSE 0 END * CASE WHEN c1 - c0 > 1e-6 THEN (colourfulness - c0) / (c1 - c0) ELSE 0 END AS score FROM w)
+SELECT clip, scene, arg_max(n, row(colourfulness, -n)) AS most_colourful, arg_max(n, row(sharpness, -n)) AS sharpest, arg_max(n, row(score, -n)) AS best FROM z GROUP BY clip, scene""")
 def scene_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames, clips, differences = _pictures(spark, sf_dir)
     return pi.scene_posters(frames, pi.scenes(differences, clips))

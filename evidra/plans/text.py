@@ -19,7 +19,8 @@ def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).withColumn("form", F.lower(F.regexp_replace("w", "[.,!?]", "")))
 
 
-@query()
+@query(f"""WITH {WORDS_SQL}, p AS (SELECT entity, turn, pos, string_split(translate(translate(lower(w), '{tx.SEPARATORS.replace("'", "''")}', ''), '{tx.LOOKALIKES[0]}', '{tx.LOOKALIKES[1]}'), '') AS c FROM w)
+SELECT entity, turn, pos, array_to_string(list_filter(c, lambda x, i: NOT coalesce(i > 2 AND c[i - 1] = x AND c[i - 2] = x, false)), '') AS form FROM p""")
 def token_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("entity", "turn", "pos", tx.normal_token(F.col("w")).alias("form"))
 
