@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.session import materialise
+from evidra.session import discard, materialise
 
 # The states that a remediation may go to from each state; FAILED is open from any that isn't final.
 TRANSITIONS = {
@@ -134,17 +136,32 @@ def illegal_transitions(history: DataFrame) -> DataFrame:
 def tree(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """node, root and level of all descendants of the roots, level by level; each level joins only the last one.
 
-    Levels are written as they are found, until one is empty or ``depth`` is reached. A node that a root reaches again is
-    not followed, so cycles end.
+    Levels are written as they are found, until one is empty or ``depth`` is reached; every ``LEVELS`` of them are written
+    as one table again, so what a level is compared with stays few tables. A node that a root reaches again is not followed,
+    so cycles end.
     """
     level = materialise(roots.select(F.col("node"), F.col("node").alias("root"), F.lit(0).alias("level")), "tree")
-    out, k = level, 0
+    parts, k = [level], 0
     while (depth is None or k < depth) and level.head(1):
         k += 1
         below = level.select(F.col("node").alias("parent"), "root").join(edges, "parent").select("node", "root", F.lit(k).alias("level")).distinct()
-        level = materialise(below.join(out.select("node", "root"), ["node", "root"], "left_anti"), "tree")
-        out = out.union(level)
-    return out
+        level = materialise(below.join(_union(parts).select("node", "root"), ["node", "root"], "left_anti"), "tree")
+        parts.append(level)
+        if len(parts) > LEVELS + 1:
+            # The last level stays by itself, as the next one is made from it.
+            whole = materialise(_union(parts[:-1]), "tree")
+            for part in parts[:-1]:
+                discard(part)
+            parts = [whole, level]
+    return _union(parts)
+
+
+#: Levels of a tree that are kept as tables of their own.
+LEVELS = 8
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def interrupted(history: DataFrame, key: str, order: str) -> DataFrame:
