@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from evidra.operators.sessions import merge_spans
 TARGET_LUFS, TOLERANCE = -14.0, 2.0
 MAX_TITLE, MIN_DESCRIPTION, MAX_TAGS = 70, 200, 15
 SPONSORED = r"(?i)\b(sponsor(ed|ship)?|paid partnership|affiliate|promo code|use (my|the) code)\b"
+# Hosts of links that earn a commission; a shop's product pages count too.
+AFFILIATE_HOSTS = ("amzn.to", "awin1.com", "bit.ly", "geni.us", "impact.com", "ltk.app", "rstyle.me", "shareasale.com")
+SHOP, PRODUCT = "amazon.", "dp"
 DISCLOSED = r"(?i)(#ad\b|#sponsored\b|\bpaid promotion\b|\bincludes paid\b|\bdisclosure\b)"
 
 
@@ -52,8 +58,20 @@ def capital_share(text: Column) -> Column:
     return F.when(letters >= 12, F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / letters)
 
 
+def affiliate_links(text: Column) -> Column:
+    """Hosts in a text that pay for what is bought through them, and hosts of a shop before the path of a product."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s/\"'<>()]+")
+    of = lambda w, host: (w == host) | F.endswith(w, F.lit("." + host))
+    known = lambda w: reduce(or_, (of(w, h) for h in AFFILIATE_HOSTS))
+    shop = lambda w, i: w.rlike(rf"(^|\.){SHOP[:-1]}\.[a-z.]+$") & F.coalesce(F.get(parts, i + 1) == PRODUCT, F.lit(False))
+    return F.filter(parts, lambda w, i: known(w) | shop(w, i))
+
+
 def metadata_findings(items: DataFrame, most_tags: int = MAX_TAGS) -> DataFrame:
-    """``items(clip, title, description, tags, spoken)``: shouting or long titles, thin descriptions, too many tags, undisclosed sponsors."""
+    """``items(clip, title, description, tags, spoken)``: shouting or long titles, thin descriptions, too many tags, undisclosed sponsors.
+
+    Sponsors show by what is said, or by links in the description that earn a commission.
+    """
     said = F.concat_ws(" ", "spoken", "description")
     return _rows(
         items,
@@ -61,7 +79,7 @@ def metadata_findings(items: DataFrame, most_tags: int = MAX_TAGS) -> DataFrame:
         ("META-02", F.length("title") > MAX_TITLE, F.lit("LOW")),
         ("META-03", F.length(F.coalesce("description", F.lit(""))) < MIN_DESCRIPTION, F.lit("LOW")),
         ("META-04", F.size("tags") > most_tags, F.lit("LOW")),
-        ("META-05", said.rlike(SPONSORED) & ~said.rlike(DISCLOSED), F.lit("HIGH")),
+        ("META-05", (said.rlike(SPONSORED) | (F.size(affiliate_links(F.col("description"))) > 0)) & ~said.rlike(DISCLOSED), F.lit("HIGH")),
     )
 
 

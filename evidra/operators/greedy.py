@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.evidence import SEVERITY_SCORE
 from evidra.functions.text import plain_text
+from evidra.operators.intervals import map_span
 from evidra.operators.remediation import AUDIO, CEILING, COST
 from evidra.operators.scans import scan_groups
 
@@ -123,28 +124,44 @@ def dedupe_by_iou(candidates: DataFrame, floor: float = 0.5) -> DataFrame:
     return _per_entity(ranked, scan, "entity long, ord long, start_ms long, end_ms long, clause string", ["_c", "start_ms", "ord"], "clause")
 
 
-def match_runs(before: DataFrame, after: DataFrame, floor: float = 0.3, tolerance_ms: int = 1_500) -> DataFrame:
+def match_runs(before: DataFrame, after: DataFrame, floor: float = 0.3, tolerance_ms: int = 1_500, cuts: DataFrame | None = None) -> DataFrame:
     """Each finding of the first run with the first of the other that is the same problem and not yet taken.
 
-    Same clause, and spans that overlap enough or both ends near. Leftovers of the second run are NEW.
+    Same clause, and spans that overlap enough or both ends near. Leftovers of the second run are NEW. Where ``cuts(entity,
+    cs, ce)`` were taken out between the runs, the first run's spans are mapped through them; one whose end was cut out
+    matches nothing, so it is RESOLVED. Only findings within reach in time are looked at, by binary search.
     """
-    both = before.withColumn("run", F.lit(0)).unionByName(after.withColumn("run", F.lit(1)))
+    if cuts is not None:
+        spans = before.select(F.col("ord").alias("id"), "entity", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+        mapped = map_span(spans, cuts, ["entity"]).select(F.col("id").alias("ord"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+        before = before.drop("start_ms", "end_ms").join(mapped, "ord", "left")
+    both = before.withColumn("run", F.lit(0)).unionByName(after.withColumn("run", F.lit(1)), allowMissingColumns=True)
 
     def scan(rows: pd.DataFrame) -> list[tuple]:
         every = list(rows.itertuples())
         old, new, out = [r for r in every if r.run == 0], [r for r in every if r.run == 1], []
         entity = every[0].entity
+        by_start = sorted(range(len(new)), key=lambda i: new[i].start_ms)
+        starts = [new[i].start_ms for i in by_start]
+        longest = max((b.end_ms - b.start_ms for b in new), default=0)
+        taken: set[int] = set()
+
+        def same(a, b) -> bool:
+            cut = max(0, min(a.end_ms, b.end_ms) - max(a.start_ms, b.start_ms))
+            union = a.end_ms - a.start_ms + b.end_ms - b.start_ms - cut
+            near = abs(a.start_ms - b.start_ms) <= tolerance_ms and abs(a.end_ms - b.end_ms) <= tolerance_ms
+            return near or (union > 0 and cut / union >= floor)
+
         for a in old:
             hit = None
-            for i, b in enumerate(new):
-                cut = max(0, min(a.end_ms, b.end_ms) - max(a.start_ms, b.start_ms))
-                union = a.end_ms - a.start_ms + b.end_ms - b.start_ms - cut
-                near = abs(a.start_ms - b.start_ms) <= tolerance_ms and abs(a.end_ms - b.end_ms) <= tolerance_ms
-                if near or (union > 0 and cut / union >= floor):
-                    hit = new.pop(i)
-                    break
-            out.append((entity, a.ord, None if hit is None else hit.ord, "RESOLVED" if hit is None else "PERSISTS"))
-        return out + [(entity, None, b.ord, "NEW") for b in new]
+            if not pd.isna(a.start_ms) and not pd.isna(a.end_ms):
+                low = bisect.bisect_left(starts, a.start_ms - max(longest, tolerance_ms))
+                high = bisect.bisect_right(starts, max(a.end_ms, a.start_ms + tolerance_ms))
+                hit = min((i for i in by_start[low:high] if i not in taken and same(a, new[i])), default=None)
+            if hit is not None:
+                taken.add(hit)
+            out.append((entity, a.ord, None if hit is None else new[hit].ord, "RESOLVED" if hit is None else "PERSISTS"))
+        return out + [(entity, None, b.ord, "NEW") for i, b in enumerate(new) if i not in taken]
 
     return _per_entity(both.select("entity", "ord", "start_ms", "end_ms", "clause", "run"), scan, "entity long, before long, after long, status string", ["run", "ord"], "clause")
 

@@ -85,11 +85,12 @@ def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.evidence_pairs(greedy.match_runs(f, moved), f, moved)
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')) AS description, len(regexp_extract_all(html, '<li>')) AS n_tags FROM pages),
-l AS (SELECT *, length(regexp_replace(title, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(title, '[^\\p{Lu}]', '', 'g')) AS capitals FROM p)
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')) AS description, len(regexp_extract_all(html, '<li>')) AS n_tags FROM pages),
+q AS (SELECT *, string_split_regex(lower(description), '[\\s/"''<>()]+') AS w FROM p),
+l AS (SELECT *, len(list_filter(w, lambda x, i: list_bool_or([x = h OR ends_with(x, '.' || h) FOR h IN {list(de.AFFILIATE_HOSTS)}]) OR (regexp_matches(x, '(^|\\.)amazon\\.[a-z.]+$') AND coalesce(w[i + 1] = 'dp', false)))) > 0 AS paid, length(regexp_replace(title, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(title, '[^\\p{{Lu}}]', '', 'g')) AS capitals FROM q)
 SELECT page_id, clause, severity FROM (SELECT page_id, 'META-01' AS clause, 'LOW' AS severity, letters >= 12 AND capitals > 0.7 * letters AS hit FROM l UNION ALL SELECT page_id, 'META-02', 'LOW', length(title) > 70 FROM l
 UNION ALL SELECT page_id, 'META-03', 'LOW', length(description) < 200 FROM l UNION ALL SELECT page_id, 'META-04', 'LOW', n_tags > 5 FROM l
-UNION ALL SELECT page_id, 'META-05', 'HIGH', regexp_matches(description, '(?i)\\b(sponsor(ed|ship)?|paid partnership|affiliate|promo code|use (my|the) code)\\b')
+UNION ALL SELECT page_id, 'META-05', 'HIGH', (paid OR regexp_matches(description, '(?i)\\b(sponsor(ed|ship)?|paid partnership|affiliate|promo code|use (my|the) code)\\b'))
   AND NOT regexp_matches(description, '(?i)(#ad\\b|#sponsored\\b|\\bpaid promotion\\b|\\bincludes paid\\b|\\bdisclosure\\b)') FROM l) WHERE hit""")
 def metadata_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article is the description, the entries of lists are the tags."""

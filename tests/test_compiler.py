@@ -285,3 +285,11 @@ def test_table_function_equals_bounds(spark, duration):
     bounds = intervals.window_bounds(spark.createDataFrame([(duration,)], "duration long"), 30_000, 5_000).collect()
     wanted = {(e, b.idx): (b.s, b.e, sum(r[0] == e and r[2] < b.e and r[3] > b.s for r in rows)) for e in range(3) for b in bounds}
     assert out == wanted
+
+
+def test_affiliate_links(spark):
+    cases = [("see https://amzn.to/abc", True), ("https://www.amazon.co.uk/dp/B01", True), ("amazon.com/gp/help", False), ("amazon.com dpx", False), ("http://shop.awin1.com/x", True), ("notbit.ly is none", False), ("BIT.LY/x", True), (None, False), ("dp amazon.de", False)]
+    out = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select("k", (F.size(detectors.affiliate_links(F.col("t"))) > 0).alias("hit")).orderBy("k").collect()
+    assert [(cases[r.k][0], r.hit) for r in out] == cases
+    items = spark.createDataFrame([(1, "T", "x" * 300 + " https://bit.ly/a", []), (2, "T", "x" * 300 + " https://bit.ly/a #ad", []), (3, "T", "x" * 300, [])], "clip int, title string, description string, tags array<string>").withColumn("spoken", F.lit(""))
+    assert [(r.clip, r.clause) for r in detectors.metadata_findings(items).collect()] == [(1, "META-05")]

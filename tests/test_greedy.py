@@ -68,22 +68,43 @@ def test_dedupe_events(spark, seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_match_runs(spark, seed):
     old, new = some_events(seed), some_events(seed + 10)
+    check_matches(spark, old, new, old, None)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_match_runs_through_cuts(spark, seed):
+    old, new = some_events(seed), some_events(seed + 10)
+    cuts = [(0, 50, 90), (0, 200, 260), (1, 0, 40)]
+
+    def instant(e, ms):
+        own = [(s, t) for x, s, t in cuts if x == e]
+        return None if any(s <= ms < t for s, t in own) else ms - sum(min(t, ms) - s for s, t in own if s < ms)
+
+    moved = []
+    for r in old:
+        s, e = instant(r["entity"], r["start_ms"]), instant(r["entity"], r["end_ms"] - 1)
+        moved.append(r | ({"start_ms": None, "end_ms": None} if s is None or e is None else {"start_ms": s, "end_ms": e + 1}))
+    assert any(r["start_ms"] is None for r in moved)
+    check_matches(spark, old, new, moved, spark.createDataFrame(cuts, "entity long, cs long, ce long"))
+
+
+def check_matches(spark, given, new, old, cuts):
     wanted = []
     for e in (0, 1):
         free = [r for r in new if r["entity"] == e]
         for a in (r for r in old if r["entity"] == e):
-            for b in free:
+            for b in free if a["start_ms"] is not None else []:
                 cut = max(0, min(a["end_ms"], b["end_ms"]) - max(a["start_ms"], b["start_ms"]))
                 union = a["end_ms"] - a["start_ms"] + b["end_ms"] - b["start_ms"] - cut
                 near = abs(a["start_ms"] - b["start_ms"]) <= 30 and abs(a["end_ms"] - b["end_ms"]) <= 30
-                if a["clause"] == b["clause"] and (near or union and cut / union >= 0.3):
+                if a["clause"] == b["clause"] and (near or (union > 0 and cut / union >= 0.3)):
                     wanted.append((e, a["ord"], b["ord"]))
                     free.remove(b)
                     break
             else:
                 wanted.append((e, a["ord"], -1))
         wanted += [(e, -1, b["ord"]) for b in free]
-    out = greedy.match_runs(frame(spark, old), frame(spark, new), tolerance_ms=30).fillna(-1).collect()
+    out = greedy.match_runs(frame(spark, given), frame(spark, new), tolerance_ms=30, cuts=cuts).fillna(-1).collect()
     assert sorted((r.entity, r.before, r.after) for r in out) == sorted(wanted)
 
 
