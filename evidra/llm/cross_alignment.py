@@ -42,11 +42,11 @@ from evidra.llm.library_bpe import LibraryEncoder
 from evidra.session import materialise, shared_path
 
 #: Bytes of text that are aligned together, keys that a partition counts before it merges them, and rows of a batch that it returns.
-SLICE, MERGE, ROWS = 1 << 19, 1_000_000, 200_000
+SLICE, MERGE, ROWS = 1 << 20, 1_000_000, 200_000
 #: Bytes of links that are counted or looked up together.
 LINKS = 4 << 20
 #: Chunks that a worker remembers, with both tokenizers' ids.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: The bit that tells B's ids from A's in what is remembered of a chunk.
 OF_B = np.uint32(1 << 31)
 SPACE_SIGN = "▁"
