@@ -133,6 +133,17 @@ def clauses_in_order(hits: DataFrame, most: int = 5) -> DataFrame:
     return first.select("window", "clause", "at.source", "at.rank").join(open_, ["window", "source"])
 
 
+def declared_context(charges: DataFrame, declared: DataFrame, key: str = "entity") -> DataFrame:
+    """Charges with ``video_context``: what their file declares of itself (``declared(key, category, audience)``), null if nothing.
+
+    It is about the whole file, so every charge of it gets the same line.
+    """
+    said = lambda name: F.when(F.trim(F.coalesce(name, F.lit(""))) != "", F.concat(F.lit(f'declared {name} "'), name, F.lit('"')))
+    parts = F.concat_ws(", ", said("category"), said("audience"))
+    lines = declared.select(key, F.when(parts != "", F.concat(F.lit("video metadata: "), parts)).alias("video_context"))
+    return charges.join(lines.dropDuplicates([key]), key, "left")
+
+
 def sane_charges(charges: DataFrame, allowed: DataFrame, windows: DataFrame, least_ms: int = 200) -> DataFrame:
     """Model rows (window, clause, evidence, s, e) whose clause the window was shown and whose evidence isn't blank, spans clamped."""
     ok = charges.filter("trim(evidence) <> ''").join(allowed.select("window", "clause").distinct(), ["window", "clause"])

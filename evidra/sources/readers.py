@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from evidra.functions.text import plain_text
 from pyspark.sql import types as T
 
 from evidra.functions.text import fraction
@@ -93,6 +95,36 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return t.select("event", "t.term", "t.severity", F.explode(forms).alias("form")).withColumn("n", F.size(F.split("form", " ")))
 
 
+def cue_lists(spark: SparkSession, path: str) -> DataFrame:
+    """file, list, place, phrase and n (words) of JSON files whose fields are lists of phrases, or objects of such lists.
+
+    A list within an object is named ``field.name``; phrases are in lower case with single spaces, and fields that are
+    neither are left out, as are blank phrases.
+    """
+    fields = F.explode(F.from_json("value", "map<string, variant>")).alias("field", "v")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), fields)
+    plain = t.select("file", F.col("field").alias("list"), F.try_variant_get("v", "$", "array<string>").alias("phrases"))
+    inner = t.select("file", "field", F.explode(F.try_variant_get("v", "$", "map<string, array<string>>")).alias("name", "phrases"))
+    both = plain.filter("phrases is not null").unionByName(inner.select("file", F.concat_ws(".", "field", "name").alias("list"), "phrases").filter("phrases is not null"))
+    each = both.select("file", "list", F.posexplode("phrases").alias("place", "phrase")).withColumn("phrase", plain_text(F.col("phrase")))
+    return each.filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " ")))
+
+
+def cue_settings(spark: SparkSession, path: str) -> DataFrame:
+    """file, name and value (as text) of the fields of JSON files that are single numbers, texts or truths; notes (``_name``) are none."""
+    fields = F.explode(F.from_json("value", "map<string, variant>")).alias("name", "v")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), fields).filter(~F.col("name").startswith("_"))
+    single = ~F.schema_of_variant("v").rlike("^(ARRAY|OBJECT|VOID)")
+    return t.filter(single).select("file", "name", F.try_variant_get("v", "$", "string").alias("value"))
+
+
+def role_rules(spark: SparkSession, path: str) -> DataFrame:
+    """role, rule and value of a JSON file {roles: {role: {rule: number}}}; a file without roles has no rows."""
+    roles = F.from_json(F.get_json_object("value", "$.roles"), "map<string, map<string, string>>")
+    t = spark.read.text(path, wholetext=True).select(F.explode(roles).alias("role", "rules"))
+    return t.select("role", F.explode("rules").alias("rule", "value")).withColumn("value", F.col("value").try_cast("double")).filter("value is not null")
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     schema = "clip string, label string, clause string, span_ms array<bigint>, expect_findings string, twin_of string, note string"
     return spark.read.schema(schema).json(path).withColumn("twin_of", F.regexp_replace("twin_of", r"\.mp4$", "")).withColumn("clip", F.regexp_replace("clip", r"\.mp4$", ""))

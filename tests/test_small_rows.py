@@ -122,3 +122,24 @@ def test_deep_trees_merge_their_levels(spark, monkeypatch, merged):
             seen |= dict.fromkeys(level, max(seen.values()) + 1)
         wanted |= {(n, root): k for n, k in seen.items()}
     assert found == wanted
+
+
+def test_cue_files(spark, tmp_path):
+    from evidra.sources import readers
+
+    cues = {"_note": "x", "verbs": ["Said", " in  HIS words ", ""], "limit_ms": 20000, "on": True, "groups": {"teach": ["In this lesson"], "warn": ["never do this", "danger"]}, "empty": [], "odd": None, "share": 0.5}
+    (tmp_path / "cues.json").write_text(json.dumps(cues, indent=1))
+    found = [(r.file, r["list"], r.place, r.phrase, r.n) for r in readers.cue_lists(spark, f"{tmp_path}/cues.json").orderBy("list", "place").collect()]
+    assert found == [("cues.json", "groups.teach", 0, "in this lesson", 3), ("cues.json", "groups.warn", 0, "never do this", 3), ("cues.json", "groups.warn", 1, "danger", 1), ("cues.json", "verbs", 0, "said", 1), ("cues.json", "verbs", 1, "in his words", 3)]
+    assert {r.name: r.value for r in readers.cue_settings(spark, f"{tmp_path}/cues.json").collect()} == {"limit_ms": "20000", "on": "true", "share": "0.5"}
+    (tmp_path / "roles.json").write_text(json.dumps({"roles": {"caption": {"min_y": 0.7, "max_frames": 3, "note": "x"}, "none": {}}, "other": 1}))
+    assert {(r.role, r.rule): r.value for r in readers.role_rules(spark, f"{tmp_path}/roles.json").collect()} == {("caption", "min_y"): 0.7, ("caption", "max_frames"): 3.0}
+    (tmp_path / "roles.json").write_text("{}")
+    assert readers.role_rules(spark, f"{tmp_path}/roles.json").count() == 0
+
+
+def test_declared_context(spark):
+    charges = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13), (4, 14)], "entity int, charge int")
+    declared = spark.createDataFrame([(1, "Gaming", "teens"), (2, None, "kids"), (3, " ", None)], "entity int, category string, audience string")
+    found = {r.charge: r.video_context for r in context.declared_context(charges, declared).collect()}
+    assert found == {10: 'video metadata: declared category "Gaming", declared audience "teens"', 11: 'video metadata: declared category "Gaming", declared audience "teens"', 12: 'video metadata: declared audience "kids"', 13: None, 14: None}
