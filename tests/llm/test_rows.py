@@ -199,6 +199,27 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark).limit(0)).count() == 0
 
 
+def test_mixing_with_a_document_of_most_words(spark):
+    """Nothing is left out for its size: other sources come near their targets, and this one as near as whole copies allow."""
+    every = docs(spark)
+    rows = every.collect()
+    size = [len(WORD.findall(r.text or "")) for r in rows]
+    sizes, longest = Counter(), Counter()
+    for r, n in zip(rows, size):
+        sizes[r.source] += n
+        longest[r.source] = max(longest[r.source], n)
+    assert max(longest.values()) == 9000
+    plan = mixing.plan_mix(every.select("doc_id", "source", "text")).collect()
+    assert Counter((r.doc_id, r.size) for r in plan) == Counter((r.doc_id, n) for r, n in zip(rows, size))
+    target, taken = plain_targets(sizes), Counter()
+    for r in plan:
+        assert 0 <= r.copies <= 2 and abs(r.target - target[r.source]) < 1e-6
+        taken[r.source] += r.copies * r.size
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= (12 if longest[s] < 9000 else 9000), s
+    assert Counter(mixing.plan_mix(every.repartition(5).select("doc_id", "source", "text")).collect()) == Counter(plan)
+
+
 def test_tilt_meets_the_balance_conditions(spark):
     """At the optimum the odds of a copy are exp(tilt * size / mean), and expected words meet the target."""
     import math
