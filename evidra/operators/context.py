@@ -104,10 +104,10 @@ def quotations(words: DataFrame, keys: list[str], cues: list[str], most_words: i
 def dedupe_events(events: DataFrame) -> DataFrame:
     """In order of start, longest first: of overlapping events of one kind the surer stays in the place of the other."""
 
-    def scan(rows: pd.DataFrame) -> list[tuple]:
+    def scan(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
         active: list[int] = []  # those of kept that end after the present start, in order
-        for r in rows.drop(columns="_n").itertuples(index=False):
+        for r in rows:
             active = [i for i in active if r.start_ms < kept[i].end_ms]
             at = next((i for i in active if kept[i].start_ms < r.end_ms), None)
             if at is None:
@@ -115,7 +115,7 @@ def dedupe_events(events: DataFrame) -> DataFrame:
                 kept.append(r)
             elif r.confidence > kept[at].confidence:
                 kept[at] = r
-        return kept
+        return [r[:-1] for r in kept]
 
     rows = events.selectExpr("entity", "ord", "kind", "start_ms", "end_ms", "confidence", "start_ms - end_ms as _n")
     return scan_groups(rows, scan, "entity long, ord long, kind string, start_ms long, end_ms long, confidence double", ["entity", "kind"], ["start_ms", "_n", "ord"])

@@ -81,13 +81,17 @@ def incidents(findings: DataFrame, duration_ms: int, share: float = 0.9) -> Data
     findings that span the file stand alone. Numbers follow the incidents' spans.
     """
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(rows: list[tuple]) -> list[tuple]:
         latest = OpenIncidents(duration_ms, share)
-        first = [latest.take(r.ord, r.start_ms, r.end_ms, r.clause, r.category) for r in rows.itertuples()]
-        spans = rows.assign(first=first).groupby("first").agg(s=("start_ms", "min"), e=("end_ms", "max")).reset_index()
-        ordered = spans.sort_values(["s", "e", "first"])["first"]
-        number = dict(zip(ordered, range(1, len(ordered) + 1), strict=True))
-        return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "incident": [number[f] for f in first]})
+        first = [latest.take(r.ord, r.start_ms, r.end_ms, r.clause, r.category) for r in rows]
+        spans: dict[int, list] = {}
+        for r, f in zip(rows, first, strict=True):  # in order of start, so an incident starts with its first row
+            span = spans.setdefault(f, [r.start_ms, r.end_ms])
+            if r.end_ms > span[1] or pd.isna(span[1]):
+                span[1] = r.end_ms
+        last = lambda x: (pd.isna(x), 0 if pd.isna(x) else x)
+        number = {f: i for i, f in enumerate(sorted(spans, key=lambda f: (*map(last, spans[f]), f)), 1)}
+        return [(r.entity, r.ord, number[f]) for r, f in zip(rows, first, strict=True)]
 
     return _per_entity(findings.select("entity", "ord", "start_ms", "end_ms", "clause", "category"), scan, "entity long, ord long, incident long", ["start_ms", "end_ms", "ord"])
 
@@ -108,9 +112,9 @@ def incident_summary(numbered: DataFrame) -> DataFrame:
 def dedupe_by_iou(candidates: DataFrame, floor: float = 0.5) -> DataFrame:
     """The surest first: one of the same clause that covers most of a kept one is absorbed, and the kept one's span grows."""
 
-    def scan(rows: pd.DataFrame) -> list[list]:
+    def scan(rows: list[tuple]) -> list[list]:
         kept: list[list] = []
-        for r in rows.itertuples():
+        for r in rows:
             for k in kept:
                 both = min(k[3], r.end_ms) - max(k[2], r.start_ms)
                 if both > 0 and both / (k[3] - k[2] + r.end_ms - r.start_ms - both) > floor:
@@ -137,10 +141,9 @@ def match_runs(before: DataFrame, after: DataFrame, floor: float = 0.3, toleranc
         before = before.drop("start_ms", "end_ms").join(mapped, "ord", "left")
     both = before.withColumn("run", F.lit(0)).unionByName(after.withColumn("run", F.lit(1)), allowMissingColumns=True)
 
-    def scan(rows: pd.DataFrame) -> list[tuple]:
-        every = list(rows.itertuples())
-        old, new, out = [r for r in every if r.run == 0], [r for r in every if r.run == 1], []
-        entity = every[0].entity
+    def scan(rows: list[tuple]) -> list[tuple]:
+        old, new, out = [r for r in rows if r.run == 0], [r for r in rows if r.run == 1], []
+        entity = rows[0].entity
         by_start = sorted(range(len(new)), key=lambda i: new[i].start_ms)
         starts = [new[i].start_ms for i in by_start]
         longest = max((b.end_ms - b.start_ms for b in new), default=0)
@@ -172,16 +175,19 @@ def choose_fixes(findings: DataFrame, strategy: str = "balanced") -> DataFrame:
     What is seen at least as surely as it is heard or read can only be blurred or cut, all else only silenced or cut.
     """
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+    def gravest(r: tuple) -> tuple:
+        sure = not pd.isna(r.confidence)
+        return not sure, -SEVERITY_SCORE.get(r.severity, 0.0) * r.confidence if sure else 0.0, r.ord
+
+    def scan(rows: list[tuple]) -> list[tuple]:
         spent, out = 0.0, []
-        weight = rows["severity"].map(SEVERITY_SCORE).fillna(0.0) * rows["confidence"]
-        for r in rows.assign(_w=-weight).sort_values(["_w", "ord"], kind="stable").itertuples():
+        for r in sorted(rows, key=gravest):
             able = ("BLUR_REGION", "CUT") if r.seen else (*AUDIO, "CUT")
             fits = [(red - 0.6 * cost - 0.25 * video, op, cost) for op, (cost, video, red) in COST.items() if op in able and spent + cost <= CEILING[strategy]]
             best = max(fits, default=None)
             spent += best[2] if best else 0
             out.append((r.entity, r.ord, best[1] if best else None))
-        return pd.DataFrame(out, columns=["entity", "ord", "op"])
+        return out
 
     others = F.map_values(F.map_filter("modalities", lambda k, _: k != "vision"))
     seen = F.coalesce(F.col("modalities")["vision"], F.lit(0.0)) >= F.coalesce(F.array_max(others), F.lit(0.0))
@@ -192,9 +198,9 @@ def caption_cues(words: DataFrame, gap_ms: int = 700, most_ms: int = 6_000, most
     """Words as cues of two lines at most: a new one after a gap, or where time, words or characters are full."""
     import textwrap
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(rows: list[tuple]) -> list[tuple]:
         cues, cue = [], []
-        for r in rows.itertuples():
+        for r in rows:
             full = cue and (r.start_ms - cue[-1].end_ms > gap_ms or r.end_ms - cue[0].start_ms > most_ms or len(cue) >= most_words or sum(len(c.w) + 1 for c in cue) + len(r.w) > 2 * line)
             if full:
                 cues.append(cue)
@@ -203,7 +209,7 @@ def caption_cues(words: DataFrame, gap_ms: int = 700, most_ms: int = 6_000, most
         cues += [cue] if cue else []
         ends = [min(c[-1].end_ms, n[0].start_ms) for c, n in zip(cues, cues[1:])] + [c[-1].end_ms for c in cues[-1:]]
         text = ["\n".join(textwrap.wrap(" ".join(x.w for x in c), line)) for c in cues]
-        return pd.DataFrame({"entity": rows["entity"].iloc[0], "turn": rows["turn"].iloc[0], "n": range(1, len(cues) + 1), "start_ms": [c[0].start_ms for c in cues], "end_ms": ends, "text": text})
+        return [(rows[0].entity, rows[0].turn, n, c[0].start_ms, end, lines) for n, (c, end, lines) in enumerate(zip(cues, ends, text, strict=True), 1)]
 
     timed = words.select("entity", "turn", "pos", "w", "start_ms", "end_ms")
     return _per_entity(timed, scan, "entity long, turn long, n long, start_ms long, end_ms long, text string", ["pos"], "turn")
@@ -268,10 +274,10 @@ def cluster_sightings(sightings: DataFrame, floor: float = 0.85, overlap: float
     that of its surest one. Clusters out of reach in time are let go, so the work grows with what is on screen at once.
     """
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        seen = OpenSightings(floor, overlap, gap_ms)
-        first = [seen.take(r.ord, r.ts_ms, r.key, r.confidence, (r.x, r.y, r.w, r.h)) for r in rows.itertuples()]
-        return pd.DataFrame({"entity": rows["entity"], "ord": rows["ord"], "cluster": pd.factorize(pd.array(first))[0]})
+    def scan(rows: list[tuple]) -> list[tuple]:
+        seen, number = OpenSightings(floor, overlap, gap_ms), {}
+        first = [seen.take(r.ord, r.ts_ms, r.key, r.confidence, (r.x, r.y, r.w, r.h)) for r in rows]
+        return [(r.entity, r.ord, number.setdefault(f, len(number))) for r, f in zip(rows, first, strict=True)]
 
     keyed = sightings.select("entity", "ord", "ts_ms", "text", plain_text(F.col("text")).alias("key"), "confidence", "x", "y", "w", "h")
     return _per_entity(keyed, scan, "entity long, ord long, cluster long", ["ts_ms", "text", "ord"])
@@ -280,13 +286,13 @@ def cluster_sightings(sightings: DataFrame, floor: float = 0.85, overlap: float
 def accepted_after_gap(events: DataFrame, gap_ms: int) -> DataFrame:
     """Events at least ``gap_ms`` after the last one accepted."""
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(rows: list[tuple]) -> list[tuple]:
         last, keep = None, []
-        for t in rows["ts_ms"]:
-            ok = last is None or t - last >= gap_ms
-            keep.append(ok)
-            last = t if ok else last
-        return rows[keep][["entity", "ord", "ts_ms"]]
+        for r in rows:
+            if last is None or r.ts_ms - last >= gap_ms:
+                keep.append((r.entity, r.ord, r.ts_ms))
+                last = r.ts_ms
+        return keep
 
     return _per_entity(events.select("entity", "ord", "ts_ms"), scan, "entity long, ord long, ts_ms long", ["ts_ms", "ord"])
 
@@ -295,10 +301,10 @@ def nearest_unique(targets: DataFrame, frames: DataFrame) -> DataFrame:
     """Each target in order takes the nearest frame that none took before, the earlier of two as near."""
     both = targets.select("entity", F.col("ord"), "ts_ms", F.lit(0).alias("kind")).union(frames.select("entity", F.col("ord"), "ts_ms", F.lit(1).alias("kind")))
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        free = [(r.ts_ms, r.ord) for r in rows[rows["kind"] == 1].itertuples()]  # in order
+    def scan(rows: list[tuple]) -> list[tuple]:
+        free = [(r.ts_ms, r.ord) for r in rows if r.kind == 1]  # in order
         out = []
-        for t in rows[rows["kind"] == 0].itertuples():
+        for t in (r for r in rows if r.kind == 0):
             after = bisect.bisect_left(free, (t.ts_ms,))
             # Of several frames at one time the first is taken, so the one before is the first of its time.
             beside = [bisect.bisect_left(free, (free[after - 1][0],))] if after else []
@@ -306,7 +312,7 @@ def nearest_unique(targets: DataFrame, frames: DataFrame) -> DataFrame:
             if beside:
                 best = min(beside, key=lambda i: (abs(free[i][0] - t.ts_ms), free[i]))
                 out.append((t.entity, t.ord, free.pop(best)[1]))
-        return pd.DataFrame(out, columns=["entity", "ord", "frame"])
+        return out
 
     return _per_entity(both, scan, "entity long, ord long, frame long", ["kind", "ts_ms", "ord"])
 
@@ -314,9 +320,9 @@ def nearest_unique(targets: DataFrame, frames: DataFrame) -> DataFrame:
 def spaced_samples(candidates: DataFrame, spacing_ms: int, budget: int, duration_ms: int) -> DataFrame:
     """Times of greatest priority first, kept apart; then the widest gaps are filled up to the budget."""
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(rows: list[tuple]) -> list[tuple]:
         kept: list[int] = []
-        for t in rows["ts_ms"]:
+        for t in (r.ts_ms for r in rows):
             if len(kept) < budget and all(abs(t - k) >= spacing_ms for k in kept):
                 kept.append(int(t))
         while len(kept) < budget:
@@ -325,6 +331,6 @@ def spaced_samples(candidates: DataFrame, spacing_ms: int, budget: int, duration
             if wide < 2 * spacing_ms:
                 break
             kept.append(-at + wide // 2)
-        return pd.DataFrame({"entity": rows["entity"].iloc[0], "ts_ms": sorted(kept)})
+        return [(rows[0].entity, t) for t in sorted(kept)]
 
     return _per_entity(candidates.select("entity", "ord", "ts_ms", "priority"), scan, "entity long, ts_ms long", ["priority", "ts_ms", "ord"])

@@ -500,3 +500,27 @@ def test_unlisted_categories_fit_themselves(spark):
     f = spark.createDataFrame(rows, "entity long, ord long, start_ms long, end_ms long, clause string, category string")
     found = {r.ord: r.incident for r in greedy.incidents(f, 0).collect()}
     assert found[0] == found[1] and found[2] == found[3] != found[0]
+
+
+def test_scans_of_few_bytes_use_every_partition(spark):
+    """What a scan costs is its rows' Python, which adaptive execution doesn't see when it joins small partitions."""
+    rows = spark.range(400).selectExpr("id % 40 AS entity", "id AS ord", "id * 37 % 101 AS ts_ms")
+    out = greedy.accepted_after_gap(rows, 5).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert out > 1
+
+
+def test_incidents_that_went_nowhere_are_resolved(spark):
+    before = spark.createDataFrame([(1, 1, 10), (1, 1, 11), (1, 2, 12), (2, 1, 20)], "entity long, incident long, ord long")
+    after = spark.createDataFrame([(1, 7, 30), (1, 6, 31)], "entity long, incident long, ord long")
+    matches = spark.createDataFrame([(1, 10, 30, "PERSISTS"), (1, 11, 31, "PERSISTS"), (1, 12, None, "RESOLVED"), (2, None, 9, "NEW")], "entity long, before long, after long, status string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    seen = before.mapInPandas(counted, before.schema)
+    out = sorted((r.entity, r.incident, r.counterpart, r.status) for r in comparison.incident_changes(seen, after, matches).collect())
+    assert out == [(1, 1, 6, "PERSISTS"), (1, 2, None, "RESOLVED"), (2, 1, None, "RESOLVED")]
+    assert reads.value == 4
