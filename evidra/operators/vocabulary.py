@@ -123,6 +123,29 @@ def similar_names(names: DataFrame, keys: list[str], share: float = 0.15, least:
     return both.union(each.select(*keys, F.col("name").alias("a"), F.col("name").alias("b")))
 
 
+def listed_pairs(rows: DataFrame, alike: DataFrame, keys: list[str], block: int = 1_000, task: int = 20_000_000) -> DataFrame:
+    """``left_key``, ``right_key`` (the greater) and ``alike``'s other columns for all rows (keys, name, key) of names alike (keys, a, b).
+
+    ``alike`` has every two names in both orders, of which one is used, and each name with itself.
+
+    The pairs grow with the square of a name's rows, so these are cut into blocks of about ``block``. Pairs of blocks are
+    dealt out, in as many partitions as there are ``task`` pairs, and listed there: a task holds two blocks at a time and
+    lists its share, however frequent a name is.
+    """
+    each, alike = rows.filter("key is not null"), alike.filter("a <= b")
+    sizes = each.groupBy(*keys, "name").agg(F.count("*").alias("_n"))
+    n_blocks = F.ceil(F.col("_n") / block)
+    blocks = each.join(sizes, [*keys, "name"]).withColumn("_block", F.pmod(F.xxhash64("key"), n_blocks)).groupBy(*keys, "name", "_block").agg(F.collect_list("key").alias("_rows"))
+    of = lambda df, name, as_: df.select(*keys, F.col("name").alias(name), *(F.col(c).alias(f"{as_}{c}") for c in df.columns if c.startswith("_")))
+    total = alike.join(of(sizes, "a", "l"), [*keys, "a"]).join(of(sizes, "b", "r"), [*keys, "b"]).agg(F.sum(F.col("l_n") * F.col("r_n"))).first()[0] or 0
+    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task))
+    pairs = alike.join(of(blocks, "a", "l"), [*keys, "a"]).join(of(blocks, "b", "r"), [*keys, "b"]).repartition(partitions, *keys, "a", "b", "l_block", "r_block")
+    rest = [c for c in alike.columns if c not in (*keys, "a", "b")]
+    x, y = F.col("_x"), F.col("_y")
+    both = pairs.select(*rest, (F.col("a") != F.col("b")).alias("_two"), F.explode("l_rows").alias("_x"), "r_rows").select(*rest, "_two", "_x", F.explode("r_rows").alias("_y"))
+    return both.filter((x < y) | (F.col("_two") & (x > y))).select(F.least(x, y).alias("left_key"), F.greatest(x, y).alias("right_key"), *rest)
+
+
 def sentences(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Tokens with the number of their sentence: one ends with the word that carries a full stop, question or exclamation mark."""
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

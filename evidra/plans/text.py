@@ -160,8 +160,7 @@ def near_duplicate_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     # Names are compared once each; the rows of alike names are listed as pairs only at the end.
     alike = vo.similar_names(p.withColumnRenamed("p_name", "name"), ["p_brand"]).withColumn("edits", F.levenshtein("a", "b"))
-    a, b = p.select(F.col("p_partkey").alias("left_key"), F.col("p_name").alias("a"), "p_brand"), p.select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("b"), "p_brand")
-    return a.join(alike, ["p_brand", "a"]).join(b, ["p_brand", "b"]).filter("left_key < right_key").select("left_key", "right_key", "edits")
+    return vo.listed_pairs(p.select("p_brand", F.col("p_name").alias("name"), F.col("p_partkey").alias("key")), alike, ["p_brand"]).select("left_key", "right_key", "edits")
 
 
 _VOCABULARY, _SYNONYMS = [("click", 1), ("view", 2), ("sign", 3), ("error", 4)], [("purchase", "buy")]

@@ -270,3 +270,15 @@ def test_scratch_deletes_what_it_made(spark):
         raise ZeroDivisionError
     assert not os.path.exists(path)
     assert f"/evidra-{spark.sparkContext.applicationId}/" in session.shared_path(spark, "x")
+
+
+def test_pairs_of_a_frequent_name_are_many_tasks(spark):
+    """All pairs of alike rows, of which no partition lists more than its share."""
+    from evidra.operators import vocabulary
+
+    rows = [("b", "red bolt", k) for k in range(60)] + [("b", "red bold", k) for k in range(60, 70)] + [("c", "red bolt", 99), ("b", None, 100)]
+    table = spark.createDataFrame(rows, "brand string, name string, key long")
+    alike = vocabulary.similar_names(table, ["brand"]).withColumn("edits", F.levenshtein("a", "b"))
+    out = vocabulary.listed_pairs(table, alike, ["brand"], block=10, task=200).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted((r.left_key, r.right_key, r.edits) for r in out) == [(i, j, int((i < 60) != (j < 60))) for i in range(70) for j in range(i + 1, 70)]
+    assert max(sum(r.p == p for r in out) for p in {r.p for r in out}) < len(out) / 4
