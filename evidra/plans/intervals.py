@@ -177,8 +177,8 @@ def page_title_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT v.entity, v.turn, idx, s, e, count(*) AS n FROM v JOIN w ON w.entity = v.entity AND w.turn = v.turn AND w.start_ms < v.e AND w.end_ms > v.s GROUP BY ALL""")
 def sliding_windows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function's windows, with the number of words in each."""
-    from evidra.functions.windows import register
+    from evidra.functions.windows import alike_words, register
 
     register(spark)
-    words(spark, sf_dir).select("entity", "turn", "start_ms", "end_ms").createOrReplaceTempView("timed_words")
+    alike_words(words(spark, sf_dir), ["entity", "turn"], 30_000, 5_000).createOrReplaceTempView("timed_words")
     return spark.sql("SELECT * FROM sliding_windows(TABLE(timed_words) PARTITION BY (entity, turn) ORDER BY (start_ms), 30000, 5000)")

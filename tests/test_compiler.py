@@ -306,3 +306,19 @@ def test_affiliate_links(spark):
     assert [(cases[r.k][0], r.hit) for r in out] == cases
     items = spark.createDataFrame([(1, "T", "x" * 300 + " https://bit.ly/a", []), (2, "T", "x" * 300 + " https://bit.ly/a #ad", []), (3, "T", "x" * 300, [])], "clip int, title string, description string, tags array<string>").withColumn("spoken", F.lit(""))
     assert [(r.clip, r.clause) for r in detectors.metadata_findings(items).collect()] == [(1, "META-05")]
+
+
+def test_alike_words_give_the_same_windows(spark):
+    """Words drawn together where they touch the same windows, of any length and order of ends."""
+    from evidra.functions import windows
+
+    pick = random.Random(4)
+    rows = [(e, 0, s, s + pick.choice([1, 40, 900])) for e in range(5) for s in (pick.randrange(4000) for _ in range(60))]
+    words = spark.createDataFrame(rows, "entity long, turn long, start_ms long, end_ms long")
+    windows.register(spark)
+    alike = windows.alike_words(words, ["entity", "turn"], 300, 100)
+    found = []
+    for table in (words, alike):
+        table.createOrReplaceTempView("drawn_words")
+        found.append(sorted(map(tuple, spark.sql("SELECT * FROM sliding_windows(TABLE(drawn_words) PARTITION BY (entity, turn) ORDER BY (start_ms), 300, 100)").collect())))
+    assert found[0] == found[1] and found[0] and alike.count() < len(rows)
