@@ -113,8 +113,7 @@ def sound_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scenario_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(spark, sf_dir)
-    out = de.simulate(f, de.scenarios(f))
+    out = de.explore(findings(spark, sf_dir))
     return out.select("scenario", "entity", "overall", "delta", ev.quantised(F.col("impact")).alias("impact"), ev.quantised(F.col("value")).alias("value"))
 
 
